@@ -50,7 +50,7 @@ def html_to_markdown(html: Column) -> Column:
     s = _drop_noise(html)
     s = F.regexp_replace(s, r"(?i)<img[^>]*>", "")
     for level in range(1, 7):
-        s = F.regexp_replace(s, rf"(?is)<h{level}(\s[^>]*)?>(.*?)</h{level}>", "\n\n" + "#" * level + r" $2\n\n")
+        s = F.regexp_replace(s, rf"(?is)<h{level}(\s[^>]*)?>(.*?)</h{level}>", "\n\n" + "#" * level + " $2\n\n")
     s = F.regexp_replace(s, r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a>", r"[$2]($1)")
     s = F.regexp_replace(s, r"(?i)</?(b|strong)(\s[^>]*)?>", "**")
     s = F.regexp_replace(s, r"(?i)</?(i|em)(\s[^>]*)?>", "*")
