@@ -140,7 +140,7 @@ def session_listing(entries: DataFrame, sessions: DataFrame, params: Params = DE
         F.count("*").cast("long").alias("total"),
         F.sum(F.when(n > params.min_text, n).otherwise(0)).cast("long").alias("chars"),
     )
-    out = sessions.join(agg, "session", "left")
+    out = sessions.drop("total").join(agg, "session", "left")
     return out.select("session", F.substring("query", 1, 80).alias("query_80"), "pages", "total",
                       F.floor(F.col("chars") / params.tokens_per_char).cast("long").alias("tokens"),
                       F.concat(F.col("session"), F.lit("  |  "), F.col("pages").cast("string"),

@@ -39,13 +39,35 @@ def shingle_text(content: Column) -> Column:
     return py_strip(F.lower(F.coalesce(content, F.lit(""))))
 
 
+def _shingles_of(text: str, k: int) -> list[str]:
+    if len(text) < k:
+        return [text]
+    return sorted({text[i:i + k] for i in range(len(text) - k + 1)})
+
+
 def shingle_set(content: Column, params: Params = DEFAULT) -> Column:
-    """Distinct k-character shingles (the whole text when shorter than k)."""
-    t = shingle_text(content)
+    """Distinct k-character shingles, sorted (the whole text when shorter
+    than k).  Arrow-batched: a per-position ``substring`` lambda would walk
+    the UTF-8 string from its start for every window."""
     k = params.shingle_size
-    n = F.length(t)
-    return F.when(n < k, F.array(t)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(t, i, k))))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def _set(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _shingles_of(t, k) for t in texts])
+
+    return _set(shingle_text(content))
+
+
+def shingle_count(content: Column, params: Params = DEFAULT) -> Column:
+    """Number of distinct k-character shingles."""
+    k = params.shingle_size
+
+    @F.pandas_udf(T.LongType())
+    def _count(texts: pd.Series) -> pd.Series:
+        return pd.Series([1 if len(t) < k else len({t[i:i + k] for i in range(len(t) - k + 1)})
+                          for t in texts.fillna("")], dtype="int64")
+
+    return _count(shingle_text(content))
 
 
 def _signature_of(text: str, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from ..operators.dedup import deduplicate, exact_duplicates
 from ..operators.filters import classify_results, filter_counts
 from ..operators.first_seen import (cross_query_first_seen, first_seen, order_key, page_budget,
                                     results_view, search_results)
-from ..operators.minhash import minhash_signature, shingle_set
+from ..operators.minhash import minhash_signature, shingle_count
 from ..operators.outcome import scrape_log, with_outcome
 from ..operators.relevance import cosine_relevance, label_query_vectors, lexical_relevance
 from ..operators.score import tier, with_domain_signals, with_html_signals, with_quality, with_text_signals
@@ -287,7 +287,7 @@ def q_exact_duplicates(spark, sf):
 
 def q_shingle_counts(spark, sf):
     d = docs(spark, sf, ["doc_id", "text"])
-    return d.select("doc_id", _long(F.size(shingle_set(F.col("text")))).alias("shingles"))
+    return d.select("doc_id", shingle_count(F.col("text")).alias("shingles"))
 
 
 def q_minhash_signature(spark, sf):
