@@ -106,32 +106,52 @@ def near_duplicate_status(members: DataFrame, max_rounds: int | None = None) ->
     return status.select("ord", "kept", "dup_of", "round")
 
 
-def deduplicate(df: DataFrame, ord_col: str, content_col: str, score_col: str | None = None,
-                params: Params = DEFAULT, with_dropped: bool = False) -> DataFrame:
-    """Rows of ``df`` that survive near-duplicate removal.
-
-    ``with_dropped=True`` returns every row with ``near_duplicate`` (flag set
-    on the dropped copy) and ``dup_of`` (the kept row that removed it).
-    Exact copies among indexed rows are resolved first by a hash aggregate;
-    only the best copy of each distinct text enters the LSH rounds, since the
-    other copies share all of its buckets and are dropped either way.
+def dedup_status(df: DataFrame, ord_col: str, content_col: str, score_col: str | None = None,
+                 params: Params = DEFAULT) -> DataFrame:
+    """``(ord_col, near_duplicate, dup_of)`` for every row of ``df``.
+
+    One pass over the input computes a narrow table -- priority, length,
+    exact-text hash and (for indexed rows) the MinHash signature -- which is
+    checkpointed; every later step reads only that table, so the input (and
+    whatever scored it) is evaluated once and no text moves through the
+    rounds.  Exact copies are resolved by a hash aggregate first; only the
+    best copy of each distinct text enters the LSH rounds, since the other
+    copies share all of its buckets and are dropped either way.
     """
     length = F.coalesce(F.length(F.col(content_col)), F.lit(0))
-    short = (df.where(length < params.min_content_length)
-             .withColumn("near_duplicate", F.lit(False)).withColumn("dup_of", F.lit(None).cast("long")))
-    ex = exact_duplicates(df.where(length >= params.min_content_length), ord_col, content_col, score_col)
-    members = bucket_members(ex.where(F.col("exact_keep")), ord_col, content_col, score_col, params)
+    indexed = length >= params.min_content_length
+    narrow = df.select(
+        F.col(ord_col).cast("long").alias("ord"), priority(score_col, ord_col).alias("prio"),
+        indexed.alias("indexed"),
+        F.when(indexed, F.sha2(shingle_text(F.col(content_col)), 256)).alias("text_hash"),
+        F.when(indexed, minhash_signature(F.col(content_col), params)).alias("sig"))
+    narrow = _persist_round(narrow)
+    idx = narrow.where(F.col("indexed"))
+    best = idx.groupBy("text_hash").agg(F.min("prio").alias("best_prio"))
+    idx = idx.join(best, "text_hash").withColumn("exact_keep", F.col("prio") == F.col("best_prio"))
+    reps = idx.where(F.col("exact_keep"))
+    members = reps.select("ord", "prio", F.explode(lsh_bands(F.col("sig"), params)).alias("b")) \
+        .select("ord", "prio", F.col("b.band").alias("band"), F.col("b.bvals").alias("bvals"))
     status = near_duplicate_status(members)
-    reps = (ex.where(F.col("exact_keep"))
-            .join(status.withColumnRenamed("ord", ord_col), ord_col, "left")
-            .select("text_hash", F.col(ord_col).alias("_pq_rep"),
-                    (~F.coalesce(F.col("kept"), F.lit(True))).alias("_pq_rep_dropped"),
-                    F.col("dup_of").alias("_pq_rep_dup_of")))
-    idx = ex.join(reps, "text_hash", "left")
-    is_rep = F.col(ord_col) == F.col("_pq_rep")
-    idx = (idx.withColumn("near_duplicate", F.when(is_rep, F.col("_pq_rep_dropped")).otherwise(F.lit(True)))
-           .withColumn("dup_of", F.when(is_rep, F.col("_pq_rep_dup_of"))
-                       .otherwise(F.coalesce(F.col("_pq_rep_dup_of"), F.col("_pq_rep").cast("long"))))
-           .drop("text_hash", "exact_keep", "copies", "_pq_rep", "_pq_rep_dropped", "_pq_rep_dup_of"))
-    out = short.unionByName(idx)
+    rep_status = (reps.join(status, "ord", "left")
+                  .select("text_hash", F.col("ord").alias("rep"),
+                          (~F.coalesce(F.col("kept"), F.lit(True))).alias("rep_dropped"),
+                          F.col("dup_of").alias("rep_dup_of")))
+    out_idx = idx.join(rep_status, "text_hash", "left")
+    is_rep = F.col("ord") == F.col("rep")
+    out_idx = out_idx.select(
+        "ord",
+        F.when(is_rep, F.col("rep_dropped")).otherwise(F.lit(True)).alias("near_duplicate"),
+        F.when(is_rep, F.col("rep_dup_of")).otherwise(F.coalesce(F.col("rep_dup_of"), F.col("rep"))).alias("dup_of"))
+    short = narrow.where(~F.col("indexed")).select(
+        "ord", F.lit(False).alias("near_duplicate"), F.lit(None).cast("long").alias("dup_of"))
+    return short.unionByName(out_idx).withColumnRenamed("ord", ord_col)
+
+
+def deduplicate(df: DataFrame, ord_col: str, content_col: str, score_col: str | None = None,
+                params: Params = DEFAULT, with_dropped: bool = False) -> DataFrame:
+    """Rows of ``df`` that survive near-duplicate removal (all rows with
+    ``near_duplicate`` and ``dup_of`` when ``with_dropped``)."""
+    st = dedup_status(df, ord_col, content_col, score_col, params)
+    out = df.join(st.withColumn(ord_col, F.col(ord_col).cast(df.schema[ord_col].dataType)), ord_col)
     return out if with_dropped else out.where(~F.col("near_duplicate")).drop("near_duplicate", "dup_of")

@@ -10,6 +10,7 @@ group is at most one text, so no hot key can build up.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,10 @@ def text_stats(df: DataFrame, key: str, text_col: str, params: Params = DEFAULT,
             .select(F.col(key).alias("_k"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")))
     if not partitioned:
         base = base.repartition("_k")
+    # The five counting branches read one cached, key-partitioned copy; the
+    # cache keeps its hash partitioning, so none of them shuffles again.
+    # Lost blocks are recomputed from lineage.
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
     base = base.withColumn("_w", token_array(F.col("_t")))
 
     n = F.size("_w")

@@ -618,3 +618,29 @@ o AS (SELECT d.doc_id, coalesce(per.grams, 0)::BIGINT AS grams, coalesce(per.cov
 SELECT doc_id, grams, covered, round(CASE WHEN grams > 0 THEN covered / grams ELSE 0.0 END, 6) AS affinity,
        (CASE WHEN (CASE WHEN grams > 0 THEN covered / grams ELSE 0.0 END) > {P.affinity_threshold} THEN 1.0 ELSE 0.0 END)::DOUBLE AS ai_score
 FROM o"""
+
+
+def _near_dup_sql() -> str:
+    r = P.lsh_rows
+    bands = ", ".join(f"hash({b}, sig[{b * r + 1}:{b * r + r}])" for b in range(P.lsh_bands))
+    return ("WITH RECURSIVE " + text_stats_ctes("documents", "doc_id", "text", "x") + ","
+            + minhash_ctes(f"length(text) >= {P.min_content_length}") + f""",
+sc AS (SELECT d.doc_id, CASE WHEN d.text IS NULL OR x.strip_len < {P.min_text} THEN 0
+                             ELSE least(100, greatest(0, {P.baseline} + x.t_points)) END AS score
+       FROM documents d JOIN x_ts x ON d.doc_id = x.k),
+ordered AS MATERIALIZED (
+  SELECT s.doc_id, [{bands}] AS bks,
+         row_number() OVER (ORDER BY (100 - sc.score)::BIGINT * {1 << 56} + s.doc_id) AS step
+  FROM sig s JOIN sc ON s.doc_id = sc.doc_id),
+greedy(step, kept_bks, doc_id, dropped) AS (
+  SELECT 0::BIGINT, []::UBIGINT[], NULL::BIGINT, NULL::BOOLEAN
+  UNION ALL
+  SELECT o.step, CASE WHEN list_has_any(g.kept_bks, o.bks) THEN g.kept_bks ELSE list_concat(g.kept_bks, o.bks) END,
+         o.doc_id, list_has_any(g.kept_bks, o.bks)
+  FROM greedy g JOIN ordered o ON o.step = g.step + 1)
+SELECT doc_id, dropped AS near_duplicate FROM greedy WHERE step > 0
+UNION ALL
+SELECT doc_id, false FROM documents WHERE coalesce(length(text), 0) < {P.min_content_length}""")
+
+
+ORACLE_SQL["near_duplicates"] = _near_dup_sql()

@@ -16,7 +16,7 @@ from ..functions import urls as fu
 from ..functions.domain import registered_domain, split_domain
 from ..operators import digest as dg
 from ..operators.affinity import sample_affinity
-from ..operators.dedup import deduplicate, exact_duplicates
+from ..operators.dedup import dedup_status, exact_duplicates
 from ..operators.filters import classify_results, filter_counts
 from ..operators.first_seen import (cross_query_first_seen, first_seen, order_key, page_budget,
                                     results_view, search_results)
@@ -298,7 +298,7 @@ def q_minhash_signature(spark, sf):
 
 def q_near_duplicates(spark, sf):
     q = scored_docs(spark, sf).select("doc_id", "text", F.col("quality.score").alias("score"))
-    r = deduplicate(q, "doc_id", "text", "score", with_dropped=True)
+    r = dedup_status(q, "doc_id", "text", "score")
     return r.select("doc_id", "near_duplicate")
 
 
