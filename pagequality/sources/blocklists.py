@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from ..params import DEFAULT, Params
 
 # Fixed line patterns of the blocklist grammar.
@@ -21,7 +22,7 @@ PLAIN_RULE = r"(?i)^([a-z0-9][\w.-]+\.[a-z]{2,})\z"
 def parse_blocklist_line(line: Column) -> Column:
     """Domain of one blocklist line, or NULL for comments, blanks and rules
     that are not whole-domain rules."""
-    s = F.trim(line, " \t\n\r\x0b\x0c")
+    s = py_strip(line)
     ok = (F.length(s) > 0) & ~s.startswith("#") & ~s.startswith("!")
     wild = F.regexp_extract(s, WILDCARD_RULE, 1)
     plain = F.regexp_extract(s, PLAIN_RULE, 1)
@@ -68,8 +69,7 @@ def blocked_domains(spark: SparkSession, paths=None, params: Params = DEFAULT) -
 
 def blocklist_counts(lists: DataFrame) -> DataFrame:
     """Distinct domains per list plus the overall total (``list`` NULL)."""
-    return (lists.cube("list").agg(F.count_distinct("domain").alias("domains"))
-            .where(F.col("list").isNotNull() | F.lit(True)))
+    return lists.cube("list").agg(F.count_distinct("domain").alias("domains"))
 
 
 def rank_table(spark: SparkSession, path: str) -> DataFrame:
