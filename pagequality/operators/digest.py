@@ -11,6 +11,7 @@ no session -- however large -- is gathered into one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,9 @@ def digest_parts(entries: DataFrame, sessions: DataFrame, params: Params = DEFAU
     ``sessions`` has ``session, query, total, dedup_removed``.  Joining
     ``part`` with ``"\\n\\n"`` in that order gives the digest text.
     """
-    de = digest_entries(entries, params)
+    # the usable count and the body rows read one cached copy of the scored
+    # entries instead of scoring them twice (lost blocks are recomputed)
+    de = digest_entries(entries, params).persist(StorageLevel.MEMORY_AND_DISK)
     usable = de.groupBy("session").agg(F.count("*").alias("usable"))
     hdr = sessions.join(usable, "session", "left").withColumn("usable", F.coalesce("usable", F.lit(0)))
     filtered = F.col("total") - F.col("usable")
