@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RESULT_SCHEMA = (
-    "url string, title string, content string, engine string, engines array<string>, "
-    "positions array<int>, score double, category string, publishedDate string"
+RESULT_FIELDS = (
+    "url:string,title:string,content:string,engine:string,engines:array<string>,"
+    "positions:array<int>,score:double,category:string,publishedDate:string"
 )
-ANSWER_SCHEMA = f"query string, number_of_results int, results array<struct<{RESULT_SCHEMA.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double')}>>"
+ANSWER_SCHEMA = f"query string, number_of_results int, results array<struct<{RESULT_FIELDS}>>"
 
 QUALITY_SCHEMA = "struct<score:int,flags:array<string>,page_type:string,relevance:double>"
 ENTRY_SCHEMA = (
@@ -41,9 +41,11 @@ def read_results(spark: SparkSession, path: str, page: int | None = None) -> Dat
     return out
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per session file with its file name and modification time."""
-    df = spark.read.schema(SESSION_SCHEMA).json(path, multiLine=True)
+def read_sessions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per session with its file name and modification time.
+    ``multi_line`` reads one pretty-printed document per file; set it to
+    False for the JSON-lines form written by :func:`write_session_json`."""
+    df = spark.read.schema(SESSION_SCHEMA).json(path, multiLine=multi_line)
     return df.select("*", F.col("_metadata.file_name").alias("file"),
                      F.col("_metadata.file_modification_time").alias("mtime"))
 
