@@ -144,15 +144,16 @@ def with_quality(df: DataFrame, key: str, text_col: str = "content", html_col: s
                  url_col: str | None = None, query_col: str | None = None,
                  relevance_col: str | None = None, ai_col: str | None = None,
                  ranks: DataFrame | None = None, out: str = "quality",
-                 params: Params = DEFAULT) -> DataFrame:
+                 params: Params = DEFAULT, partitioned: bool = False) -> DataFrame:
     """The composed score: baseline + domain + html + text + relevance,
     clamped to 0..100, with the empty-text and off-topic exits.
 
     ``relevance_col`` carries the relevance provider's output (cosine of
     query and text vectors, or the lexical provider); it is used only when
-    the row has a query.
+    the row has a query.  ``partitioned=True`` declares ``df`` already
+    hash-partitioned by ``key`` (as the corpus readers return it).
     """
-    d = with_text_signals(df, key, text_col, ai_col, "_pq_ts", params)
+    d = with_text_signals(df, key, text_col, ai_col, "_pq_ts", params, partitioned=partitioned)
     if html_col:
         d = with_html_signals(d, html_col, text_col, "_pq_hs", params)
     if url_col:

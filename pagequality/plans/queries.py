@@ -151,7 +151,7 @@ def q_domain_signals(spark, sf):
 
 def scored_pages(spark, sf):
     p = pages_with_content(spark, sf)
-    return with_quality(p, "page_id", "content", html_col="html", url_col="url")
+    return with_quality(p, "page_id", "content", html_col="html", url_col="url", partitioned=True)
 
 
 def q_page_score(spark, sf):
@@ -215,7 +215,7 @@ def q_text_signals(spark, sf):
 
 def scored_docs(spark, sf):
     d = docs(spark, sf, ["doc_id", "text", "source"])
-    return with_quality(d, "doc_id", "text", out="quality")
+    return with_quality(d, "doc_id", "text", out="quality", partitioned=True)
 
 
 def q_document_score(spark, sf):
