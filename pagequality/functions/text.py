@@ -1,9 +1,8 @@
-"""Text signals as Column expressions.
-
-Everything is computed inside the row with array higher-order functions, so a
-document's features never need an explode + shuffle: a 20,000-word text is
-sorted and scanned inside its own task.  Tokenisation follows Python's
-``str.split()`` whitespace set exactly.
+"""Row-level text helpers shared by the text statistics, the blocklist
+parser and the shingler.  Tokenisation and stripping follow Python's
+``str.split()`` / ``str.strip()`` whitespace set exactly.  The counting
+statistics themselves are keyed Spark jobs (``operators/text_stats.py``):
+array lambdas are interpreted per element and were measured far slower.
 """
 
 from __future__ import annotations
@@ -14,108 +13,26 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..params import DEFAULT, Params
-
 # Python str.split() / str.strip() whitespace, as one character class that both
 # Java regex and RE2 understand.
 WS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
-def tokens(text: Column) -> Column:
-    """``text.split()``: non-empty pieces between whitespace runs."""
-    return F.filter(F.split(text, WS + "+"), lambda x: x != "")
-
-
 def py_strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
 
 
+def tokens(text: Column) -> Column:
+    """``text.split()`` without a lambda: split the stripped text on
+    whitespace runs; an all-blank text has no tokens."""
+    stripped = py_strip(text)
+    return F.when(F.coalesce(F.length(stripped), F.lit(0)) == 0, F.array().cast("array<string>")) \
+        .otherwise(F.split(stripped, WS + "+"))
+
+
 def count_contained(lower_text: Column, phrases) -> Column:
     """Number of distinct phrases that occur as substrings."""
     if not phrases:
         return F.lit(0)
     return reduce(add, [F.when(F.instr(lower_text, p) > 0, 1).otherwise(0) for p in phrases])
-
-
-def keyword_top(words: Column) -> Column:
-    """Most common lower-cased word longer than 4 characters.
-
-    Returns ``struct(word, n, n_long)``; ties go to the word seen first.  The
-    words are sorted by (word, position) and scanned once, so each run's
-    first position is its first occurrence.
-    """
-    lw = F.transform(F.filter(words, lambda w: F.length(w) > 4), lambda w: F.lower(w))
-    srt = F.array_sort(F.transform(lw, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    init = F.struct(
-        F.lit(None).cast("string").alias("cw"), F.lit(0).alias("cn"), F.lit(0).alias("ci"),
-        F.lit(None).cast("string").alias("bw"), F.lit(0).alias("bn"), F.lit(0).alias("bi"),
-    )
-
-    def step(acc, x):
-        same = x["w"] == acc["cw"]
-        cn = F.when(same, acc["cn"] + 1).otherwise(F.lit(1))
-        ci = F.when(same, acc["ci"]).otherwise(x["i"])
-        better = (cn > acc["bn"]) | ((cn == acc["bn"]) & (ci < acc["bi"]))
-        return F.struct(
-            x["w"].alias("cw"), cn.alias("cn"), ci.alias("ci"),
-            F.when(better, x["w"]).otherwise(acc["bw"]).alias("bw"),
-            F.when(better, cn).otherwise(acc["bn"]).alias("bn"),
-            F.when(better, ci).otherwise(acc["bi"]).alias("bi"),
-        )
-
-    res = F.aggregate(srt, init, step)
-    return F.struct(res["bw"].alias("word"), res["bn"].alias("n"), F.size(lw).alias("n_long"))
-
-
-def repeated_bigram_count(words: Column) -> Column:
-    """Number of distinct (case-sensitive) bigrams seen more than 3 times."""
-    n = F.size(words)
-    bigrams = F.transform(
-        F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
-        lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)),
-    )
-    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("cnt"))
-
-    def step(acc, x):
-        run = F.when(x == acc["prev"], acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("prev"), run.alias("run"),
-                        (acc["cnt"] + F.when(run == 4, 1).otherwise(0)).alias("cnt"))
-
-    return F.aggregate(F.array_sort(bigrams), init, step)["cnt"]
-
-
-def sentence_lengths(text: Column) -> Column:
-    """Word counts of the pieces between ``[.!?]+`` whose stripped length > 5."""
-    sents = F.filter(F.split(text, r"[.!?]+"), lambda s: F.length(py_strip(s)) > 5)
-    return F.transform(sents, lambda s: F.size(tokens(s)))
-
-
-def sentence_cv(lens: Column) -> Column:
-    """Sample standard deviation / mean of the sentence lengths (NULL if <= 5
-    sentences).  Integer sums keep Spark and SQL results bit-identical."""
-    m = F.size(lens).cast("long")
-    s1 = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x)
-    s2 = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x * x)
-    var = (m * s2 - s1 * s1).cast("double") / (m * (m - 1)).cast("double")
-    return F.when(m > 5, F.sqrt(var) / (s1.cast("double") / m.cast("double")))
-
-
-def readability(words: Column, n_sentences: Column) -> Column:
-    """Flesch reading ease and grade with an own, documented syllable rule:
-    words are lower-cased tokens with at least one ``a-z`` letter; syllables
-    are vowel groups ``[aeiouy]+`` minus a silent final ``e`` (not after
-    ``l``), at least one per word."""
-    lw = F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.rlike("[a-z]"))
-    n_words = F.size(lw)
-    syl = F.aggregate(
-        F.transform(lw, lambda w: F.greatest(
-            F.lit(1), F.regexp_count(w, F.lit("[aeiouy]+")) - F.when(w.rlike("[^l]e$"), 1).otherwise(0))),
-        F.lit(0), lambda a, x: a + x)
-    s = F.greatest(n_sentences, F.lit(1)).cast("double")
-    w = n_words.cast("double")
-    wps = F.when(n_words > 0, w / s).otherwise(F.lit(0.0))
-    spw = F.when(n_words > 0, syl.cast("double") / w).otherwise(F.lit(0.0))
-    flesch = F.lit(206.835) - F.lit(1.015) * wps - F.lit(84.6) * spw
-    grade = F.lit(0.39) * wps + F.lit(11.8) * spw - F.lit(15.59)
-    return F.struct(flesch.alias("flesch"), grade.alias("grade"), n_words.alias("n_words"), syl.alias("syllables"))

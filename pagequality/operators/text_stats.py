@@ -15,16 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, count_contained, py_strip
+from ..functions.text import tokens as token_array
 from ..params import DEFAULT, Params
 
 
-def token_array(text):
-    """``text.split()`` without a lambda: split the stripped text."""
-    stripped = py_strip(text)
-    return F.when(F.coalesce(F.length(stripped), F.lit(0)) == 0, F.array().cast("array<string>")) \
-        .otherwise(F.split(stripped, WS + "+"))
-
-
 def text_stats(df: DataFrame, key: str, text_col: str, params: Params = DEFAULT,
                partitioned: bool = False) -> DataFrame:
     """Returns ``key`` plus the raw counts the text rules are built from:
