@@ -19,12 +19,16 @@ from .text_stats import token_array
 
 
 def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                      lambda s, x: s + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    """Clamped cosine of two vectors in one pass (dot and both squared norms
+    accumulated together); 0 when either vector is missing or zero."""
+    z = F.arrays_zip(a.cast("array<double>").alias("x"), b.cast("array<double>").alias("y"))
+    init = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+    acc = F.aggregate(z, init, lambda s, e: F.struct(
+        (s["d"] + e["x"] * e["y"]).alias("d"), (s["p"] + e["x"] * e["x"]).alias("p"),
+        (s["q"] + e["y"] * e["y"]).alias("q")))
+    na, nb = F.sqrt(acc["p"]), F.sqrt(acc["q"])
     return F.when(a.isNull() | b.isNull() | (na == 0) | (nb == 0), F.lit(0.0)).otherwise(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot / (na * nb))))
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["d"] / (na * nb))))
 
 
 def cosine_relevance(df: DataFrame, vec_col: str, queries: DataFrame, query_key: str,
