@@ -204,3 +204,17 @@ def prompt_rows(entries: DataFrame, sessions: DataFrame | None = None, params: P
     mid, post = rest.split("{content}")
     prompt = F.concat(F.lit(pre), q, F.lit(mid), F.substring("content", 1, params.llm_max_input_chars), F.lit(post))
     return d.select("session", "ord", prompt.alias("prompt"))
+
+
+def page_view_at(entries: DataFrame, session: str, index: int, markdown_col: str | None = None) -> DataFrame:
+    """The preview of entry ``index`` (0-based list position) of one session.
+
+    Raises ``IndexError`` when the session has no entry at that position
+    (a single count of the session's entries is the only driver round trip).
+    """
+    d = entries.where(F.col("session") == session)
+    n = d.count()
+    if index < 0 or index >= n:
+        raise IndexError(f"Index {index} out of range (0-{n - 1})")
+    picked = with_position(d, ["session"], "ord", "_pq_pos").where(F.col("_pq_pos") == index + 1).drop("_pq_pos")
+    return page_view(picked, markdown_col)

@@ -59,3 +59,14 @@ def test_snippet_positions(spark):
     e = _entries(spark, [("s", o, f"T{o}", "u", "c", 50, 0.5, None, "sn") for o in (5, 9000, 3, 70000)])
     got = [r.heading for r in dg.snippet_view(e).orderBy("ord").collect()]
     assert got == ["### 1. T3", "### 2. T5", "### 3. T9000", "### 4. T70000"]
+
+
+def test_page_view_at(spark):
+    import pytest
+    e = _entries(spark, [("s", o, f"T{o}", "u", "body", 50, 0.25, "docs", "") for o in (7, 3, 11)])
+    e = e.withColumn("flags", F.array(F.lit("has_code")))
+    v = dg.page_view_at(e, "s", 1).first()
+    assert v.ord == 7 and v.header.startswith("# T7\n\nu\n\nquality: 50/100 | relevance: 0.25 | type: docs")
+    assert "flags: has_code" in v.header and v.body == "body"
+    with pytest.raises(IndexError):
+        dg.page_view_at(e, "s", 3)
