@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_scan, warc
+from . import ngram_join, quality_rules, secret_scan, suffix_dedup, warc
 from .common import table
 
 QUERIES = {
+    "op2_ngram_jaccard": lambda spark, sf: ngram_join.near_duplicates(table(spark, sf, "documents")),
     "op4_warc": lambda spark, sf: warc.round_trip(table(spark, sf, "pages")),
     "op7_secret_scan": lambda spark, sf: secret_scan.scan(table(spark, sf, "documents")),
+    "op8_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_digest(table(spark, sf, "documents")),
     "op9_quality_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
 }
 
