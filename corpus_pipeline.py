@@ -6,18 +6,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequality.llm import quality_rules
+from pagequality.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 from pagequality.llm.common import stash, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep."""
+    """Documents that the quality rules keep."""
     return quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line is like; those with nothing left go."""
+    return line_dedup.filter_documents(docs)
 
-#: Estimated accuracies, set-similarity joins and edit distances are beyond SQL; tests compare with brute force.
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, Jaccard 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontaminate.filter_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn to the target weights, with topic, n_tokens and copies."""
+    return mixing.sample(docs)
+
+
+STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates),
+          ("benchmark decontamination", benchmarks), ("source mixing", mixture)]
+
+#: Estimated rates, set-similarity joins and edit distances are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

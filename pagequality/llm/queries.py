@@ -2,15 +2,43 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules, secret_scan, suffix_dedup, warc
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secret_scan, suffix_dedup, warc
 from .common import table
 
 QUERIES = {
+    "op1_line_dedup": lambda spark, sf: line_dedup.line_digest(table(spark, sf, "documents")),
     "op2_ngram_jaccard": lambda spark, sf: ngram_join.near_duplicates(table(spark, sf, "documents")),
+    "op3_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op4_warc": lambda spark, sf: warc.round_trip(table(spark, sf, "pages")),
+    "op5_licenses": lambda spark, sf: licenses.license_report(table(spark, sf, "documents")),
+    "op6_mixing": lambda spark, sf: mixing.mixture(table(spark, sf, "documents")),
     "op7_secret_scan": lambda spark, sf: secret_scan.scan(table(spark, sf, "documents")),
     "op8_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_digest(table(spark, sf, "documents")),
     "op9_quality_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
+    "op10_quality_bayes": lambda spark, sf: quality_bayes.quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> w[i:i+2]) WHEN len(w) > 0 THEN [w] ELSE [] END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * o >= 90 * (x.n + y.n - o)),
+e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
+    "op4_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, n) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), i -> substr('{_BASE32}', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, true AS complete
+FROM f""",
+}
