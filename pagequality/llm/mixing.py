@@ -61,7 +61,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: MixParams = DEFAULT
         for dim, target in targets.items():
             factor = now.groupBy(dim).agg(F.sum("weight").alias("sum")).join(target, dim).select(
                 dim, F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias(f"f_{dim}"))
-            now = now.join(sized_broadcast(factor, 200_000), dim).withColumn("weight", F.col("weight") * F.col(f"f_{dim}"))
+            now = now.join(factor, dim).withColumn("weight", F.col("weight") * F.col(f"f_{dim}"))
             off.append(f"f_{dim}")
         worst = F.greatest(*[F.max(F.abs(F.col(c) - 1)) for c in off])
         now = stash(now, "mix-cells")

@@ -87,12 +87,24 @@ def unframe(block: bytes) -> bytes | None:
         at += size + 2
 
 
+def segments(block: bytes, size: int) -> list[bytes]:
+    """``block`` in parts of up to ``size`` bytes; none ends like a version line, which the record's CRLF would complete."""
+    out, at = [], 0
+    while at < len(block):
+        part = block[at: at + size]
+        if part.endswith(VERSION[:-2].encode()) and len(part) > 1:
+            part = part[:-1]
+        out.append(part)
+        at += len(part)
+    return out
+
+
 def records(key: str, url: str | None, payload: bytes, first: str | None, p: WarcParams) -> Iterator[bytes]:
     """The records of one page, each without its version line and last CRLF."""
     digest = sha1_base32(payload)
     name = lambda k, n=1: f"<urn:page:{k}:{digest}>" if n == 1 else f"<urn:page:{k}:{digest}:{n}>"
     head = [f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {name(key)}", f"WARC-Date: {p.date}",
-            f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '')}", f"WARC-Payload-Digest: sha1:{digest}",
+            f"WARC-Target-URI: {re.sub(r'[\r\n]+', ' ', url or '').replace(VERSION.strip(), 'WARC%2F1.1')}", f"WARC-Payload-Digest: sha1:{digest}",
             "Content-Type: application/http;msgtype=response"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -103,11 +115,10 @@ def records(key: str, url: str | None, payload: bytes, first: str | None, p: War
         yield record([*head, f"WARC-Refers-To: {name(first)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"], http + CRLF)
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + frame(payload, p.chunk_bytes)
-    parts = [block[i: i + p.segment_bytes] for i in range(0, len(block), p.segment_bytes)]
+    parts = segments(block, p.segment_bytes)
     if len(parts) == 1:
         yield record(head, block)
         return
-    # a version line may not begin in one segment and end in the next as a record's last bytes: framing has cut it
     yield record([*head, "WARC-Segment-Number: 1"], parts[0])
     for n, part in enumerate(parts[1:], 2):
         total = [f"WARC-Segment-Total-Length: {len(block)}"] if n == len(parts) else []

@@ -1,0 +1,440 @@
+"""The corpus operators against brute force, on a fixture with nulls, empty, long, equal and near-equal texts."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagequality.llm import (decontaminate, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules,
+                             secret_scan, suffix_dedup, warc)
+from pagequality.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, n_words int, copies string"
+
+
+def corpus(seed=5, n=60):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdeilmnorst") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    line = lambda k: " ".join(r.choice(vocabulary) for _ in range(k)).capitalize() + "."
+    out = []
+    for i in range(n):
+        text = "\n".join(line(r.randint(3, 30)) for _ in range(r.randint(1, 8)))
+        out.append([i, text, r.choice(["en", "de", None]), r.choice(["src0", "src0", "src1", None])])
+    for i in range(n, n + 25):  # copies, near copies, shared passages
+        base = out[r.randrange(12)][1]
+        w = base.split(" ")
+        kind = i % 3
+        if kind == 1:
+            w[r.randrange(len(w))] = "zzz"
+        elif kind == 2:
+            w = [line(12), base[: len(base) // 2], line(15)]
+        out.append([i, " ".join(w), "en", "src0"])
+    out += [[200, None, "en", "src1"], [201, "", None, "src1"], [202, " \t\n ", "en", None], [None, out[0][1], "en", "src0"], [None, None, None, None],
+            [203, "One", "en", "src0"], [204, "one", "en", "src0"], [205, "ab cd", "en", "src0"], [206, "x " * 30000, "en", "src0"],
+            [207, "Mentel " * 700, "en", "src0"], [208, "é" * 90 + out[3][1], "fr", "src0"], out[2], out[2], [1, out[4][1] + " more", "en", "src1"]]
+    return [(*x, 1, 7, "k", 3, "c") for x in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def unique(spark):
+    """One row an id, for results by id."""
+    rows = {}
+    for x in corpus():
+        if x[0] is not None:
+            rows.setdefault(x[0], x)
+    return spark.createDataFrame(list(rows.values()), SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return [w for w in re.split("[\x20\x09-\x0D]+", text or "") if w]
+
+
+def by_id(df):
+    return {r[0]: tuple(r)[1:] for r in df.collect()}
+
+
+# ---- 1 ----
+
+def test_line_dedup_is_the_sequential_rule(unique):
+    got = by_id(line_dedup.line_digest(unique))
+    seen = []
+    for i, x in sorted((r.doc_id, r.text or "") for r in unique.collect()):
+        keep = []
+        for s in x.split("\n"):
+            u = set(words(s.lower()))
+            if len(u) >= 5:
+                if any(100 * len(u & v) >= 80 * len(u | v) for v in seen):
+                    seen.append(u)
+                    continue
+                seen.append(u)
+            keep.append(s)
+        n = len(x.split("\n"))
+        assert got[i][1:] == (n - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest())
+
+
+def test_line_dedup_keeps_rows_and_columns(docs, empty):
+    out = line_dedup.filter_documents(docs)
+    assert out.columns == docs.columns
+    assert out.where("doc_id is null").count() == 2
+    assert line_dedup.line_digest(empty).count() == 0
+
+
+# ---- 2 ----
+
+def brute_components(rows, n, percent):
+    sets = {}
+    for i, t in rows.items():
+        w = words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[i] = {tuple(w[j: j + n]) for j in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    up = {i: i for i in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in rows}
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 50)])
+def test_ngram_components(unique, n, percent):
+    rows = {r.doc_id: r.text for r in unique.collect()}
+    assert by_id(ngram_join.near_duplicates(unique, ngram_join.JaccardParams(n, percent))) == brute_components(rows, n, percent)
+
+
+def test_ngram_edge_rows(docs, empty):
+    out = ngram_join.near_duplicates(docs)
+    assert out.count() == docs.count()
+    assert {r.component_id for r in out.where("doc_id is null").collect()} == {None}
+    assert ngram_join.near_duplicates(empty).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
+
+
+def test_components_of_a_chain(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
+    got = by_id(components(spark.createDataFrame(edges, "u long, v long")))
+    assert got == {**{i: (0,) for i in range(41)}, 100: (100,), 101: (100,)}
+
+
+# ---- 3 ----
+
+def distance(p, t):
+    """Least edit distance of p to any part of t, by the textbook table."""
+    row = list(range(len(p) + 1))
+    best = row[-1]
+    for c in t:
+        new = [0]
+        for i, d in enumerate(p, 1):
+            new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (c != d)))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_myers_is_the_edit_distance():
+    r = random.Random(3)
+    for _ in range(300):
+        p = "".join(r.choice("ab c") for _ in range(r.randint(1, 12)))
+        t = "".join(r.choice("ab c") for _ in range(r.randint(0, 30)))
+        k = r.randint(0, 5)
+        got, want = decontaminate.myers(p, t, k), distance(p, t)
+        assert (got[0] if got else None) == (want if want <= k and t else None)
+
+
+def test_decontamination_finds_edited_items(spark, unique, empty):
+    r = random.Random(1)
+    rows = {x.doc_id: x.text for x in unique.collect()}
+    items = [(1, "  ".join(words(rows[3])[:25])), (2, rows[5].upper()), (3, None), (4, "..."), (5, ""), (6, rows[5])]
+    edited = list(items[0][1])
+    for _ in range(int(len(decontaminate.normal(items[0][1])) * 0.05) // 2):
+        edited[r.randrange(len(edited))] = "#"
+    docs = unique.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "lead in " + "".join(edited) + " lead out")], "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.distance) for x in decontaminate.contamination(docs, bench).collect()}
+    want = set()
+    for d in docs.collect():
+        for i, t in items:
+            t = decontaminate.normal(t)
+            k = int(len(t) * 0.06)
+            if any(c.isalnum() for c in t) and (e := distance(t, decontaminate.normal(d.text))) <= k and d.text:
+                want.add((d.doc_id, i, e))
+    assert got == want and any(x[0] == 900 for x in want)
+    small = decontaminate.MatchParams(block_bytes=100)
+    assert {(x.doc_id, x.item_id, x.distance) for x in decontaminate.contamination(docs, bench, small).collect()} == want
+    assert decontaminate.filter_documents(docs, bench).count() == docs.count() - len({x[0] for x in want})
+    assert decontaminate.contamination(empty, bench).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
+
+
+# ---- 4 ----
+
+@pytest.mark.parametrize("segment,floor", [(200, 0), (32768, 0), (64, 50)])
+def test_warc_round_trip(spark, segment, floor):
+    r = random.Random(2)
+    html = ["<p>" + "".join(r.choice("é<>ab \r\n") for _ in range(r.randint(0, 900))) + "</p>" for _ in range(30)]
+    rows = [(i, f"http://h/{i}\n", html[r.randrange(len(html))], 1) for i in range(60)]
+    rows += [(100, None, None, 1), (101, "u", "", 1), (102, "u", "a WARC/1.1\r\nWARC-Type: response\r\n\r\nb WARC/1.1\r\n" * 9, 1), (103, "u", "x" * 70000, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, bytes int").repartition(4)
+    p = warc.WarcParams(min_revisit_bytes=floor, segment_bytes=segment, chunk_bytes=50)
+    got = by_id(warc.round_trip(pages, p))
+    first = {}
+    for i, _, h, _ in rows:
+        x = (h or "").encode()
+        f = first.setdefault(x, i) if len(x) >= floor else i
+        digest = base64.b32encode(hashlib.sha1(x).digest()).decode()
+        assert got[i] == (len(x), digest, "response" if f == i else "revisit", None if f == i else f, True)
+
+
+def test_warc_equal_rows_and_lost_segments(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "y" * 500), (1, "u", "y" * 500), (1, "u", "other"), (None, "u", "z" * 500)], "page_id long, url string, html string")
+    p = warc.WarcParams(segment_bytes=100)
+    assert sorted((r.page_id or -1, r.payload_bytes, r.complete) for r in warc.round_trip(pages, p).collect()) == [
+        (-1, 500, True), (1, 5, True), (1, 500, True), (1, 500, True)]
+    warc.write(pages.limit(1), str(tmp_path / "w"), p)
+    recs = warc.read_records(spark, str(tmp_path / "w"))
+    lost = warc.reassemble(recs.where("number <> 2")).collect()
+    assert [(r.payload, r.complete) for r in lost] == [(None, False)]
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+# ---- 5 ----
+
+def test_licenses_by_header_and_directory(spark, empty):
+    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "print()"), (3, "a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
+            (4, "a/y.py", None), (5, "z/y.py", "x"), (6, "a/b/h.py", "# This work is licensed under the GNU General Public License, version 3.\ncode"), (7, None, "licence to kill a mocking bird on tv"), (8, "a", "")]
+    files = spark.createDataFrame(rows, "id long, path string, text string")
+    got = {r.id: (r.own_license, r.license, r.from_dir) for r in licenses.scan(files).collect()}
+    assert got == {1: ("MIT", "MIT", None), 2: (None, "Apache-2.0", "a/b"), 3: ("Apache-2.0",) * 2 + (None,), 4: (None, "MIT", "a"),
+                   5: (None, None, None), 6: ("GPL-3.0", "GPL-3.0", None), 7: (None, None, None), 8: (None, None, None)}
+    assert licenses.license_report(empty).count() == 0
+
+
+def test_license_scores_are_the_cosine(spark):
+    headers = [("Licensed under the Apache License, Version 2.0.", 3), ("released under the mit license, see LICENSE", 2)]
+    got = {r.license: r.score for r in licenses.score(spark.createDataFrame(headers, "header string, n long")).collect()}
+    tok = lambda t: Counter(re.findall(r"\w+", t.lower()))
+    df = Counter()
+    for h, n in headers:
+        for t in tok(h):
+            df[t] += n
+    idf = lambda t: math.log(6 / (1 + df[t])) + 1
+    vec = lambda t: {k: v * idf(k) for k, v in tok(t).items()}
+    cos = lambda a, b: sum(a[k] * b.get(k, 0) for k in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    for (h, _), name in zip(headers, ("Apache-2.0", "MIT"), strict=True):
+        assert got[name] == pytest.approx(max(cos(vec(h), vec(t)) for n, t in licenses.TEMPLATES if n == name), abs=1e-8)
+
+
+# ---- 6 ----
+
+def test_raking_meets_all_marginals(spark):
+    cells = [(s, g, t, float(w)) for (s, g, t), w in zip([(s, g, t) for s in "abc" for g in "xy" for t in "pq"], [5, 1, 9, 2, 7, 7, 3, 1, 4, 6, 2, 8], strict=True)]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, weight double")
+    goals = {"source": {"a": 50, "b": 30, "c": 20}, "lang": {"x": 70, "y": 30}, "topic": {"p": 10, "q": 90}}
+    out = mixing.rake(df, {k: spark.createDataFrame([(a, float(b)) for a, b in v.items()], f"{k} string, target double") for k, v in goals.items()}).collect()
+    w = np.array([c[3] for c in cells])
+    for _ in range(200):
+        for i, dim in enumerate(("source", "lang", "topic")):
+            for v, goal in goals[dim].items():
+                at = np.array([c[i] == v for c in cells])
+                w[at] *= goal / w[at].sum()
+    want = {c[:3]: x for c, x in zip(cells, w, strict=True)}
+    for r in out:
+        assert r.weight == pytest.approx(want[r.source, r.lang, r.topic], rel=1e-3)
+
+
+def test_mixture_rows(docs, empty):
+    out = mixing.mixture(docs)
+    assert out.count() == docs.count()
+    for r in out.collect():
+        assert 0 <= r.copies - math.floor(r.probability) <= 1
+    total = out.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()[0]
+    assert total == pytest.approx(0.5, rel=1e-3)
+    drawn = mixing.sample(docs)
+    assert drawn.columns[: len(docs.columns)] == docs.columns and drawn.count() == out.where("copies > 0").count()
+    assert mixing.mixture(empty).count() == 0
+
+
+# ---- 7 ----
+
+def test_secret_base_patterns(spark, unique):
+    tricky = ['API-key password="aaaaaaaaaa" token: short Secret = abcdefgh1234', "ſecret=abcdefgh12 AKIA1234567890AB", "AKIAAKIA12345678 " + "0f" * 20 + "xyz " + "ab" * 15, "tokentoken=" + "a" * 8]
+    rows = [(i + 500, t) for i, t in enumerate(tricky)] + [(r.doc_id, r.text) for r in unique.collect()]
+    got = by_id(secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows:
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in secret_scan.ASSIGN.finditer(t) if len(m[2]) >= 8]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        shown = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        assert got[i][:3] == tuple(sum(x[1] == k for x in spans) for k in range(3))
+        assert got[i][3] == hashlib.sha256(shown.encode()).hexdigest()
+
+
+def test_secret_models_on_held_out_samples(spark):
+    r = random.Random(9)
+    import string
+    rand = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    syl = ["get", "user", "Name", "data", "frame", "index", "of", "Config", "load", "file", "_", "test", "value", "parse", "2"]
+    ident = lambda: "".join(r.choice(syl) for _ in range(r.randint(5, 9)))
+    train = [(i, " ".join(ident() for _ in range(30)) + f" token={rand(32)}") for i in range(80)]
+    table = secret_scan.train(spark.createDataFrame(train, "doc_id long, text string"))
+    p = secret_scan.DEFAULT
+    hit = sum(bool(secret_scan.markov_spans(f"x {rand(32)} y", [], table, p)) for _ in range(300))
+    false = sum(bool(secret_scan.markov_spans(f"x {ident()} y", [], table, p)) for _ in range(300))
+    assert hit >= 270 and false <= 6
+
+
+def test_secret_scan_empty(docs, empty):
+    assert secret_scan.scan(empty).count() == 0
+    assert secret_scan.scan(docs).count() == docs.count()
+
+
+# ---- 8 ----
+
+def brute_suffix(rows):
+    first = {}
+    for i, t in rows:
+        x = (t or "").encode()
+        for j in range(len(x) - 49):
+            s = x[j: j + 50]
+            first[s] = min(first.get(s, i), i)
+    out = {}
+    for i, t in rows:
+        x = (t or "").encode()
+        gone = np.zeros(len(x), bool)
+        for j in range(len(x) - 49):
+            if first[x[j: j + 50]] < i:
+                gone[j: j + 50] = True
+        left = bytes(np.frombuffer(x, np.uint8)[~gone])
+        spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()) if len(x) else 0
+        out[i] = (len(x), int(gone.sum()), spans, hashlib.sha256(left).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("block,bucket", [(3_000_000, 6_000_000), (700, 2000)])
+def test_suffix_dedup(unique, block, bucket):
+    rows = [(r.doc_id, r.text) for r in unique.collect()]
+    got = by_id(suffix_dedup.suffix_digest(unique, suffix_dedup.SuffixParams(block, bucket)))
+    assert got == brute_suffix(rows)
+
+
+def test_suffix_edge_rows(docs, empty):
+    out = suffix_dedup.suffix_digest(docs)
+    assert out.count() == docs.count()
+    assert out.where("doc_id is null and n_removed > 0").count() == 0
+    assert suffix_dedup.suffix_digest(empty).count() == 0
+
+
+def test_suffix_sort_orders_suffixes():
+    r = random.Random(4)
+    data = np.array([r.randrange(2) for _ in range(600)], np.uint8)
+    at = np.array([r.randrange(550) for _ in range(200)], np.int64)
+    order = suffix_dedup.suffix_sort(data, at, *suffix_dedup.prefix_hashes(data))
+    keys = [bytes(data[i: i + 50]) for i in at[order]]
+    assert keys == sorted(keys) and sorted(order) == list(range(200))
+
+
+# ---- 9, 10 ----
+
+def test_quality_counts(docs, empty):
+    got = defaultdict(list)
+    for r in quality_rules.quality_verdicts(docs).collect():
+        got[r.doc_id].append(tuple(r)[1:7])
+    for r in docs.collect():
+        t = r.text or ""
+        w = words(t)
+        g = [tuple(w[i: i + 3]) for i in range(len(w) - 2)]
+        c = Counter(g)
+        cover = {j for i, x in enumerate(g) if c[x] > 1 for j in (i, i + 1, i + 2)}
+        ls = [x for x in t.split("\n") if words(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(ls) - len(set(ls)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))
+        assert want in got[r.doc_id]
+    assert quality_rules.quality_verdicts(empty).count() == 0
+    assert quality_rules.filter_documents(docs).columns == docs.columns
+
+
+def test_estimates_are_those_of_a_plain_em(spark):
+    r = random.Random(6)
+    names = list(quality_rules.rules())
+    signs = {k: s for k, (s, _) in quality_rules.rules().items()}
+    rows = []
+    for _ in range(400):
+        good = r.random() < 0.8
+        rows.append(tuple(signs[k] * (r.random() < (0.7 if (signs[k] > 0) == good else 0.05)) for k in names))
+    c = Counter(rows)
+    df = spark.createDataFrame([(*k, n) for k, n in c.items()], ", ".join(f"v_{k} int" for k in names) + ", n long")
+    p = quality_rules.RuleParams(max_iterations=5, tolerance=0)
+    got = quality_rules.estimate(df, p)
+    start = {k: (p.good_rate if signs[k] > 0 else p.bad_rate[::-1]) for k in names}
+    good, rate = p.prior_good, dict(start)
+    for _ in range(5):
+        q = {}
+        for k in c:
+            a, b = good, 1 - good
+            for v, name in zip(k, names, strict=True):
+                if v:
+                    a, b = a * rate[name][0], b * rate[name][1]
+            q[k] = a / (a + b)
+        nq, nr = sum(c[k] * q[k] for k in c), sum(c[k] * (1 - q[k]) for k in c)
+        for i, name in enumerate(names):
+            g = (sum(c[k] * q[k] for k in c if k[i]) + p.prior_weight * start[name][0]) / (nq + p.prior_weight)
+            b = (sum(c[k] * (1 - q[k]) for k in c if k[i]) + p.prior_weight * start[name][1]) / (nr + p.prior_weight)
+            rate[name] = (g, min(max(b, g / p.max_odds), g / p.min_odds)) if signs[name] > 0 else (min(max(g, b / p.max_odds), b / p.min_odds), b)
+        good = min(max((nq + p.prior_weight * p.prior_good) / (len(rows) + p.prior_weight), 0.01), 0.99)
+    assert got["good"] == pytest.approx(good)
+    for k in names:
+        assert got["rates"][k] == pytest.approx(rate[k])
+
+
+def test_bayes_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    fit, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    out = quality_bayes.quality(docs, fit).join(held, "doc_id")
+    n = out.count()
+    assert out.where("kept = (quality = 1)").count() >= 0.93 * n
+    assert out.where("kept and quality = 1").count() >= 0.98 * out.where("quality = 1").count()
+
+
+def test_bayes_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 0), (5, None, 0), (999, 0, 0), (206, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_bayes.quality(docs, labels).count() == docs.count()
+    assert quality_bayes.quality(docs, labels.limit(0)).count() == docs.count()
+    assert quality_bayes.quality(empty, labels).count() == 0
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path / "sf")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    now = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, folder)
+        now.write.parquet(f"{folder}/{k}")
+        now = spark.read.parquet(f"{folder}/{k}")
+        assert now.columns[: len(docs.columns)] == docs.columns
+        assert k == len(corpus_pipeline.STAGES) - 1 or now.columns == docs.columns
+    assert 0 < now.count() < docs.count()
