@@ -64,8 +64,8 @@ def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
     """id, key, line, sid (of the word set), size, parity, prefix, begins, ends of every line that is compared."""
     marks = rarity(docs)
     d = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    d = d.withColumn("w", _words(F.col("s"))).withColumn("u", F.array_distinct("w")).where(F.size("u") >= p.min_words)
-    d = d.withColumn("h", F.transform("u", lambda x: F.xxhash64(x)))
+    d = d.withColumn("w", _words(F.col("s"))).where(F.size("w") >= p.min_words)
+    d = d.withColumn("h", F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).where(F.size("h") >= p.min_words)
     low = F.lit((1 << 56) - 1)
     rank = lambda h: F.ascii(F.substring(F.lit(bytearray(marks)), F.pmod(h, F.lit(1 << BITS)).cast("int") + 1, 1).cast("string"))
     d = d.withColumn("r", F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low)))))
@@ -98,11 +98,11 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineParams)
     held = docs.join(sized_broadcast(wanted, 300_000), (docs["id"] == wanted["wid"]) & (docs["key"] == wanted["wkey"]))
     text = held.withColumn("lines", F.split("text", "\n")).select(F.explode("at").alias("a"), "lines").select(
         "a.sid", F.array_distinct(_words(F.get("lines", F.col("a.line")))).alias("u"))
-    text = stash(text.groupBy("sid").agg(F.first("u").alias("u")), "line-words")
+    text = stash(text, "line-words")  # equal rows give a set twice, to no effect
     both = pairs.join(text.select(F.col("sid").alias("later"), F.col("u").alias("x")), "later").join(
         text.select(F.col("sid").alias("earlier"), F.col("u").alias("y")), "earlier")
     both = both.withColumn("o", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("o") >= p.percent * (F.size("x") + F.size("y") - F.col("o"))).select("later", "earlier")
+    return both.where(100 * F.col("o") >= p.percent * (F.size("x") + F.size("y") - F.col("o"))).select("later", "earlier")  # a pair may come twice
 
 
 def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
