@@ -6,8 +6,9 @@ The documents-by-n-grams incidence matrix is multiplied with its transpose in bl
 2. First block: the rarest n-grams of each row, as many as it may miss and still reach the threshold, plus
    one.  Two rows that reach it share a column here.  Rarity comes from a count sketch of all n-grams.
    Columns with one entry drop out.
-3. In each column, rows of like size meet its least row only; overlap counts of those pairs are accumulated
-   and each row keeps its best partner.  The pair's remaining columns are multiplied block by block, and the
+3. In each column, rows of like size meet its earliest row only; overlap counts of those pairs are accumulated
+   and each row keeps its best partner.  A pair goes if the sizes, or 256 parity bits of the sets, already
+   leave the threshold out of reach.  The pair's remaining columns are multiplied block by block, and the
    pair is discarded as soon as its count can't reach the bound that the two sizes imply.
 4. Components of these links.  In columns that still hold several components, the rows outside the
    column's main component meet all rows of other components: what is left of the product.  So a group of
@@ -126,6 +127,27 @@ def _class_id(g: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
+SIGNS = ("s0", "s1", "s2", "s3")
+
+
+def parity(g: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the n-grams that hash to it: two sets differ in at least as many n-grams as in bits."""
+    odd = np.bincount((g & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _alike(x: str, y: str, p: JaccardParams):
+    """Sizes and parity bits of classes x and y leave the threshold within reach, and the least overlap for it."""
+    a, b = F.col(f"n_grams_{x}"), F.col(f"n_grams_{y}")
+    least = F.expr(f"({p.percent} * (n_grams_{x} + n_grams_{y}) + {99 + p.percent}) div {100 + p.percent}")
+    apart = sum((F.bit_count(F.col(f"{s}_{x}").bitwiseXOR(F.col(f"{s}_{y}"))) for s in SIGNS), F.lit(0))
+    return (100 * F.least(a, b) >= p.percent * F.greatest(a, b)) & (apart <= a + b - 2 * least), least
+
+
+def _named(df: DataFrame, x: str, *keep: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{c}_{x}") for c in df.columns])
+
+
 def rows_of(docs: DataFrame, p: JaccardParams) -> DataFrame:
     """id, n_grams, cid (of the set; null: no n-grams), prefix (its rarest n-grams, rarest first) of every row."""
     counts = sketch(docs.select("text"), p.n)
@@ -134,7 +156,7 @@ def rows_of(docs: DataFrame, p: JaccardParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            sizes, ids, prefixes = [], [], []
+            sizes, ids, prefixes, signs = [], [], [], []
             for t in b.column(1).to_pylist():
                 g = gram_set(t, p.n, hashes)
                 k = prefix_length(len(g), p.percent) if len(g) else 0
@@ -142,10 +164,11 @@ def rows_of(docs: DataFrame, p: JaccardParams) -> DataFrame:
                 sizes.append(len(g))
                 ids.append(_class_id(g) if len(g) else None)
                 prefixes.append(g[order].view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                                  ["id", "n_grams", "cid", "prefix"])
+                signs.append(parity(g))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                                   *(pa.array([x[i] for x in signs], pa.int64()) for i in range(4))], ["id", "n_grams", "cid", "prefix", *SIGNS])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_grams long, cid long, prefix array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_grams long, cid long, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
 def overlap(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -176,7 +199,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: JaccardPa
             yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in g], pa.binary())], ["cid", "grams"]).filter(pa.array(same, pa.bool_()))
 
     texts = docs.join(sized_broadcast(wanted, 2_000_000), docs["id"] == wanted["rep"]).select("cid", "text")
-    grams = stash(texts.mapInArrow(sets, "cid long, grams binary").groupBy("cid").agg(F.first("grams").alias("grams")), "jaccard-sets")
+    grams = stash(texts.mapInArrow(sets, "cid long, grams binary"), "jaccard-sets")  # equal rows give a set twice, to no effect
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,32 +212,35 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: JaccardPa
 
     both = pairs.select("u", "v").join(grams.select(F.col("cid").alias("u"), F.col("grams").alias("gu")), "u").join(
         grams.select(F.col("cid").alias("v"), F.col("grams").alias("gv")), "v")
-    return both.select("u", "v", "gu", "gv").mapInArrow(check, "u long, v long")
+    return both.select("u", "v", "gu", "gv").mapInArrow(check, "u long, v long").distinct()
 
 
-def first_links(live: DataFrame, p: JaccardParams) -> DataFrame:
-    """For each class its likeliest partner: the least class of like size in most of its columns."""
+def first_links(live: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
+    """For each class its likeliest partner: the earliest class of like size in most of its columns."""
     band = F.floor(F.log("n_grams") / math.log(100 / p.percent)).alias("band")
-    rows = live.select("cid", "gram", band)
-    least = rows.groupBy("gram", "band").agg(F.min("cid").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
-    met = rows.join(least, ["gram", "band"]).where("cid <> least").groupBy("cid", "least").agg(F.count("*").alias("k"))
-    return met.groupBy("cid").agg(F.max_by("least", F.struct("k", -F.col("least"))).alias("least")).select(F.col("cid").alias("u"), F.col("least").alias("v"))
+    rows = live.select("cid", "rep", "gram", band)
+    least = rows.groupBy("gram", "band").agg(F.min(F.struct("rep", "cid")).alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+    met = rows.join(least, ["gram", "band"]).where("cid <> least.cid").groupBy("cid", "least").agg(F.count("*").alias("k"))
+    met = met.groupBy("cid").agg(F.max_by("least", F.struct("k", -F.col("least.rep"), "least.cid")).alias("least")).select(F.col("cid").alias("u"), F.col("least.cid").alias("v"))
+    signs = classes.select("cid", "n_grams", *SIGNS)
+    met = met.join(_named(signs, "x"), F.col("u") == F.col("cid_x")).join(_named(signs, "y"), F.col("v") == F.col("cid_y"))
+    return met.where(_alike("x", "y", p)[0]).select("u", "v")
 
 
-def rest(live: DataFrame, labels: DataFrame, p: JaccardParams) -> DataFrame:
+def rest(live: DataFrame, classes: DataFrame, labels: DataFrame, p: JaccardParams) -> DataFrame:
     """Pairs of classes of different components that share a column and may reach the threshold."""
     rows = live.join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     rows = stash(rows, "jaccard-rows")
     by = rows.groupBy("gram", "component").agg(F.count("*").alias("k")).groupBy("gram").agg(
         F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("gram", "main")
-    mixed = stash(rows.join(by, "gram"), "jaccard-mixed")
-    x = mixed.where("component <> main").select("gram", *[F.col(c).alias(f"{c}_x") for c in ("cid", "n_grams", "pos", "component")])
-    y = mixed.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("cid", "n_grams", "pos", "component", "main")])
-    least = F.ceil((F.col("n_grams_x") + F.col("n_grams_y")) * F.lit(p.percent) / F.lit(100 + p.percent) - F.lit(1e-9))
-    may = F.least(F.col("n_grams_x") - F.col("pos_x"), F.col("n_grams_y") - F.col("pos_y")) >= least
+    mixed = stash(rows.join(by, "gram").join(classes.select("cid", *SIGNS), "cid"), "jaccard-mixed")
+    columns = mixed.select("gram", "cid", "n_grams", "pos", "component", "main", *SIGNS)
+    x, y = _named(columns.where("component <> main"), "x", "gram"), _named(columns, "y").withColumnRenamed("gram_y", "gram2")
+    may, least = _alike("x", "y", p)
+    may &= F.least(F.col("n_grams_x") - F.col("pos_x"), F.col("n_grams_y") - F.col("pos_y")) >= least
     # a pair outside the main component would come twice
     once = (F.col("component_y") == F.col("main_y")) | (F.col("cid_x") < F.col("cid_y"))
-    pairs = x.join(y, (x["gram"] == y["gram"]) & (F.col("component_x") != F.col("component_y")) & may & once)
+    pairs = x.join(y, (F.col("gram") == F.col("gram2")) & (F.col("component_x") != F.col("component_y")) & may & once)
     return pairs.select(F.col("cid_x").alias("u"), F.col("cid_y").alias("v")).distinct()
 
 
@@ -223,19 +249,19 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = DEFAULT, id_col:
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stash(rows_of(d, params), "jaccard-documents")
     classes = stash(rows.where("id is not null and cid is not null").groupBy("cid").agg(
-        F.min("id").alias("rep"), F.first("n_grams").alias("n_grams"), F.first("prefix").alias("prefix")), "jaccard-classes")
-    columns = classes.select("cid", "n_grams", F.posexplode("prefix").alias("pos", "gram"))
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n_grams", "prefix", *SIGNS)]), "jaccard-classes")
+    columns = classes.select("cid", "rep", "n_grams", F.posexplode("prefix").alias("pos", "gram"))
     shared = columns.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     live = stash(columns.join(shared, "gram"), "jaccard-columns")
-    links = stash(verified(stash(first_links(live, params), "jaccard-first"), classes, d, params), "jaccard-links")
+    links = stash(verified(stash(first_links(live, classes, params), "jaccard-first"), classes, d, params), "jaccard-links")
     labels = components(links)
-    more = stash(rest(live, labels, params), "jaccard-rest")
+    more = stash(rest(live, classes, labels, params), "jaccard-rest")
     links = links.unionByName(verified(more, classes, d, params))
     labels = components(links)
     least = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     of = labels.join(least, "component").select(F.col("node").alias("cid"), "least")
     whole = classes.select("cid", "rep").join(of, "cid", "left").select("cid", F.coalesce("least", "rep").alias("component"))
-    return rows.drop("prefix").join(whole, "cid", "left").select(
+    return rows.drop("prefix", *SIGNS).join(whole, "cid", "left").select(
         "id", "n_grams", "cid", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
