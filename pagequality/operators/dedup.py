@@ -67,12 +67,11 @@ def _persist_round(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def near_duplicate_status(members: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def near_duplicate_status(members: DataFrame) -> DataFrame:
     """Resolve the greedy keep-best over bucket memberships.
 
     Returns ``(ord, kept boolean, dup_of bigint, round int)`` for every
-    indexed row.  ``max_rounds`` is for tests only; the default runs until
-    every row is decided.
+    indexed row.  Rounds run until every row is decided.
     """
     members = _persist_round(members)
     status = members.select("ord", "prio").distinct().withColumn("kept", F.lit(None).cast("boolean")) \
@@ -81,7 +80,7 @@ def near_duplicate_status(members: DataFrame, max_rounds: int | None = None) ->
     rnd = 0
     while True:
         live = status.where(F.col("kept").isNull()).select("ord")
-        if live.limit(1).count() == 0 or (max_rounds is not None and rnd >= max_rounds):
+        if live.limit(1).count() == 0:
             break
         rnd += 1
         lm = members.join(live, "ord", "left_semi")

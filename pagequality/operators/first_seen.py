@@ -21,17 +21,10 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
 
-ORDER_BITS = 32
-
 
 def order_key(*cols) -> F.Column:
-    """Pack ordered non-negative int columns into one long (first is major)."""
-    if len(cols) == 1:
-        return F.col(cols[0]).cast("long")
-    out = F.col(cols[0]).cast("long")
-    for c in cols[1:]:
-        out = out * F.lit(1 << ORDER_BITS) + F.col(c).cast("long")
-    return out
+    """The columns as one ordered key (first is major); values of any size keep apart."""
+    return F.struct(*[F.col(c).cast("long").alias(f"k{i}") for i, c in enumerate(cols)])
 
 
 def first_seen(df: DataFrame, key_col: str, order_col: str, scope_cols=()) -> DataFrame:

@@ -268,7 +268,7 @@ cl AS (
 
 def search_ctes(limit: int) -> str:
     return results_view_cte() + f"""
-c0 AS (SELECT *, page::BIGINT * 4294967296 + pos::BIGINT AS ord FROM cl),
+c0 AS (SELECT *, page::HUGEINT * 18446744073709551616 + pos::HUGEINT AS ord FROM cl),
 fs AS (SELECT query, canon, min(ord) AS f FROM c0 WHERE drop_reason IS NULL GROUP BY query, canon),
 c2 AS (SELECT c0.*, (c0.drop_reason IS NULL AND c0.ord = fs.f) AS is_new
        FROM c0 LEFT JOIN fs ON c0.query = fs.query AND c0.canon = fs.canon),
@@ -292,7 +292,7 @@ def entries_ctes() -> str:
 de AS (
   SELECT d.source AS session, d.doc_id AS ord, regexp_extract(d.text, '^([^\\n]*)', 1) AS title,
          'https://' || d.source || '.example.org/doc/' || d.doc_id::VARCHAR AS url, d.text AS content,
-         substr(d.text, 1, 160) AS snippet, NULL::VARCHAR AS query, NULL::VARCHAR AS error,
+         d.text AS snippet, NULL::VARCHAR AS query, NULL::VARCHAR AS error,
          CASE WHEN d.text IS NULL OR x.strip_len < {P.min_text} THEN 0
               ELSE least(100, greatest(0, {P.baseline} + x.t_points)) END AS score,
          0.0::DOUBLE AS relevance, 'unknown' AS page_type

@@ -230,7 +230,7 @@ def doc_entries(spark, sf):
                     F.regexp_extract("text", r"^([^\n]*)", 1).alias("title"),
                     F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"),
                              F.col("doc_id").cast("string")).alias("url"),
-                    F.col("text").alias("content"), F.substring("text", 1, 160).alias("snippet"),
+                    F.col("text").alias("content"), F.col("text").alias("snippet"),
                     F.lit(None).cast("string").alias("query"), F.lit(None).cast("string").alias("error"),
                     F.col("quality.score").alias("score"), F.col("quality.relevance").alias("relevance"),
                     F.col("quality.page_type").alias("page_type"), F.col("quality.flags").alias("flags"))

@@ -3,9 +3,7 @@ shared checkpoint folder used to cut lineage in iterative jobs."""
 
 from __future__ import annotations
 
-import os
 import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,14 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="pq-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A unique path under the checkpoint folder for intermediate tables."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")

@@ -30,12 +30,19 @@ def parse_blocklist_line(line: Column) -> Column:
     return F.when(ok, F.lower(dom))
 
 
+def _missing(e: AnalysisException) -> bool:
+    """Only a path that doesn't exist may stand for an empty list."""
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     """Stripped non-blank lines whose unstripped text does not start with
     ``#``; ``(ord, value)`` keeps file order.  A missing path gives no rows."""
     try:
         raw = spark.read.text(path)
-    except Exception:  # missing file: empty list
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
         return spark.createDataFrame([], "ord long, value string")
     raw = raw.withColumn("ord", F.monotonically_increasing_id())
     kept = raw.where((F.trim(F.col("value")) != "") & ~F.col("value").startswith("#"))
@@ -54,8 +61,10 @@ def read_blocklists(spark: SparkSession, paths=None, params: Params = DEFAULT) -
     for p in paths or []:
         try:
             raw = spark.read.text(p)
-        except Exception:  # missing file: contributes nothing
-            continue
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
+            continue  # a missing file contributes nothing
         parsed = (raw.select(parse_blocklist_line(F.col("value")).alias("domain"),
                              F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt)?$", 1).alias("list"))
                   .where(F.col("domain").isNotNull()))
