@@ -8,6 +8,7 @@ text reader; the union with the built-in custom list is a ``distinct``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from ..functions.text import py_strip
 from ..params import DEFAULT, Params
 
 # Fixed line patterns of the blocklist grammar.
-WILDCARD_RULE = r"(?i)^\*://\*?\.?([a-z0-9][\w.-]+\.[a-z]{2,})(/\*)?\z"
-PLAIN_RULE = r"(?i)^([a-z0-9][\w.-]+\.[a-z]{2,})\z"
+WILDCARD_RULE = r"(?iU)^\*://\*?\.?([a-z0-9][\w.-]+\.[a-z]{2,})(/\*)?\z"
+PLAIN_RULE = r"(?iU)^([a-z0-9][\w.-]+\.[a-z]{2,})\z"
 
 
 def parse_blocklist_line(line: Column) -> Column:
@@ -45,8 +46,8 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
             raise
         return spark.createDataFrame([], "ord long, value string")
     raw = raw.withColumn("ord", F.monotonically_increasing_id())
-    kept = raw.where((F.trim(F.col("value")) != "") & ~F.col("value").startswith("#"))
-    return kept.select("ord", F.trim(F.col("value")).alias("value"))
+    kept = raw.where((py_strip(F.col("value")) != "") & ~F.col("value").startswith("#"))
+    return kept.select("ord", py_strip(F.col("value")).alias("value"))
 
 
 def custom_blocked(spark: SparkSession, params: Params = DEFAULT) -> DataFrame:

@@ -50,3 +50,19 @@ def test_filter_order_ext_before_blocked(spark):
                                 ("https://ok.com/a",)], "url string")
     got = [r.drop_reason for r in classify_results(df, blocked).orderBy("url").collect()]
     assert got == ["blocked", "ext", None, "ext"]
+
+
+def test_unicode_hosts_and_tabs(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from pagequality.sources.blocklists import parse_blocklist_line, read_word_list
+
+    lines = ["*://*.b\u00fccher-laden.net/*", "stra\u00dfe.example.com", "nope"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert [r[0] for r in df.select(parse_blocklist_line(F.col("value"))).collect()] == ["b\u00fccher-laden.net", "stra\u00dfe.example.com", None]
+    (tmp_path / "w.txt").write_text("\tone\t\n\t\n two \n#no\n", encoding="utf-8")
+    assert [r.value for r in read_word_list(spark, str(tmp_path / "w.txt")).orderBy("ord").collect()] == ["one", "two"]
+    assert read_word_list(spark, str(tmp_path / "missing.txt")).count() == 0
+    with pytest.raises(Exception):
+        read_word_list(spark, "nosuchscheme://x/y")
