@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,33 +54,61 @@ DEFAULT = JaccardParams()
 NEAR = JaccardParams(n=5, percent=80)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+#: Bytes of ASCII white space.
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte at each of 64 places of a word; A-Z have those of a-z.
+PLACES = 64
+TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, (PLACES, 256), np.uint64)
+TABLE[:, 65:91] = TABLE[:, 97:123]
+WORDS_AT_ONCE = 1 << 16
+GOLD, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def _stir(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h *= ODD
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def gram_set(text: str | None, n: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; bytes.split() cuts at ASCII white space, lower() moves A-Z."""
-    ws = (text or "").encode().lower().split()
-    if not ws:
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words in order, by tabulation: the sum of the table's numbers for a word's bytes at their places."""
+    a = np.frombuffer((text or "").encode(), np.uint8)
+    if not len(a):
         return np.zeros(0, np.uint64)
-    h = np.fromiter((hashes[w] for w in ws), np.uint64, len(ws))
-    k = min(n, len(ws))
-    g = np.full(len(h) - k + 1, k, np.uint64)
+    space = SPACE[a]
+    edges = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(0, len(starts), WORDS_AT_ONCE):  # bounds the memory for long texts
+        s, e = starts[i: i + WORDS_AT_ONCE], ends[i: i + WORDS_AT_ONCE]
+        n = e - s
+        at = np.cumsum(n) - n
+        place = np.arange(n.sum(), dtype=np.int32) - np.repeat(at.astype(np.int32), n)
+        part = a[s[0]: e[-1]][~space[s[0]: e[-1]]]
+        v = TABLE.ravel().take(((place & (PLACES - 1)) << 8) | part)
+        if n.max() > PLACES:
+            v *= _stir((place // PLACES).astype(np.uint64) * GOLD) | np.uint64(1)
+        out[i: i + WORDS_AT_ONCE] = np.add.reduceat(v, at) + n.astype(np.uint64) * GOLD
+    return out
+
+
+def gram_set(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word n-grams; words end at ASCII white space, A-Z count as a-z."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    k = min(n, len(h))
+    m = len(h) - k + 1
+    g = np.full(m, k, np.uint64)
     for i in range(k):
-        g = mix(g * np.uint64(0x9E3779B97F4A7C15) + h[i: len(h) - k + 1 + i])
-    return np.unique(g)
+        g *= GOLD
+        g += h[i: i + m]
+        g = _stir(g)
+    g = _stir(g * GOLD)
+    g.sort()
+    return g[np.concatenate(([True], g[1:] != g[:-1]))]
 
 
 def _bucket(g: np.ndarray) -> np.ndarray:
@@ -93,9 +121,9 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     step = size // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hashes = np.zeros(size, np.uint32), _Hashes()
+        total = np.zeros(size, np.uint32)
         for b in batches:
-            grams = [gram_set(t, n, hashes) for t in b.column(0).to_pylist()]
+            grams = [gram_set(t, n) for t in b.column(0).to_pylist()]
             if grams:
                 total += np.bincount(_bucket(np.concatenate(grams)), minlength=size).astype(np.uint32)
         yield pa.record_batch([pa.array(range(64), pa.int32()), pa.array([total[i * step: (i + 1) * step].tobytes() for i in range(64)], pa.binary())], ["block", "counts"])
@@ -154,11 +182,10 @@ def rows_of(docs: DataFrame, p: JaccardParams) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for b in batches:
             sizes, ids, prefixes, signs = [], [], [], []
             for t in b.column(1).to_pylist():
-                g = gram_set(t, p.n, hashes)
+                g = gram_set(t, p.n)
                 k = prefix_length(len(g), p.percent) if len(g) else 0
                 order = np.lexsort((g, counts[_bucket(g)]))[:k]
                 sizes.append(len(g))
@@ -191,28 +218,34 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: JaccardPa
     """The pairs (u, v) of classes whose sets reach the threshold."""
     wanted = stash(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid"), "jaccard-wanted")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor()
         for b in batches:
-            g = [gram_set(t, p.n, hashes) for t in b.column(1).to_pylist()]
-            same = [_class_id(x) == c for x, c in zip(g, b.column(0).to_pylist(), strict=True)]  # not another row of that id
-            yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in g], pa.binary())], ["cid", "grams"]).filter(pa.array(same, pa.bool_()))
+            yield pa.record_batch([b.column(0), pa.array([z.compress(t.encode()) for t in b.column(1).to_pylist()], pa.binary())], ["cid", "packed"])
 
-    texts = docs.join(sized_broadcast(wanted, 2_000_000), docs["id"] == wanted["rep"]).select("cid", "text")
-    grams = stash(texts.mapInArrow(sets, "cid long, grams binary"), "jaccard-sets")  # equal rows give a set twice, to no effect
+    held = docs.where("text is not null").join(sized_broadcast(wanted, 2_000_000), docs["id"] == wanted["rep"]).select("cid", "text")
+    texts = stash(held.mapInArrow(pack, "cid long, packed binary"), "jaccard-texts")  # smaller than their sets of hashes
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, last = zstandard.ZstdDecompressor(), (None, None)
+
+        def grams(cid: int, packed: bytes) -> np.ndarray | None:
+            g = gram_set(z.decompress(packed).decode(), p.n)
+            return g if _class_id(g) == cid else None  # else another row of that id
+
         for b in batches:
             ok = []
-            for x, y in zip(b.column("gu").to_pylist(), b.column("gv").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                least = need(len(x), len(y), p.percent)
-                ok.append(min(len(x), len(y)) >= least and overlap(x, y, least) >= least)
+            for u, v, x, y in zip(*(b.column(c).to_pylist() for c in ("u", "v", "x", "y")), strict=True):
+                if last[0] != (v, y):
+                    last = (v, y), grams(v, y)
+                gu, gv = grams(u, x), last[1]
+                least = need(len(gu), len(gv), p.percent) if gu is not None and gv is not None else 0
+                ok.append(least > 0 and min(len(gu), len(gv)) >= least and overlap(gu, gv, least) >= least)
             yield pa.record_batch([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.select("u", "v").join(grams.select(F.col("cid").alias("u"), F.col("grams").alias("gu")), "u").join(
-        grams.select(F.col("cid").alias("v"), F.col("grams").alias("gv")), "v")
-    return both.select("u", "v", "gu", "gv").mapInArrow(check, "u long, v long").distinct()
+    both = pairs.select("u", "v").join(texts.select(F.col("cid").alias("u"), F.col("packed").alias("x")), "u").join(
+        texts.select(F.col("cid").alias("v"), F.col("packed").alias("y")), "v")
+    return both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long").distinct()
 
 
 def first_links(live: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFrame:
