@@ -63,13 +63,14 @@ def rarity(docs: DataFrame) -> bytes:
 
 def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
     """id, key, line, sid (of the word set), size, parity, prefix, begins, ends of every line that is compared."""
+    # explode() of one array computes it once: filters on the result would else be pushed below, and its steps with them
     marks = rarity(docs)
     d = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    d = d.withColumn("w", _words(F.col("s"))).where(F.size("w") >= p.min_words)
-    d = d.withColumn("h", F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).where(F.size("h") >= p.min_words)
     low = F.lit((1 << 56) - 1)
     rank = lambda h: F.ascii(F.substring(F.lit(bytearray(marks)), F.pmod(h, F.lit(1 << BITS)).cast("int") + 1, 1).cast("string"))
-    d = d.withColumn("r", F.sort_array(F.transform("h", lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low)))))
+    r = F.transform(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))), lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low)))
+    d = d.select("id", "key", "line", F.explode(F.array(_words(F.col("s")))).alias("w")).where(F.size("w") >= p.min_words)
+    d = d.select("id", "key", "line", "w", F.explode(F.array(F.sort_array(r))).alias("r")).where(F.size("r") >= p.min_words)
     size = F.size("r")
     length = size - F.expr(f"cast(({p.percent} * size(r) + 99) div 100 as int)") + 1
     return d.select(
