@@ -10,8 +10,8 @@ from ..params import DEFAULT, Params
 
 
 def canonical_url(url: Column) -> Column:
-    """Everything before the first ``?`` or ``#``; no other folding."""
-    return F.regexp_replace(url, r"(?s)[?#].*", "")
+    """Everything before the first ``?`` or ``#`` of a line; no other folding."""
+    return F.regexp_replace(url, r"(?d)[?#].*", "")
 
 
 def rewrite_url(url: Column, params: Params = DEFAULT) -> Column:

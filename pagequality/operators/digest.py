@@ -178,7 +178,7 @@ def page_view(entries: DataFrame, markdown_col: str | None = None) -> DataFrame:
     """Preview header and body of every entry (select one with ``ord``)."""
     flags = F.when(F.size(F.coalesce("flags", F.array())) > 0,
                    F.concat(F.lit("flags: "), F.array_join("flags", ", ")))
-    body = F.coalesce(F.col(markdown_col) if markdown_col else F.lit(None), F.col("content"),
+    body = F.coalesce(F.col(markdown_col) if markdown_col else F.lit(None), F.nullif(F.col("content"), F.lit("")),
                       F.lit("No content extracted."))
     header = F.concat_ws("\n\n",
                          F.concat(F.lit("# "), F.coalesce("title", F.lit("Untitled"))),
@@ -192,12 +192,12 @@ def page_view(entries: DataFrame, markdown_col: str | None = None) -> DataFrame:
 
 def prompt_rows(entries: DataFrame, sessions: DataFrame | None = None, params: Params = DEFAULT) -> DataFrame:
     """Inference prompts for analysable entries (content longer than 50):
-    content cut to the model input size; the entry's own query, else all
+    content cut to the model input size; the entry's own query (an empty one stays), else all
     session queries joined by a space."""
     d = entries.where(F.coalesce(F.length("content"), F.lit(0)) > params.min_text)
     if sessions is not None:
         d = d.join(sessions.select("session", F.array_join("queries", " ").alias("_all_q")), "session", "left")
-        q = F.coalesce(F.nullif(F.col("query"), F.lit("")), F.col("_all_q"), F.lit(""))
+        q = F.coalesce(F.col("query"), F.col("_all_q"), F.lit(""))
     else:
         q = F.coalesce(F.col("query"), F.lit(""))
     pre, rest = params.prompt_template.split("{query}")

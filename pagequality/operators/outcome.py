@@ -37,7 +37,7 @@ def with_outcome(pages: DataFrame, transcripts: DataFrame | None = None, params:
     error = (F.when(video & F.col("content").isNull(), F.lit("No transcript available"))
              .when(~video & ~long_ & ~success, message))
     d = d.withColumn("outcome", outcome).withColumn("error", error)
-    d = d.withColumn("is_blocked_fetch", ~video & ~success & F.coalesce(message.contains("403"), F.lit(False)))
+    d = d.withColumn("is_blocked_fetch", ~success & F.coalesce(message.contains("403"), F.lit(False)))
     return d.drop("_pq_tr") if transcripts is not None else d
 
 

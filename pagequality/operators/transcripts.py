@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
 from .text_stats import token_array
 
 
 def transcript_stats(segments: DataFrame, key: str = "conv_id", order: str = "turn",
                      text_col: str = "text") -> DataFrame:
     """Per transcript: segments, length of the space-joined text, words,
-    first and last segment position, and a content hash independent of the
-    physical order (sum of per-segment hashes)."""
+    first and last segment position."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     return segments.groupBy(key).agg(
         F.count("*").cast("long").alias("segments"),
@@ -40,8 +40,8 @@ def transcript_segments(segments: DataFrame, key: str = "conv_id", order: str =
 
 
 def stripped_segments(segments: DataFrame, text_col: str = "text") -> DataFrame:
-    """Second-provider form: each segment stripped, empty ones dropped."""
-    return segments.withColumn(text_col, F.trim(F.col(text_col))).where(F.length(text_col) > 0)
+    """Second-provider form: each segment stripped of white space; empty ones stay."""
+    return segments.withColumn(text_col, py_strip(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def transcript_source(captions: DataFrame, fallback: DataFrame, key: str = "conv_id",

@@ -83,7 +83,7 @@ def page_title(h: str) -> str:
 
 
 def canonical(u: str) -> str:
-    return f"regexp_replace({u}, '(?s)[?#].*', '')"
+    return f"regexp_replace({u}, '[?#].*', '')"
 
 
 def url_host(u: str) -> str:
@@ -430,7 +430,7 @@ SELECT session, ord::BIGINT AS ord,
             'quality: ' || coalesce(score::VARCHAR, '?') || '/100 | relevance: ' || {py_float3('relevance')}
             || ' | type: ' || coalesce(page_type, 'unknown'),
             CASE WHEN len(coalesce(flags, [])) > 0 THEN 'flags: ' || array_to_string(flags, ', ') END, '---') AS header,
-  coalesce({html_to_markdown('html')}, content, 'No content extracted.') AS body
+  coalesce({html_to_markdown('html')}, nullif(content, ''), 'No content extracted.') AS body
 FROM pe"""
 
 ORACLE_SQL["text_signals"] = "WITH " + text_stats_ctes("documents", "doc_id", "text", "x") + """
@@ -518,7 +518,7 @@ def _sql_text(s: str) -> str:
 
 ORACLE_SQL["prompt_rows"] = entries_ctes() + f"""
 SELECT de.session, de.ord::BIGINT AS ord,
-  {_sql_text(_PRE)} || coalesce(nullif(de.query, ''), array_to_string(ds.queries, ' '), '') || {_sql_text(_MID)}
+  {_sql_text(_PRE)} || coalesce(de.query, array_to_string(ds.queries, ' '), '') || {_sql_text(_MID)}
   || substr(de.content, 1, {P.llm_max_input_chars}) || {_sql_text(_POST)} AS prompt
 FROM de LEFT JOIN ds ON de.session = ds.session
 WHERE coalesce(length(de.content), 0) > {P.min_text}"""
@@ -588,19 +588,19 @@ SELECT conv_id, count(*)::BIGINT AS segments, (sum(length(coalesce(text, ''))) +
 FROM conversations GROUP BY conv_id"""
 
 ORACLE_SQL["lexical_relevance"] = f"""
-WITH t AS (SELECT conv_id * 100000 + turn AS tid, text FROM conversations),
+WITH t AS (SELECT {{'c': conv_id::BIGINT, 't': turn::BIGINT}} AS tid, text FROM conversations),
 terms AS (SELECT tid, unnest({tokens('lower(text)')}) AS term FROM t),
 tf AS (SELECT tid, term, count(*) AS tf FROM terms GROUP BY tid, term),
 n AS (SELECT count(DISTINCT tid) AS n FROM t),
 idf AS (SELECT term, ln((n.n + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term, n.n),
 w AS (SELECT tf.tid, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term),
 nm AS (SELECT tid, sqrt(sum(w * w)) AS norm FROM w GROUP BY tid),
-pairs AS (SELECT conv_id * 100000 + turn - 1 AS query_key, conv_id * 100000 + turn AS text_key
+pairs AS (SELECT {{'c': conv_id::BIGINT, 't': turn::BIGINT - 1}} AS query_key, {{'c': conv_id::BIGINT, 't': turn::BIGINT}} AS text_key
           FROM conversations WHERE role = 'assistant'),
 dots AS (SELECT p.query_key, p.text_key, sum(wl.w * wr.w) AS dot FROM pairs p
          JOIN w wl ON wl.tid = p.query_key JOIN w wr ON wr.tid = p.text_key AND wr.term = wl.term
          GROUP BY p.query_key, p.text_key)
-SELECT p.query_key::BIGINT AS query_key, p.text_key::BIGINT AS text_key,
+SELECT p.text_key.c AS conv_id, p.query_key.t AS query_turn, p.text_key.t AS text_turn,
   round(CASE WHEN nl.norm > 0 AND nr.norm > 0 THEN least(1.0, greatest(0.0, coalesce(d.dot, 0.0) / (nl.norm * nr.norm)))
              ELSE 0.0 END, 6) AS relevance
 FROM pairs p LEFT JOIN dots d ON p.query_key = d.query_key AND p.text_key = d.text_key

@@ -327,12 +327,13 @@ def q_transcripts(spark, sf):
 
 def q_lexical_relevance(spark, sf):
     c = read_table(spark, sf, "conversations", partition=False)
-    texts = c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("tid"), "text")
+    conv, turn = _long(F.col("conv_id")), _long(F.col("turn"))
+    at = F.struct(conv.alias("c"), turn.alias("t"))
+    texts = c.select(at.alias("tid"), "text")
     pairs = (c.where(F.col("role") == "assistant")
-             .select((F.col("conv_id") * 100000 + F.col("turn") - 1).alias("query_key"),
-                     (F.col("conv_id") * 100000 + F.col("turn")).alias("text_key")))
+             .select(F.struct(conv.alias("c"), (turn - 1).alias("t")).alias("query_key"), at.alias("text_key")))
     r = lexical_relevance(pairs, texts, "tid", "text")
-    return r.select(_long(F.col("query_key")).alias("query_key"), _long(F.col("text_key")).alias("text_key"),
+    return r.select(F.col("text_key.c").alias("conv_id"), F.col("query_key.t").alias("query_turn"), F.col("text_key.t").alias("text_turn"),
                     F.round("relevance", R).alias("relevance"))
 
 
