@@ -5,8 +5,8 @@ with its own.  Lines with fewer than min_words distinct words aren't compared.
 
 1. A count sketch of all words gives their order by rarity, ties by hash: an array of one byte a bucket,
    fixed in size whatever the corpus.
-2. Equal word sets become one row with their first place (partial aggregation before the shuffle); all
-   other places of it are removed without a join.
+2. Of equal word sets only the first place goes on (found by partial aggregation before the shuffle); all
+   other places of it are removed.  A set goes by the number that its row got when it was written.
 3. Sets that begin or end with the same words are verified against the first of them.  This decides most of
    a family of near copies at one pair a line.
 4. Prefix join: sets meet on the rarest words each may not miss.  A pair is a candidate if its sizes, the
@@ -46,7 +46,10 @@ DEFAULT = LineParams()
 
 def _words(line):
     """Lower-cased words between ASCII white space; a split at one plain character needs no regular expression."""
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\n\x0b\f\r", "     "), " "), "")
+    line = F.lower(line)
+    for space in "\t\n\x0b\f\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(docs: DataFrame) -> bytes:
@@ -54,15 +57,17 @@ def rarity(docs: DataFrame) -> bytes:
     n = 1 << BITS
     bucket = F.pmod(F.xxhash64("w"), F.lit(n)).alias("b")
     counts = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
-    mark = F.char(33 + F.least(F.lit(90), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))))
-    all_ = docs.sparkSession.range(n).withColumnRenamed("id", "b").join(counts, "b", "left")
-    blocks = all_.groupBy(F.expr(f"b div {BLOCK}").alias("block")).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", mark.alias("m")))), lambda x: x["m"]), "").alias("marks"))
-    return "".join(r["marks"] for r in sorted(blocks.collect())).encode()  # of fixed size
+    packed = F.col("b") * 128 + F.least(F.lit(90), F.floor(4 * F.log2(1 + F.col("n"))))
+    blocks = counts.groupBy(F.expr(f"b div {BLOCK}")).agg(F.collect_list(packed.cast("int")).alias("marks"))
+    marks = bytearray(b"!" * n)
+    for r in blocks.collect():  # n entries at most
+        for x in r["marks"]:
+            marks[x >> 7] += x & 127
+    return bytes(marks)
 
 
 def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
-    """id, key, line, sid (of the word set), size, parity, prefix, begins, ends of every line that is compared."""
+    """id, key, line, sid (of the word set), parity, size, prefix, begins, ends and a number of every line that is compared."""
     # explode() of one array computes it once: filters on the result would else be pushed below, and its steps with them
     marks = rarity(docs)
     d = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
@@ -74,7 +79,7 @@ def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
     size = F.size("r")
     length = size - F.expr(f"cast(({p.percent} * size(r) + 99) div 100 as int)") + 1
     return d.select(
-        "id", "key", "line", F.xxhash64("r").alias("sid"), size.alias("size"),
+        "id", "key", "line", F.monotonically_increasing_id().alias("n"), F.xxhash64("r").alias("sid"), size.alias("size"),
         F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("parity"),
         F.transform(F.slice("r", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
         F.xxhash64(F.slice("w", 1, p.ends)).alias("begins"), F.xxhash64(F.reverse(F.slice(F.reverse("w"), 1, p.ends)), F.lit(1)).alias("ends"))
@@ -92,51 +97,52 @@ def _named(df: DataFrame, x: str, *keep: str) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{c}_{x}") for c in df.columns])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, p: LineParams) -> DataFrame:
-    """The pairs (later, earlier) of sets that reach the threshold, on their words."""
-    wanted = pairs.select(F.explode(F.array("later", "earlier")).alias("sid")).distinct().join(sets.select("sid", "first"), "sid")
-    wanted = stash(wanted.groupBy(F.col("first.id").alias("wid"), F.col("first.key").alias("wkey")).agg(
-        F.collect_list(F.struct("sid", "first.line")).alias("at")), "line-wanted")  # of one document
+def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, p: LineParams) -> DataFrame:
+    """The later line's number of each pair (n_a, n_b) that reaches the threshold, on the words; a number may come twice."""
+    wanted = sized_broadcast(pairs.select(F.explode(F.array("n_a", "n_b")).alias("n")).distinct(), 1_000_000)
+    wanted = lines.select("n", "id", "line", "key").join(wanted, "n")
+    wanted = stash(wanted.groupBy(F.col("id").alias("wid"), F.col("key").alias("wkey")).agg(
+        F.collect_list(F.struct("n", "line")).alias("at")), "line-wanted")  # of one document
     held = docs.join(sized_broadcast(wanted, 300_000), (docs["id"] == wanted["wid"]) & (docs["key"] == wanted["wkey"]))
-    text = held.withColumn("lines", F.split("text", "\n")).select(F.explode("at").alias("a"), "lines").select(
-        "a.sid", F.array_distinct(_words(F.get("lines", F.col("a.line")))).alias("u"))
-    text = stash(text, "line-words")  # equal rows give a set twice, to no effect
-    both = pairs.join(text.select(F.col("sid").alias("later"), F.col("u").alias("x")), "later").join(
-        text.select(F.col("sid").alias("earlier"), F.col("u").alias("y")), "earlier")
-    both = both.withColumn("o", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("o") >= p.percent * (F.size("x") + F.size("y") - F.col("o"))).select("later", "earlier")  # a pair may come twice
+    text = held.withColumn("lines", F.split("text", "\n")).select("id", "key", F.explode("at").alias("x"), "lines").select(
+        "x.n", F.struct("id", "x.line", "key").alias("place"), F.get("lines", F.col("x.line")).alias("s"))
+    text = stash(text, "line-texts")  # equal rows give a line twice, to no effect
+    both = pairs.join(_named(text, "a"), "n_a").join(_named(text, "b"), "n_b")
+    for x in "ab":  # explode() of one array computes it once
+        both = both.select("*", F.explode(F.array(F.array_distinct(_words(F.col(f"s_{x}"))))).alias(x)).drop(f"s_{x}")
+    both = both.select("*", F.explode(F.array(F.size(F.array_intersect("a", "b")))).alias("o"))
+    return both.where(100 * F.col("o") >= p.percent * (F.size("a") + F.size("b") - F.col("o"))).select(
+        F.when(F.col("place_a") < F.col("place_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n"))
 
 
 def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     """(id, key, line) of the lines to remove.  ``docs`` has id, key, text."""
     lines = stash(lines_of(docs, p), "line-sets")
-    sets = stash(lines.groupBy("sid").agg(F.min(F.struct("id", "line", "key")).alias("first"), *[F.first(c).alias(c) for c in ("size", "parity", "prefix", "begins", "ends")]), "line-classes")
-    # 3. the first of those that begin or end alike
-    at = sets.select("sid", "first", "size", "parity", F.explode(F.array("begins", "ends")).alias("k"))
-    first = at.groupBy("k").agg(F.min(F.struct("first", "sid", "size", "parity")).alias("a"), F.count("*").alias("n")).where("n > 1").select(
-        "k", F.col("a.first").alias("first_a"), F.col("a.sid").alias("sid_a"), F.col("a.size").alias("size_a"), F.col("a.parity").alias("parity_a"))
+    # 2. the first places of sets that have several
+    copies = lines.groupBy("sid").agg(F.min(F.struct("id", "line", "key", "n")).alias("first"), F.count("*").alias("places")).where("places > 1")
+    copies = stash(copies.select("sid", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "line", "key", "n")]), "line-copies")
+    named = lines.join(sized_broadcast(copies, 1_000_000), "sid", "left").withColumn("root", F.coalesce("first_n", "n"))
+    sets = named.where("n = root")
+    # 3. the first of those that begin or end alike; lines at the same place of rows that share an id are left to 4
+    at = sets.select("id", "line", "n", "size", "parity", F.explode(F.array("begins", "ends")).alias("k"))
+    first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "parity")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
     may, _ = _within(p, "b", "a")
-    family = _named(at, "b", "k").join(first, "k").where((F.col("first_b") > F.col("first_a")) & may).select(
-        F.col("sid_b").alias("later"), F.col("sid_a").alias("earlier")).distinct()
-    gone = stash(verified(stash(family, "line-family"), sets, docs, p).select(F.col("later").alias("sid")).distinct(), "line-gone")
+    later = (F.col("id_b") > F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") > F.col("line_a")))
+    family = _named(at, "b", "k").join(_named(first, "a", "k"), "k").where(later & may).select("n_a", "n_b").distinct()
+    gone = stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-gone")
     # 4. prefix join of the rest
-    sets = sets.drop("begins", "ends").join(sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000), "sid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    post = sets.select("sid", "size", "parity", "done", F.posexplode("prefix").alias("pos", "word"))
+    done = sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000)
+    post = sets.select("n", "size", "parity", "prefix").join(done, "n", "left").select(
+        "n", "size", "parity", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
     may, least = _within(p, "a", "b")
     near = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
     pairs = _named(post, "a", "word").join(_named(post, "b", "word"), "word").where(
-        (F.col("sid_a") < F.col("sid_b")) & may & near & ~(F.col("done_a") & F.col("done_b")))
-    pairs = stash(pairs.select("sid_a", "sid_b").distinct(), "line-pairs")
-    names = sets.select("sid", "first", "done")
-    pairs = pairs.join(_named(names, "a"), "sid_a").join(_named(names, "b"), "sid_b")
-    b_later = F.col("first_b") > F.col("first_a")
-    pairs = pairs.where(~F.when(b_later, F.col("done_b")).otherwise(F.col("done_a"))).select(
-        F.when(b_later, F.col("sid_b")).otherwise(F.col("sid_a")).alias("later"), F.when(b_later, F.col("sid_a")).otherwise(F.col("sid_b")).alias("earlier"))
-    more = verified(stash(pairs, "line-candidates"), sets, docs, p).select(F.col("later").alias("sid"))
-    gone = stash(gone.unionByName(more).distinct(), "line-gone")
-    kept = sets.select("sid", "first").join(gone, "sid", "left_anti")
-    here = F.struct("id", "line", "key")
-    return lines.select("id", "key", "line", "sid").join(kept, "sid", "left").where(F.col("first").isNull() | (F.col("first") != here)).select("id", "key", "line").distinct()
+        (F.col("n_a") < F.col("n_b")) & may & near & ~(F.col("done_a") & F.col("done_b"))).select("n_a", "n_b").distinct()
+    gone = stash(gone.unionByName(verified(stash(pairs, "line-pairs"), lines, docs, p)).distinct(), "line-gone")
+    gone = sized_broadcast(gone.select(F.col("n").alias("root"), F.lit(True).alias("gone")), 1_000_000)
+    first = (F.col("id") == F.col("first_id")) & (F.col("line") == F.col("first_line")) & (F.col("key") == F.col("first_key"))
+    named = named.select("id", "key", "line", "root", "first_id", "first_line", "first_key")
+    return named.join(gone, "root", "left").where(F.col("gone") | ~first).select("id", "key", "line").distinct()
 
 
 def dedup(docs: DataFrame, params: LineParams = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
