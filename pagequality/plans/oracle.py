@@ -7,8 +7,12 @@ split) are generated by the helpers below.
 
 from __future__ import annotations
 
+import re
+
 from ..operators.minhash import BASE, PRIME, perm_coefficients
 from ..params import DEFAULT
+from .queries import VARIED
+from .varied import ADDRESSES, EMPTY, LETTERS, MARKUP, PAGES_PER_QUERY, PHRASES
 
 P = DEFAULT
 WS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -361,7 +365,9 @@ SELECT k AS page_id, h_points::BIGINT AS points, array_to_string(h_flags, ',') A
        code_blocks::BIGINT AS code_blocks, links::BIGINT AS links, round(density, 6) AS link_density,
        nav_len::BIGINT AS nav_len, CASE WHEN nav_len > 0 THEN round(nav_ratio_raw, 3) END AS nav_ratio,
        ad_scripts::BIGINT AS ad_scripts
-FROM y_h"""
+FROM y_h WHERE length(html) > 0
+UNION ALL  -- a page without html has no signals
+SELECT page_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM pc WHERE coalesce(length(html), 0) = 0"""
 
 ORACLE_SQL["domain_signals"] = "WITH " + domain_ctes("pages", "page_id", "url", "z") + """
 SELECT k AS page_id, domain, name, suffix, d_points::BIGINT AS points, array_to_string(d_flags, ',') AS flags FROM z_d"""
@@ -543,8 +549,14 @@ WITH d AS (SELECT doc_id, sha256({_SHINGLE_TEXT}) AS h,
 g AS (SELECT h, min(p) AS best, count(*)::BIGINT AS copies FROM d GROUP BY h)
 SELECT d.doc_id, d.p = g.best AS exact_keep, g.copies FROM d JOIN g ON d.h = g.h"""
 
-# shingle_counts: no SQL oracle (DuckDB needs minutes for the exact distinct
-# windows at sf0.01); tests/test_dedup.py checks it against brute force.
+ORACLE_SQL["shingle_counts"] = f"""
+WITH t AS (SELECT doc_id, {_SHINGLE_TEXT} AS s FROM documents),
+c AS (SELECT doc_id, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) AS i
+      FROM t WHERE length(s) >= {P.shingle_size}),
+w AS (SELECT doc_id, ch{"".join(f" || lead(ch, {j}) OVER o" for j in range(1, P.shingle_size))} AS g
+      FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, count(DISTINCT g)::BIGINT AS shingles FROM w GROUP BY doc_id
+UNION ALL SELECT doc_id, 1::BIGINT FROM t WHERE length(s) < {P.shingle_size}"""
 
 
 def _shingle_hash_sql(chars: str, k: int) -> str:
@@ -644,3 +656,32 @@ SELECT doc_id, false FROM documents WHERE coalesce(length(text), 0) < {P.min_con
 
 
 ORACLE_SQL["near_duplicates"] = _near_dup_sql()
+
+
+# ------------------------------------------------------- varied tables ----
+
+def _address_sql(template: str) -> str:
+    out = q(template)
+    for name, value in (("{lang}", f"(substr('{LETTERS}', page_id // 24 % 26 + 1, 1) || substr('{LETTERS}', page_id // {24 * 26} % 26 + 1, 1))"),
+                        ("{page}", f"(page_id % {PAGES_PER_QUERY} + 1)::VARCHAR"),
+                        ("{id10}", "lpad(page_id::VARCHAR, 10, '0')"), ("{id}", "page_id::VARCHAR")):
+        out = f"replace({out}, {q(name)}, {value})"
+    return out
+
+
+def _varied_ctes() -> str:
+    url = " ".join(f"WHEN {k} THEN {_address_sql(t)}" for k, t in ADDRESSES)
+    html = " ".join(f"WHEN {k} THEN html || {q(t)}" for k, t in MARKUP)
+    text = " ".join(f"WHEN {k} THEN text || {q(t)}" for k, t in PHRASES)
+    return f"""varied_pages AS (SELECT page_id, CASE page_id % 24 {url} ELSE url END AS url,
+  CASE page_id % 7 {html} WHEN {EMPTY} THEN '' ELSE html END AS html FROM pages),
+varied_documents AS (SELECT * REPLACE (CASE doc_id % 5 {text} ELSE text END AS text) FROM documents),
+"""
+
+
+def _over_varied(sql: str) -> str:
+    head, body = re.match(r"\s*(WITH )(.*)", sql, re.S).groups()
+    return head + _varied_ctes() + re.sub(r"\b(FROM|JOIN) (pages|documents)\b", r"\1 varied_\2", body)
+
+
+ORACLE_SQL.update({f"varied_{name}": _over_varied(ORACLE_SQL[name]) for name in VARIED})

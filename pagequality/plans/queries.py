@@ -28,6 +28,7 @@ from ..operators.transcripts import transcript_stats
 from ..params import DEFAULT
 from ..sources.blocklists import custom_blocked
 from ..sources.tables import read_table
+from .varied import varied
 
 R = 6  # decimals for double outputs
 
@@ -42,13 +43,13 @@ def _flags(c):
 
 # ---------------------------------------------------------------- pages ----
 
-def pages_with_content(spark: SparkSession, sf: str) -> DataFrame:
-    p = read_table(spark, sf, "pages")
+def pages_with_content(spark: SparkSession, sf: str, partition: bool = False) -> DataFrame:
+    p = read_table(spark, sf, "pages", partition=partition)
     return p.withColumn("content", fh.extract_text(F.col("html")))
 
 
 def q_url_projections(spark, sf):
-    p = read_table(spark, sf, "pages", ["page_id", "url"], partition=False)
+    p = read_table(spark, sf, "pages", ["page_id", "url"])
     canon = fu.canonical_url(F.col("url"))
     host = fu.url_host(canon)
     return p.select(
@@ -67,7 +68,7 @@ def q_url_projections(spark, sf):
 
 
 def _classified(spark, sf):
-    p = read_table(spark, sf, "pages", ["page_id", "url"], partition=False)
+    p = read_table(spark, sf, "pages", ["page_id", "url"])
     res = results_view(p)
     return classify_results(res, custom_blocked(spark).select("domain"))
 
@@ -109,7 +110,7 @@ def q_query_result_counts(spark, sf):
 
 
 def q_first_seen_events(spark, sf):
-    e = read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"], partition=False)
+    e = read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"])
     e = e.withColumn("_o", F.struct("ts", "event_id"))
     f = first_seen(e, "event_type", "_o", ["user_id"])
     return f.select("user_id", "event_type", "event_id")
@@ -141,7 +142,7 @@ def q_html_signals(spark, sf):
 
 
 def q_domain_signals(spark, sf):
-    p = read_table(spark, sf, "pages", ["page_id", "url"], partition=False)
+    p = read_table(spark, sf, "pages", ["page_id", "url"])
     d = with_domain_signals(p, "url", None, "d")
     d = d.withColumn("_rd", split_domain(registered_domain(F.col("url"))))
     return d.select("page_id", F.col("d.domain").alias("domain"), F.col("_rd.name").alias("name"),
@@ -150,7 +151,7 @@ def q_domain_signals(spark, sf):
 
 
 def scored_pages(spark, sf):
-    p = pages_with_content(spark, sf)
+    p = pages_with_content(spark, sf, partition=True)
     return with_quality(p, "page_id", "content", html_col="html", url_col="url", partitioned=True)
 
 
@@ -173,7 +174,7 @@ def q_scrape_log(spark, sf):
 
 def _page_entries(spark, sf):
     q = scored_pages(spark, sf)
-    v = results_view(read_table(spark, sf, "pages", ["page_id", "url"], partition=False)) \
+    v = results_view(read_table(spark, sf, "pages", ["page_id", "url"])) \
         .where(F.col("query").startswith("lang:")).select("page_id", F.col("query").alias("session"))
     return q.join(v, "page_id").select(
         "session", F.col("page_id").alias("ord"), fh.page_title(F.col("html")).alias("title"), "url", "content",
@@ -194,12 +195,12 @@ def q_page_view(spark, sf):
 
 # ------------------------------------------------------------ documents ----
 
-def docs(spark, sf, columns=None):
-    return read_table(spark, sf, "documents", columns)
+def docs(spark, sf, columns=None, partition=False):
+    return read_table(spark, sf, "documents", columns, partition)
 
 
 def q_text_signals(spark, sf):
-    d = with_text_signals(docs(spark, sf, ["doc_id", "text"]), "doc_id", "text", out="t", partitioned=True)
+    d = with_text_signals(docs(spark, sf, ["doc_id", "text"], partition=True), "doc_id", "text", out="t", partitioned=True)
     t = lambda f: F.col("t." + f)
     return d.select(
         "doc_id", _long(t("points")).alias("points"), _flags(t("flags")).alias("flags"),
@@ -214,7 +215,7 @@ def q_text_signals(spark, sf):
 
 
 def scored_docs(spark, sf):
-    d = docs(spark, sf, ["doc_id", "text", "source"])
+    d = docs(spark, sf, ["doc_id", "text", "source"], partition=True)
     return with_quality(d, "doc_id", "text", out="quality", partitioned=True)
 
 
@@ -237,7 +238,7 @@ def doc_entries(spark, sf):
 
 
 def doc_sessions(spark, sf):
-    d = docs(spark, sf, ["doc_id", "source"], )
+    d = docs(spark, sf, ["doc_id", "source"])
     return d.groupBy(F.col("source").alias("session")).agg(_long(F.count("*")).alias("total")).select(
         "session", F.col("session").alias("query"), F.array(F.col("session")).alias("queries"), "total",
         F.lit(0).cast("long").alias("dedup_removed"))
@@ -303,8 +304,8 @@ def q_near_duplicates(spark, sf):
 
 
 def q_sample_affinity(spark, sf):
-    d = docs(spark, sf, ["doc_id", "text"])
-    b = read_table(spark, sf, "benchmark", ["item_id", "text"], partition=False)
+    d = docs(spark, sf, ["doc_id", "text"], partition=True)
+    b = read_table(spark, sf, "benchmark", ["item_id", "text"])
     a = sample_affinity(d, "doc_id", "text", b)
     return a.select("doc_id", "grams", "covered", F.round("affinity", R).alias("affinity"), "ai_score")
 
@@ -312,21 +313,21 @@ def q_sample_affinity(spark, sf):
 # ----------------------------------------------------- vectors, turns ------
 
 def q_vector_relevance(spark, sf):
-    e = read_table(spark, sf, "embeddings", partition=False)
+    e = read_table(spark, sf, "embeddings")
     qv = label_query_vectors(e)
     r = cosine_relevance(e, "embedding", qv.select("label", "query_vec"), "label")
     return r.select("vec_id", "label", F.round("relevance", R).alias("relevance"))
 
 
 def q_transcripts(spark, sf):
-    c = read_table(spark, sf, "conversations", partition=False)
+    c = read_table(spark, sf, "conversations")
     return transcript_stats(c, "conv_id", "turn", "text").select(
         "conv_id", "segments", "chars", "words", _long(F.col("first_turn")).alias("first_turn"),
         _long(F.col("last_turn")).alias("last_turn"))
 
 
 def q_lexical_relevance(spark, sf):
-    c = read_table(spark, sf, "conversations", partition=False)
+    c = read_table(spark, sf, "conversations")
     conv, turn = _long(F.col("conv_id")), _long(F.col("turn"))
     at = F.struct(conv.alias("c"), turn.alias("t"))
     texts = c.select(at.alias("tid"), "text")
@@ -373,3 +374,9 @@ QUERIES = {
     "transcripts": q_transcripts,
     "lexical_relevance": q_lexical_relevance,
 }
+
+#: Run a second time over the varied tables, where every rule has rows that it concerns.
+VARIED = ("url_projections", "result_filter_counts", "page_budget", "search_results", "cross_query_dedup",
+          "query_result_counts", "html_signals", "domain_signals", "page_outcome", "scrape_log", "page_score",
+          "text_signals", "document_score", "run_summary")
+QUERIES.update({f"varied_{name}": lambda spark, sf, q=QUERIES[name]: q(spark, varied(sf)) for name in VARIED})

@@ -1,9 +1,8 @@
 """Readers for the input tables.
 
-Corpus tables are hash-partitioned by their row key right after the scan.
-Every keyed job downstream (text statistics, score joins, dedup state)
-groups or joins on that key, so this is the only exchange of the raw text,
-and it also spreads work evenly when the files have few row groups.
+A scan moves nothing by itself.  Jobs that group or join on the row key ask
+for ``partition=True``: the rows are then hash-partitioned by that key once,
+and the keyed steps downstream (text statistics, score joins) reuse it.
 """
 
 from __future__ import annotations
@@ -29,10 +28,24 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None, partition: bool = True) -> DataFrame:
-    """Scan one table; ``columns`` prunes the scan; corpus tables are
-    hash-partitioned by their row key."""
+class Views(str):
+    """A table folder of which some tables are seen through a function."""
+
+    views: dict = {}
+
+    @classmethod
+    def of(cls, sf_dir: str, **views) -> Views:
+        out = cls(sf_dir)
+        out.views = views
+        return out
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None, partition: bool = False) -> DataFrame:
+    """Scan one table; ``columns`` prunes the scan; ``partition``
+    hash-partitions ``documents`` and ``pages`` by their row key."""
     df = spark.read.parquet(table_path(sf_dir, name))
+    if isinstance(sf_dir, Views) and name in sf_dir.views:
+        df = sf_dir.views[name](df)
     if columns:
         df = df.select(*columns)
     key = ROW_KEYS.get(name)
