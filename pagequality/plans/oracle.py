@@ -454,6 +454,37 @@ s AS (SELECT d.doc_id, CASE WHEN d.text IS NULL OR x.strip_len < {P.min_text} TH
       FROM documents d JOIN x_ts x ON d.doc_id = x.k)
 SELECT doc_id, score::BIGINT AS score, array_to_string(flags, ',') AS flags, {tier('score')} AS tier FROM s"""
 
+ORACLE_SQL["query_score"] = "WITH " + text_stats_ctes("documents", "doc_id", "text", "x") + f""",
+d AS (SELECT doc_id, text, regexp_extract(text, '^([^\\n]*)', 1) AS query, doc_id % 40 AS h, doc_id % 11 = 0 AS ai FROM documents),
+ranks AS (SELECT h, (10 ** (min(doc_id) % 7))::BIGINT AS r FROM d GROUP BY h),
+tx AS (SELECT 'q' AS kind, doc_id AS id, query AS text FROM d UNION ALL SELECT 't', doc_id, text FROM d),
+n AS (SELECT count(*) AS n FROM tx),
+tf AS (SELECT kind, id, term, count(*) AS tf FROM (SELECT kind, id, unnest({tokens('lower(text)')}) AS term FROM tx) GROUP BY ALL),
+idf AS (SELECT term, ln((n.n + 1)::DOUBLE / (count(*) + 1)) + 1 AS idf FROM tf, n GROUP BY term, n.n),
+w AS (SELECT kind, id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term),
+nm AS (SELECT kind, id, sqrt(sum(w * w)) AS norm FROM w GROUP BY kind, id),
+dots AS (SELECT a.id, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.id = b.id AND a.term = b.term WHERE a.kind = 'q' AND b.kind = 't' GROUP BY a.id),
+rel AS (SELECT d.doc_id, CASE WHEN p.norm > 0 AND t.norm > 0 THEN least(1.0, greatest(0.0, coalesce(dots.dot, 0.0) / (p.norm * t.norm))) ELSE 0.0 END AS rel
+        FROM d LEFT JOIN dots ON dots.id = d.doc_id LEFT JOIN nm p ON p.kind = 'q' AND p.id = d.doc_id LEFT JOIN nm t ON t.kind = 't' AND t.id = d.doc_id),
+j AS (SELECT d.doc_id, d.text, x.strip_len, x.word_count, x.t_flags, d.ai, ranks.r, coalesce(length(d.query), 0) > 0 AS has_query,
+             CASE WHEN coalesce(length(d.query), 0) > 0 THEN rel.rel ELSE 0.0 END AS rel,
+             x.t_points + CASE WHEN d.ai THEN {P.ai_penalty} ELSE 0 END
+             + CASE WHEN r <= 1000 THEN 15 WHEN r <= 10000 THEN 10 WHEN r <= 100000 THEN 5 ELSE 2 END AS points
+      FROM d JOIN x_ts x ON d.doc_id = x.k JOIN ranks ON ranks.h = d.h JOIN rel ON rel.doc_id = d.doc_id),
+s AS (SELECT *, text IS NULL OR strip_len < {P.min_text} AS nothing, has_query AND rel < {P.off_topic} AND word_count > 200 AS off,
+             CASE WHEN NOT has_query THEN 0 WHEN rel >= {P.high_relevance} THEN 15 WHEN rel >= {P.moderate_relevance} THEN 8
+                  WHEN rel < {P.low_relevance} AND word_count > 200 THEN -15 ELSE 0 END AS r_points,
+             CASE WHEN NOT ai THEN t_flags WHEN t_flags[1] = 'very_hard_to_read' THEN list_concat(['very_hard_to_read', 'likely_ai'], t_flags[2:])
+                  ELSE list_concat(['likely_ai'], t_flags) END AS x_flags FROM j),
+f AS (SELECT doc_id, CASE WHEN nothing OR off THEN 0 ELSE least(100, greatest(0, {P.baseline} + points + r_points)) END AS score,
+             CASE WHEN nothing THEN ['empty'] ELSE list_filter(list_concat(list_concat(
+               [CASE WHEN r <= 1000 THEN 'top_1k' WHEN r <= 10000 THEN 'top_10k' WHEN r <= 100000 THEN 'top_100k' END], x_flags),
+               [CASE WHEN off THEN 'off_topic' WHEN NOT has_query THEN NULL WHEN rel >= {P.high_relevance} THEN 'highly_relevant'
+                     WHEN rel >= {P.moderate_relevance} THEN 'relevant'
+                     WHEN rel < {P.low_relevance} AND word_count > 200 THEN 'low_relevance' END]), lambda x: x IS NOT NULL) END AS flags,
+             CASE WHEN nothing THEN 0.0 ELSE round(rel, 3) END AS relevance FROM s)
+SELECT doc_id, score::BIGINT AS score, array_to_string(flags, ',') AS flags, relevance::DOUBLE AS relevance, {tier('score')} AS tier FROM f"""
+
 ORACLE_SQL["session_stats"] = entries_ctes() + f"""
 SELECT session, count(*)::BIGINT AS total,
   count_if(coalesce(length(content), 0) > {P.min_length} AND coalesce(score, 50) >= {P.min_score})::BIGINT AS usable,

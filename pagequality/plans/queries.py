@@ -225,6 +225,26 @@ def q_document_score(spark, sf):
                     _flags(F.col("quality.flags")).alias("flags"), tier(F.col("quality.score")).alias("tier"))
 
 
+def q_query_score(spark, sf):
+    """Documents scored with a query (their first line), a rank list and an AI score; hosts, ranks
+    and AI scores come from the ids."""
+    d = docs(spark, sf, ["doc_id", "text"], partition=True)
+    host = F.concat(F.lit("host"), (F.col("doc_id") % 40).cast("string"), F.lit(".com"))
+    d = d.withColumns({"query": F.regexp_extract("text", r"^([^\n]*)", 1), "domain": host,
+                       "url": F.concat(F.lit("https://"), host, F.lit("/"), F.col("doc_id").cast("string")),
+                       "ai": F.when(F.col("doc_id") % 11 == 0, 0.9).otherwise(0.0)})
+    ident = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("doc_id").alias("id"))
+    texts = d.select(F.explode(F.array(F.struct(ident("q").alias("tid"), F.col("query").alias("text")),
+                                       F.struct(ident("t").alias("tid"), "text"))).alias("x")).select("x.*")
+    rel = lexical_relevance(d.select(ident("q").alias("query_key"), ident("t").alias("text_key")), texts, "tid", "text")
+    ranks = d.groupBy("domain").agg(F.pow(F.lit(10), F.min("doc_id") % 7).cast("int").alias("rank"))
+    d = d.drop("domain").join(rel.select(F.col("text_key.id").alias("doc_id"), "relevance"), "doc_id", "left")
+    q = with_quality(d, "doc_id", "text", url_col="url", query_col="query", relevance_col="relevance", ai_col="ai",
+                     ranks=ranks, partitioned=True)
+    return q.select("doc_id", _long(F.col("quality.score")).alias("score"), _flags(F.col("quality.flags")).alias("flags"),
+                    F.col("quality.relevance").alias("relevance"), tier(F.col("quality.score")).alias("tier"))
+
+
 def doc_entries(spark, sf):
     q = scored_docs(spark, sf)
     return q.select(F.col("source").alias("session"), F.col("doc_id").alias("ord"),
@@ -358,6 +378,7 @@ QUERIES = {
     "page_view": q_page_view,
     "text_signals": q_text_signals,
     "document_score": q_document_score,
+    "query_score": q_query_score,
     "session_stats": q_session_stats,
     "run_summary": q_run_summary,
     "session_listing": q_session_listing,

@@ -46,3 +46,8 @@ def test_phrases(spark):
 
 def test_outcomes(spark):
     assert {r[0] for r in QUERIES["varied_page_outcome"](spark, SF).select("outcome").distinct().collect()} >= {"scraped", "error"}
+
+
+def test_query_rank_and_ai_flags(spark):
+    found = flags(QUERIES["query_score"](spark, "/root/testdata/sf0.01"))
+    assert found >= {"off_topic", "highly_relevant", "relevant", "low_relevance", "top_1k", "top_10k", "top_100k", "likely_ai"}
