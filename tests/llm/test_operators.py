@@ -231,6 +231,25 @@ def test_licenses_by_header_and_directory(spark, empty):
     assert licenses.license_report(empty).count() == 0
 
 
+def test_whole_licence_files(spark):
+    folder = "/usr/share/common-licenses/"
+    names = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "CC0-1.0": "CC0-1.0",
+             "Apache-2.0": "Apache-2.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    texts = {n: open(folder + f).read() for f, n in names.items()} | {n: t for n, t in licenses.TEXTS if n in ("AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0")}
+    texts["MIT"] = dict(licenses.TEXTS)["MIT"].replace("<year> <copyright holders>", "2019-2024 Some One and the contributors to a program")
+    rows = []
+    for n, t in texts.items():  # other owner lines and line breaks than in the templates
+        t = f"Copyright 2021 The Authors of Example\n\n{' '.join(t.split())}" if n != "MIT" else t
+        rows += [(f"{n}/COPYING", t), (f"{n}/src/a.c", "int main;")]
+    rows += [("tale/LICENSE", "A licence to fish the river was sold in the town every spring. " * 40), ("tale/x", "x")]
+    rows += [(f"h/{i}.py", f"# Copyright {i} Example {i % 7}, licensed as the file LICENSE says\nx") for i in range(60)]
+    files = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id long, path string, text string")
+    got = {r.path: (r.own_license, r.license) for r in licenses.scan(files).collect()}
+    for n in texts:
+        assert got[f"{n}/COPYING"] == (n, n) and got[f"{n}/src/a.c"] == (None, n)
+    assert got["tale/LICENSE"] == got["tale/x"] == (None, None)
+
+
 def test_license_scores_are_the_cosine(spark):
     headers = [("Licensed under the Apache License, Version 2.0.", 3), ("released under the mit license, see LICENSE", 2)]
     got = {r.license: r.score for r in licenses.score(spark.createDataFrame(headers, "header string, n long")).collect()}
