@@ -53,7 +53,8 @@ def sha1_base32(data: bytes) -> str:
 
 
 def frame(payload: bytes, chunk: int) -> bytes:
-    """HTTP chunked framing; a chunk also ends inside any version line, so that it never stands whole in a block."""
+    """HTTP chunked framing; a chunk also ends inside any version line, so that it never stands whole in a block, and none
+    ends like a version line, which the chunk's CRLF would complete."""
     out, start, n = [], 0, len(payload)
     cuts = [m.start() + 9 for m in re.finditer(re.escape(VERSION.encode()), payload)]
     while start < n:
@@ -62,6 +63,8 @@ def frame(payload: bytes, chunk: int) -> bytes:
             cuts.pop(0)
         if cuts and cuts[0] < end:
             end = cuts[0]
+        if payload.endswith(VERSION[:-2].encode(), start, end):
+            end -= 1
         out += [b"%x\r\n" % (end - start), payload[start:end], CRLF]
         start = end
     return b"".join(out) + b"0\r\n\r\n"

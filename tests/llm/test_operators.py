@@ -207,6 +207,24 @@ def test_warc_round_trip(spark, segment, floor):
         assert got[i] == (len(x), digest, "response" if f == i else "revisit", None if f == i else f, True)
 
 
+@pytest.mark.parametrize("segment", [64, 32768])
+def test_warc_chunks_that_end_like_a_version_line(spark, segment):
+    texts = ["x WARC/1.1", "WARC/1.1", "WARC/1.1WARC/1.1", "\r\nWARC/1.1\r", *("x" * k + "WARC/1.1" + tail for k in range(36, 48) for tail in ("", "\r\n", "y" * 60)),
+             ("x" * 42 + "WARC/1.1") * 5]
+    for chunk in (1, 7, 8, 9, 50):
+        for t in texts:
+            block = warc.frame(t.encode(), chunk)
+            assert warc.VERSION.encode() not in block and warc.unframe(block) == t.encode()
+    rows = [(2 * i + k, "u", t) for i, t in enumerate(texts) for k in range(2)]  # with a revisit each
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = by_id(warc.round_trip(pages, warc.WarcParams(segment_bytes=segment, chunk_bytes=50)))
+    first = {}
+    for i, _, t in rows:
+        f = first.setdefault(t, i)
+        digest = base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+        assert got[i] == (len(t), digest, "response" if f == i else "revisit", None if f == i else f, True)
+
+
 def test_warc_equal_rows_and_lost_segments(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "y" * 500), (1, "u", "y" * 500), (1, "u", "other"), (None, "u", "z" * 500)], "page_id long, url string, html string")
     p = warc.WarcParams(segment_bytes=100)
