@@ -1,7 +1,8 @@
 """Line dedup: an exact set-similarity join of lines, and removal of later matches.
 
 A line is removed when an earlier line of the corpus, by (id, line number), has a word set of Jaccard 0.8 or more
-with its own.  Lines with fewer than min_words distinct words aren't compared.
+with its own.  Lines with fewer than min_words distinct words aren't compared; EVERY, which the query and the pipeline
+use, compares all lines that have a word.
 
 1. A count sketch of all words gives their order by rarity, ties by hash: an array of one byte a bucket,
    fixed in size whatever the corpus.
@@ -42,6 +43,8 @@ class LineParams:
 
 
 DEFAULT = LineParams()
+#: Every line with a word is compared: for the query and the pipeline.
+EVERY = LineParams(min_words=1)
 
 
 def _words(line):
@@ -122,7 +125,8 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     copies = lines.groupBy("sid").agg(F.min(F.struct("id", "line", "key", "n")).alias("first"), F.count("*").alias("places")).where("places > 1")
     copies = stash(copies.select("sid", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "line", "key", "n")]), "line-copies")
     named = lines.join(sized_broadcast(copies, 1_000_000), "sid", "left").withColumn("root", F.coalesce("first_n", "n"))
-    sets = named.where("n = root")
+    # sets too small to reach the threshold with any other set are done: with percent 80, below four words
+    sets = named.where("n = root").where((100 - p.percent) * F.col("size") >= p.percent)
     # 3. the first of those that begin or end alike; lines at the same place of rows that share an id are left to 4
     at = sets.select("id", "line", "n", "size", "parity", F.explode(F.array("begins", "ends")).alias("k"))
     first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "parity")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")

@@ -6,7 +6,7 @@ from . import decontaminate, licenses, line_dedup, mixing, ngram_join, quality_b
 from .common import table
 
 QUERIES = {
-    "op1_line_dedup": lambda spark, sf: line_dedup.line_digest(table(spark, sf, "documents")),
+    "op1_line_dedup": lambda spark, sf: line_dedup.line_digest(table(spark, sf, "documents"), line_dedup.EVERY),
     "op2_ngram_jaccard": lambda spark, sf: ngram_join.near_duplicates(table(spark, sf, "documents")),
     "op3_decontaminate": lambda spark, sf: decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op4_warc": lambda spark, sf: warc.round_trip(table(spark, sf, "pages")),

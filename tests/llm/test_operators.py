@@ -95,6 +95,34 @@ def test_line_dedup_keeps_rows_and_columns(docs, empty):
     assert line_dedup.line_digest(empty).count() == 0
 
 
+def test_line_dedup_of_every_line_with_a_word(spark, unique):
+    rows = [(r.doc_id, r.text) for r in unique.collect()] + [
+        (300, "a b c d\nq1 q2 q3"), (301, "d c b a e\n\nq3 q1 q2 q4"), (302, "a b c\n \t"), (303, "c  b A\n日本語の行\nla la la la la la"),
+        (304, "日本語の行\nLa la\n\nq2 q1 Q3"), (305, "f g h i j\nf g h\nk"), (306, "i g h f\nK\nk l")]
+    got = by_id(line_dedup.line_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), line_dedup.EVERY))
+    seen, removed = [], 0
+    for i, x in sorted((i, x or "") for i, x in rows):
+        keep = []
+        for s in x.split("\n"):
+            u = set(words(s.lower()))
+            if not u or not any(100 * len(u & v) >= 80 * len(u | v) for v in seen):
+                keep.append(s)
+            seen += [u] if u else []
+        n = len(x.split("\n"))
+        assert got[i][1:] == (n - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()), i
+    assert [got[i][1] for i in (301, 303, 304, 306)] == [1, 1, 3, 2]
+
+
+def test_line_query_and_pipeline_compare_every_line(spark, tmp_path):
+    import corpus_pipeline
+    from pagequality.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, "one two\nmore"), (2, "Two one"), (3, "x\nmore")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_removed for r in QUERIES["op1_line_dedup"](spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1}
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()} == {1: "one two\nmore", 3: "x"}
+
+
 # ---- 2 ----
 
 def brute_components(rows, n, percent):
