@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import sized_broadcast
-from .common import fresh, stash
+from .common import fresh, stash, text_key, without
 from .components import components
 
 SKETCH_BITS = 20
@@ -254,7 +254,7 @@ def first_links(live: DataFrame, classes: DataFrame, p: JaccardParams) -> DataFr
     rows = live.select("cid", "rep", "gram", band)
     least = rows.groupBy("gram", "band").agg(F.min(F.struct("rep", "cid")).alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
     met = rows.join(least, ["gram", "band"]).where("cid <> least.cid").groupBy("cid", "least").agg(F.count("*").alias("k"))
-    met = met.groupBy("cid").agg(F.max_by("least", F.struct("k", -F.col("least.rep"), "least.cid")).alias("least")).select(F.col("cid").alias("u"), F.col("least.cid").alias("v"))
+    met = met.groupBy("cid").agg(F.min_by("least", F.struct(-F.col("k"), "least")).alias("least")).select(F.col("cid").alias("u"), F.col("least.cid").alias("v"))
     signs = classes.select("cid", "n_grams", *SIGNS)
     met = met.join(_named(signs, "x"), F.col("u") == F.col("cid_x")).join(_named(signs, "y"), F.col("v") == F.col("cid_y"))
     return met.where(_alike("x", "y", p)[0]).select("u", "v")
@@ -304,12 +304,25 @@ def near_duplicates(docs: DataFrame, params: JaccardParams = DEFAULT) -> DataFra
     return c.select(F.col("id").alias("doc_id"), F.col("n_grams").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def one_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one of the rows that share id and text, by a hash of their other columns; null and empty texts count as the same."""
+    i, k = fresh(docs, "__one_id", "__one_key")
+    d = docs.withColumns({i: F.col("doc_id"), k: text_key(F.col("text"))})
+    several = stash(d.groupBy(i, k).agg(F.count("*").alias("n")).where("n > 1").select(F.col(i).alias("id"), F.col(k).alias("key")), "jaccard-several")
+    if several.isEmpty():
+        return docs
+    small = sized_broadcast(several, 1_000_000)
+    at = d[i].eqNullSafe(several["id"]) & (d[k] == several["key"])
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    # combined before the shuffle: a row repeated often is no hot group
+    first = d.join(small, at, "left_semi").groupBy(i, k).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
+    return d.join(small, at, "left_anti").select(*docs.columns).unionByName(first.select("row.*"))
+
+
 def keep_one(docs: DataFrame, params: JaccardParams = NEAR) -> DataFrame:
-    """``docs`` with the smallest id of each component; rows without an id stay.
+    """``docs`` with one row of each component: the least by (id, hash of the text), a null id before all others.
 
-    Of rows with the same id and set of n-grams all stay or go together."""
-    c = jaccard_components(docs, params)
-    gone = c.where(F.col("component") < F.col("id")).select("id").distinct()
-    stay = c.where(F.col("component") == F.col("id")).select("id").distinct()
-    gone = gone.join(stay, "id", "left_anti").select(F.col("id").alias(g := fresh(docs, "__gone")[0]))
-    return docs.join(gone, docs["doc_id"] == gone[g], "left_anti")
+    Rows go by id and text, so rows that only share an id keep apart; of rows that share both one stays."""
+    docs = one_each(docs)
+    c = jaccard_components(docs.select(F.struct(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key")).alias("doc_id"), "text"), params)
+    return without(docs, c.where(F.col("component") < F.col("id")).select("id.id", "id.key"))

@@ -160,6 +160,35 @@ def test_ngram_edge_rows(docs, empty):
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
 
 
+def test_keep_one_leaves_one_of_each_group(spark):
+    r = random.Random(8)
+    text = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    a, b, c, e, f = (text(80) for _ in range(5))
+    rows = [(5, b, "x"), (5, b, "y"), (5, b, "x"),  # equal rows
+            (3, a, ""), (7, a + " more", ""), (7, c, ""),  # 7 names a near copy and another row
+            (None, e, ""), (None, e, ""), (None, e + " more", ""), (9, e + " and", ""),
+            (None, f, ""), (11, None, ""), (11, None, ""), (12, "", ""), (13, None, "")]
+    got = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    kept = Counter((x.doc_id, x.text) for x in got.collect())
+    third = [k for k in kept if k[0] is None and k[1] != f]
+    assert len(third) == 1 and third[0][1] in (e, e + " more")
+    assert kept == Counter([(5, b), (3, a), (7, c), third[0], (None, f), (11, None), (12, ""), (13, None)])
+
+
+def test_keep_one_is_the_least_of_each_component(docs):
+    rows = {(x.doc_id, x.text or "") for x in docs.collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    of = brute_components({n: t for n, (_, t) in enumerate(order)}, 5, 80)
+    groups = defaultdict(set)
+    for n, x in enumerate(order):
+        groups[of[n][1]].add(x)
+    kept = Counter((x.doc_id, x.text or "") for x in ngram_join.keep_one(docs).collect())
+    assert len(kept) == len(groups) == sum(kept.values())
+    for g in groups.values():
+        one = g & set(kept)
+        assert len(one) == 1 and next(iter(one))[0] == min(g, key=lambda x: (x[0] is not None, x[0] or 0))[0]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101)]
     got = by_id(components(spark.createDataFrame(edges, "u long, v long")))
