@@ -58,7 +58,7 @@ def test_shingle_count_brute_force(spark):
 
 
 def test_shingle_count_on_table(spark):
-    from conftest import SF001
+    from sf_paths import SF001
     from pagequality.plans.queries import q_shingle_counts
     got = {r.doc_id: r.shingles for r in q_shingle_counts(spark, SF001).collect()}
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", shingle_text(F.col("text")).alias("s"))

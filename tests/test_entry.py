@@ -1,7 +1,7 @@
 import importlib.util
 import os
 
-from conftest import SF001
+from sf_paths import SF001
 
 
 def _entry_module():

@@ -2,7 +2,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from sf_paths import SF001
 from pagequality.streaming.stream import first_seen_stream, read_stream, score_batch, score_stream
 
 

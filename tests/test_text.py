@@ -68,7 +68,7 @@ def test_relevance_rules(spark):
 
 def test_score_bounds_on_pages(spark):
     from pagequality.plans.queries import q_page_score
-    from conftest import SF001
+    from sf_paths import SF001
     rows = q_page_score(spark, SF001).collect()
     assert rows and all(0 <= r.score <= 100 for r in rows)
     assert all(r.tier in ("HIGH", "MED", "LOW") for r in rows)
