@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secret_scan, suffix_dedup, warc
+from . import decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secret_scan, suffix_dedup, warc
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_digest(table(spark, sf, "documents")),
     "op9_quality_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
     "op10_quality_bayes": lambda spark, sf: quality_bayes.quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op13_hard_negatives": lambda spark, sf: hard_negatives.hard_negatives(table(spark, sf, "embeddings")),
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -41,4 +42,13 @@ SELECT page_id, n AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, true AS complete
 FROM f""",
+    "op13_hard_negatives": r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, other_id AS positive_id, s AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, s AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * s AND 100 * s <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s DESC, other_id) QUALIFY rank <= 3""",
 }

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagequality.llm import (decontaminate, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules,
+from pagequality.llm import (decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules,
                              secret_scan, suffix_dedup, warc)
 from pagequality.llm.components import components
 
@@ -532,3 +532,60 @@ def test_pipeline_stages(spark, docs, tmp_path):
         assert now.columns[: len(docs.columns)] == docs.columns
         assert k == len(corpus_pipeline.STAGES) - 1 or now.columns == docs.columns
     assert 0 < now.count() < docs.count()
+
+
+# ---- 13 ----
+
+def plain_negatives(rows, anchors, relabel=lambda i, x: x):
+    """Brute force over (id, vector, label) rows with integer Python arithmetic."""
+    rows = [(i, [math.floor(256 * x) for x in v], relabel(i, x)) for i, v, x in rows]
+    rows.sort()
+    out = []
+    for a, va, la in rows:
+        if not anchors(a):
+            continue
+        s = [(-sum(x * y for x, y in zip(va, v, strict=True)), i, x) for i, v, x in rows if i != a]
+        s.sort()
+        for sp, p in [(-x[0], x[1]) for x in s if x[2] == la][:5]:
+            fit = [(-t, i) for t, i, x in s if x != la and 50 * sp <= -100 * t <= 95 * sp][:3]
+            out += [(a, p, k, i, sp, t) for k, (t, i) in enumerate(fit, 1)]
+    return sorted(out)
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, rank int, ID string"
+
+
+@pytest.mark.parametrize("row_block, anchor_block, size", [(2048, 512, 1.0), (16, 3, 1.0), (64, 2, 3000.0)])
+def test_hard_negatives_are_those_of_brute_force(spark, row_block, anchor_block, size):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(12, 70))
+    v = (size * (base[r.integers(0, 12, 300)] + 0.4 * r.normal(size=(300, 70)))).astype(np.float32)
+    v[50:60] = v[49]  # ties
+    rows = [(i, [float(x) for x in v[i]], int(r.integers(0, 4))) for i in range(300)]
+    df = spark.createDataFrame([(*x, 1, "x") for x in rows], VECTORS).repartition(7)
+    p = hard_negatives.MiningParams(row_block=row_block, anchor_block=anchor_block)
+    got = sorted(map(tuple, hard_negatives.mine(df.drop("ID"), F.col("id") % 10 == 0, p).collect()))
+    assert got == plain_negatives(rows, lambda a: a % 10 == 0) and got
+    got = sorted(map(tuple, hard_negatives.hard_negatives(df).collect()))
+    assert got == plain_negatives(rows, lambda a: a % 50 == 0, lambda i, x: (x + 1) % 10 if i % 7 == 0 else x)
+
+
+def test_residue_products_are_exact():
+    r = np.random.default_rng(1)
+    for top in (3, 200, 60_000, 10_000_000):
+        a, b = r.integers(-top, top + 1, (9, 131)), r.integers(-top, top + 1, (7, 131))
+        a[0], b[0] = top, -top
+        primes = hard_negatives.primes_for(131 * top * top)
+        assert (hard_negatives.scores(a, b, primes) == a @ b.T).all()
+
+
+def test_hard_negatives_edge_rows(spark):
+    ok = [(0, [1.0, 0.0], 1), (50, [1.0, 0.5], 1), (2, [0.5, 0.5], 2), (3, [0.9, 0.1], 3), (100, [-1.0, -1.0], 9)]
+    odd = [(4, None, 1), (None, [1.0, 0.0], 1), (5, [1.0, 0.0], None), (6, [1.0, None], 1), (8, [float("nan"), 1.0], 2), (9, [float("inf"), 0.0], 2), ok[0], ok[3]]
+    df = spark.createDataFrame([(*x, 1, "x") for x in ok + odd], VECTORS)
+    assert sorted(map(tuple, hard_negatives.hard_negatives(df).collect())) == plain_negatives(ok, lambda a: a % 50 == 0, lambda i, x: (x + 1) % 10 if i % 7 == 0 else x)
+    short = spark.createDataFrame([(0, [1.0], 0, 1, "x"), (1, [1.0, 3.0], 1, 1, "x"), (2, [0.8, 0.0], 2, 1, "x"), (3, [], 2, 1, "x")], VECTORS)
+    assert [tuple(x) for x in hard_negatives.hard_negatives(short).collect()] == [(0, 1, 1, 2, 65536, 52224)]
+    assert hard_negatives.hard_negatives(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        hard_negatives.hard_negatives(spark.createDataFrame([(0, [3e30], 1, 1, "x")], VECTORS))
