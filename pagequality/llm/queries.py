@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secret_scan, suffix_dedup, warc
+from . import decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secret_scan, spelling, suffix_dedup, warc
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_suffix_dedup": lambda spark, sf: suffix_dedup.suffix_digest(table(spark, sf, "documents")),
     "op9_quality_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
     "op10_quality_bayes": lambda spark, sf: quality_bayes.quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op11_spelling_variants": lambda spark, sf: spelling.spelling_variants(table(spark, sf, "documents")),
     "op13_hard_negatives": lambda spark, sf: hard_negatives.hard_negatives(table(spark, sf, "embeddings")),
 }
 
@@ -42,6 +43,21 @@ SELECT page_id, n AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, true AS complete
 FROM f""",
+    "op11_spelling_variants": r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || run)) AS hex FROM r WHERE length(run) >= 7 GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(hex) // 2), lambda i: ('0x' || substr(hex, (2 * i + 1)::BIGINT, 2))::BIGINT)),
+                             lambda x, b: xor(x >> 8, t[((xor(x, b) & 255) + 1)::BIGINT])), 4294967295) AS h FROM c, t),
+w AS MATERIALIZED (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7),
+k AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM (SELECT *, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS x FROM k) a JOIN (SELECT *, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS x FROM k) b ON a.x = b.x AND a.word <> b.word),
+d AS (SELECT DISTINCT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM k),
+q AS (SELECT * FROM p UNION ALL SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.less UNION ALL SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.less),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS best_n FROM q GROUP BY 1),
+b AS (SELECT g.word, min(near) AS best FROM g JOIN q ON q.word = g.word AND q.near_n = g.best_n GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM w LEFT JOIN g USING (word) LEFT JOIN b USING (word)), u AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT u.word, f.word, f.form FROM u JOIN f ON f.word = u.next)
+SELECT f.word, f.form, u.root, f.n, f.n_near, f.form_n FROM f JOIN u ON u.word = f.word AND u.next IS NULL""",
     "op13_hard_negatives": r"""
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

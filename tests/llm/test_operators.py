@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequality.llm import (decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules,
-                             secret_scan, suffix_dedup, warc)
+                             secret_scan, spelling, suffix_dedup, warc)
 from pagequality.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, n_words int, copies string"
@@ -589,3 +590,70 @@ def test_hard_negatives_edge_rows(spark):
     assert hard_negatives.hard_negatives(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         hard_negatives.hard_negatives(spark.createDataFrame([(0, [3e30], 1, 1, "x")], VECTORS))
+
+
+# ---- 11 ----
+
+def one_edit(u, v):
+    if len(u) > len(v):
+        u, v = v, u
+    if len(u) == len(v):
+        return sum(a != b for a, b in zip(u, v, strict=True)) == 1
+    return len(v) == len(u) + 1 and any(v[:i] + v[i + 1:] == u for i in range(len(v)))
+
+
+def plain_variants(rows):
+    """Brute force over (doc_id, text) rows, all pairs of words."""
+    total = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{i}:{run}".encode()) if i is not None else 1
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1:]
+            if len(run) >= 7:
+                total[run] += 1
+    total = {w: n for w, n in total.items() if n >= 2}
+    near = {w: sorted((-n, v) for v, n in total.items() if abs(len(v) - len(w)) < 2 and one_edit(w, v)) for w in total}
+    form = {w: x[0][1] for w, x in near.items() if x and -x[0][0] >= 10 * total[w]}
+    root = lambda w: root(form[w]) if w in form else w
+    return {(w, form.get(w), root(w), n, len(near[w]), total[form[w]] if w in form else None) for w, n in total.items()}
+
+
+def variant_rows(seed=4):
+    r = random.Random(seed)
+    letters = "abeostÀéÿ÷Z"
+    base = ["".join(r.choice(letters) for _ in range(r.choice([6, 7, 8, 9, 12, 24, 25, 26, 60]))) for _ in range(40)]
+    words, weights = [], []
+    for w in base:
+        words.append(w)
+        weights.append(r.choice([1, 20, 400]))
+        for _ in range(6):
+            w = r.choice([w, words[-1]])
+            i = r.randrange(len(w) + 1)
+            words.append(r.choice([w[:i] + r.choice(letters) + w[i:], w[:i] + w[i + 1:], w[:i] + r.choice(letters) + w[i + 1:], w[:i] + w[i:i + 1] + w[i:]]))
+            weights.append(r.choice([1, 2, 30]))
+    rows = [(i, r.choice(" ,\n3Ā中").join(r.choices(words, weights, k=r.randint(0, 400)))) for i in range(60)]
+    return rows + [(70, None), (71, ""), (None, rows[0][1]), rows[1], rows[1], (2, rows[4][1]), (72, "é" * 40_000), (73, "é" * 40_000), (74, "é" * 40_001 + " " + "é" * 40_001), (75, "日本ã" * 9)]
+
+
+def test_spelling_variants_are_those_of_brute_force(spark):
+    rows = variant_rows()
+    df = spark.createDataFrame([(*x, "w", 1) for x in rows], "doc_id long, text string, word string, n int").repartition(6)
+    got = [tuple(x) for x in spelling.spelling_variants(df).collect()]
+    want = plain_variants(rows)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(x[1] is not None for x in want) > 20 and any(x[2] != (x[1] or x[0]) for x in want)  # chains occur
+    assert spelling.spelling_variants(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words, cells", [(300_000, 8 << 20), (50, 2000)])
+def test_spelling_tiles_of_any_size(spark, monkeypatch, words, cells):
+    """A block of one key is split among no tiles; small tiles and early counts change nothing."""
+    rows = [(i, " ".join(f"prefix{a}{b}suffix prefix{a}{b}suffix" for b in "abcdefghijklmnopqrstuvwxyz")) for i, a in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    monkeypatch.setattr(spelling, "WORDS", words)
+    monkeypatch.setattr(spelling, "CELLS", cells)
+    monkeypatch.setattr(spelling, "TEXT_BYTES", 64 if words == 50 else 4 << 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(x) for x in spelling.spelling_variants(df).collect()}
+    assert got == plain_variants(rows)
