@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secret_scan, spelling, suffix_dedup, warc
+from . import decontaminate, fingerprints, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules, secret_scan, spelling, suffix_dedup, warc
 from .common import table
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": lambda spark, sf: quality_rules.quality_verdicts(table(spark, sf, "documents")),
     "op10_quality_bayes": lambda spark, sf: quality_bayes.quality(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op11_spelling_variants": lambda spark, sf: spelling.spelling_variants(table(spark, sf, "documents")),
+    "op12_fingerprints": lambda spark, sf: fingerprints.fingerprint_pairs(table(spark, sf, "documents")),
     "op13_hard_negatives": lambda spark, sf: hard_negatives.hard_negatives(table(spark, sf, "embeddings")),
 }
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagequality.llm import (decontaminate, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules,
+from pagequality.llm import (decontaminate, fingerprints, hard_negatives, licenses, line_dedup, mixing, ngram_join, quality_bayes, quality_rules,
                              secret_scan, spelling, suffix_dedup, warc)
 from pagequality.llm.components import components
 
@@ -657,3 +657,91 @@ def test_spelling_tiles_of_any_size(spark, monkeypatch, words, cells):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {tuple(x) for x in spelling.spelling_variants(df).collect()}
     assert got == plain_variants(rows)
+
+
+# ---- 12 ----
+
+def plain_shingles(text, n=5):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
+    return {tuple(w[i: i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def following(rows):
+    """(id, text, text of the next row) in descending order of ids, nulls last."""
+    from pagequality.llm.common import text_key
+
+    spark = rows.sparkSession
+    rows = [tuple(r) for r in rows.select("doc_id", F.coalesce("text", F.lit("")), text_key(F.col("text"))).collect()]
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    assert spark
+    return [(i, x, rows[(k + 1) % len(rows)][1]) for k, (i, x, _) in enumerate(rows)]
+
+
+def test_fingerprints_against_whole_sets(docs):
+    got = sorted(map(tuple, fingerprints.fingerprint_pairs(docs).collect()), key=str)
+    want, sets = [], []
+    for i, x, after in following(docs):
+        half = len(x) // 2
+        edit = x[: len(x) - half] + after[:half]
+        s = [fingerprints.sketch_of(t) for t in (x, edit)]
+        want.append((i, len(x), hashlib.sha256(edit.encode()).hexdigest(), *map(fingerprints.written, s)))
+        sets.append([plain_shingles(t) for t in (x, edit, after)])
+    order = sorted(range(len(want)), key=lambda k: str(want[k]))
+    assert sorted((r[:5] for r in got), key=str) == [want[k] for k in order]
+    assert all(len(fingerprints.read(r[3])) == min(128, len(sets[k][0])) for r, k in zip(sorted(got, key=lambda r: str(r[:5])), order, strict=True))
+    for r, k in zip(sorted(got, key=lambda r: str(r[:5])), order, strict=True):
+        own, edit, after = sets[k]
+        slack = 0 if max(map(len, sets[k])) < 64 else 0.15
+        assert abs(r[5] - likeness(own, edit)) <= slack and abs(r[6] - likeness(own, after)) <= slack
+        assert abs(r[7] - len(own)) <= (0.4 * len(own) if len(own) >= 128 else 0)
+    assert max(len(s[0]) for s in sets) > 150
+
+
+def test_fingerprints_of_random_cuts():
+    """Sketches of edited texts, put together from both texts' shingles, are those of the text itself."""
+    r = random.Random(9)
+    for _ in range(600):
+        text = lambda: "".join(r.choice(["ab", "Ä", " ", "\n", "x", "中", "  ", "longer"]) for _ in range(r.choice([0, 1, 3, 12, 90])))  # noqa: B023,E731
+        x, y = text(), text()
+        for p in (fingerprints.SketchParams(), fingerprints.SketchParams(2, 4)):
+            digest, sketch = fingerprints._Document(x.encode(), p).edited(fingerprints._Document(y.encode(), p))
+            edit = x[: len(x) - len(x) // 2] + y[: len(x) // 2]
+            assert digest == hashlib.sha256(edit.encode()).hexdigest() and (sketch == fingerprints.sketch_of(edit, p)).all() and len(sketch) == len(fingerprints.sketch_of(edit, p))
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    text = " ".join(["Ab", "c" * 200, "é" * 900] * 90).encode()
+    whole = fingerprints.words_of(np.frombuffer(text, np.uint8))
+    assert len(set(whole[2].tolist())) == 3 and (whole[2] == fingerprints.words_of(np.frombuffer(text.replace(b"Ab", b"aB"), np.uint8))[2]).all()
+    monkeypatch.setattr(fingerprints, "PIECE", 1000)
+    assert len(set(fingerprints.words_of(np.frombuffer(text, np.uint8))[2].tolist())) == 3
+
+
+def test_sketches_estimate_and_merge(spark):
+    r = np.random.default_rng(2)
+    a, b = np.unique(r.integers(0, 1 << 64, 9000, np.uint64)), r.integers(0, 1 << 64, 3000, np.uint64)
+    b = np.unique(np.concatenate((b, r.choice(a, 3000, replace=False))))
+    x, y = fingerprints.bottom(np.repeat(a, 3), 1024), fingerprints.bottom(b, 1024)
+    assert abs(fingerprints.resemblance(x, y, 1024) - 3000 / 12000) < 0.05 and abs(fingerprints.distinct(x, 1024) / 9000 - 1) < 0.1
+    assert abs(fingerprints.containment(y, x, 1024) - 0.5) < 0.1 and abs(fingerprints.containment(x, y, 1024) - 1 / 3) < 0.1
+    text = [" ".join(r.choice(list("abcdefgh"), 60)) for _ in range(40)]
+    df = spark.createDataFrame([(k % 3, t) for k, t in enumerate(text)] + [(7, ""), (8, None), (0, "")], "g int, t string")
+    got = {g: f for g, f in fingerprints.merge(df.select("g", fingerprints.fingerprint(F.col("t")).alias("fingerprint")), ["g"]).collect()}
+    for g in range(3):
+        whole = fingerprints.bottom(np.concatenate([fingerprints.sketch_of(t, fingerprints.SketchParams(k=10_000)) for k, t in enumerate(text) if k % 3 == g]), 128)
+        assert got[g] == fingerprints.written(whole)
+    assert got[7] == got[8] == ""
+
+
+def test_fingerprint_edge_rows(spark, docs, empty):
+    assert fingerprints.fingerprint_pairs(empty).count() == 0
+    one = fingerprints.fingerprint_pairs(spark.createDataFrame([("a", "b c d e f g", 1, "x")], "doc_id string, text string, n_chars int, place string")).collect()
+    assert [(r.doc_id, r.n_chars, r.near_next) for r in one] == [("a", 11, 1.0)]
+    same = spark.createDataFrame([(5, "same text here")] * 50 + [(5, None), (None, "x"), (6, "same text here")], "doc_id long, text string").repartition(9)
+    rows = fingerprints.fingerprint_pairs(same).collect()
+    assert Counter((r.doc_id, r.n_chars, r.near_next) for r in rows) == Counter({(5, 14, 1.0): 49, (6, 14, 1.0): 1, (5, 14, 0.0): 1, (5, 0, 0.0): 1, (None, 1, 0.0): 1}) or \
+        Counter((r.doc_id, r.n_chars, r.near_next) for r in rows) == Counter({(5, 14, 1.0): 49, (6, 14, 0.0): 1, (5, 14, 0.0): 1, (5, 0, 0.0): 1, (None, 1, 0.0): 1})
