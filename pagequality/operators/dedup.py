@@ -34,10 +34,13 @@ ORD_BITS = 56
 
 def priority(score_col: str | None, ord_col: str) -> F.Column:
     """Lower is better: (100 - score) in the high bits, ``ord`` below.
-    A missing score counts as 50.  ``ord`` must be in [0, 2^56)."""
+    A missing score counts as 50.  An ``ord`` outside [0, 2^56) is refused."""
     score = F.col(score_col) if score_col else F.lit(None)
     s = F.least(F.greatest(F.coalesce(score, F.lit(50)), F.lit(0)), F.lit(100)).cast("long")
-    return (F.lit(100) - s) * F.lit(1 << ORD_BITS) + F.col(ord_col).cast("long")
+    order = F.col(ord_col).cast("long")
+    wrong = F.raise_error(F.concat(F.lit(f"{ord_col} must lie in [0, 2^{ORD_BITS}), not "), F.coalesce(order.cast("string"), F.lit("null"))))
+    fits = (order >= 0) & (order < (1 << ORD_BITS))
+    return (F.lit(100) - s) * F.lit(1 << ORD_BITS) + F.when(F.coalesce(fits, F.lit(False)), order).otherwise(wrong.cast("long"))
 
 
 def exact_duplicates(df: DataFrame, ord_col: str, content_col: str, score_col: str | None = None) -> DataFrame:

@@ -18,18 +18,10 @@ from .joins import sized_broadcast
 from .text_stats import text_stats
 
 
-def with_text_signals(df: DataFrame, key: str, text_col: str = "text", ai_col: str | None = None,
-                      out: str = "text_sig", params: Params = DEFAULT, partitioned: bool = False) -> DataFrame:
-    """Adds ``out`` = struct(points, flags, details...) computed from ``text_col``.
-
-    ``key`` must identify a row.  The frame is hash-partitioned by it once and
-    the counting job (:func:`text_stats`) plus the join back reuse that
-    partitioning, so this adds exactly one exchange.
-    """
-    d = df if partitioned else df.repartition(key)
-    stats = text_stats(d, key, text_col, params, partitioned=True)
-    stats = stats.select(key, F.struct(*[c for c in stats.columns if c != key]).alias("_pq_st"))
-    joined = d.join(stats, key, "left")
+def with_text_signals(df: DataFrame, text_col: str = "text", ai_col: str | None = None,
+                      out: str = "text_sig", params: Params = DEFAULT) -> DataFrame:
+    """Adds ``out`` = struct(points, flags, details...) computed from ``text_col``; row-local."""
+    joined = df.withColumn("_pq_st", text_stats(F.col(text_col), params))
     ai = F.coalesce(F.col(ai_col).cast("double"), F.lit(0.0)) if ai_col else F.lit(0.0)
     return joined.withColumn(out, _compose_text(F.col("_pq_st"), ai, params)).drop("_pq_st")
 
@@ -140,20 +132,19 @@ def tier(score: Column, params: Params = DEFAULT) -> Column:
             .when(score >= params.tier_med, F.lit("MED")).otherwise(F.lit("LOW")))
 
 
-def with_quality(df: DataFrame, key: str, text_col: str = "content", html_col: str | None = None,
+def with_quality(df: DataFrame, text_col: str = "content", html_col: str | None = None,
                  url_col: str | None = None, query_col: str | None = None,
                  relevance_col: str | None = None, ai_col: str | None = None,
                  ranks: DataFrame | None = None, out: str = "quality",
-                 params: Params = DEFAULT, partitioned: bool = False) -> DataFrame:
+                 params: Params = DEFAULT) -> DataFrame:
     """The composed score: baseline + domain + html + text + relevance,
     clamped to 0..100, with the empty-text and off-topic exits.
 
     ``relevance_col`` carries the relevance provider's output (cosine of
     query and text vectors, or the lexical provider); it is used only when
-    the row has a query.  ``partitioned=True`` declares ``df`` already
-    hash-partitioned by ``key`` (as the corpus readers return it).
+    the row has a query.  Row-local but for the rank lookup.
     """
-    d = with_text_signals(df, key, text_col, ai_col, "_pq_ts", params, partitioned=partitioned)
+    d = with_text_signals(df, text_col, ai_col, "_pq_ts", params)
     if html_col:
         d = with_html_signals(d, html_col, text_col, "_pq_hs", params)
     if url_col:

@@ -43,8 +43,8 @@ def _flags(c):
 
 # ---------------------------------------------------------------- pages ----
 
-def pages_with_content(spark: SparkSession, sf: str, partition: bool = False) -> DataFrame:
-    p = read_table(spark, sf, "pages", partition=partition)
+def pages_with_content(spark: SparkSession, sf: str) -> DataFrame:
+    p = read_table(spark, sf, "pages")
     return p.withColumn("content", fh.extract_text(F.col("html")))
 
 
@@ -151,8 +151,8 @@ def q_domain_signals(spark, sf):
 
 
 def scored_pages(spark, sf):
-    p = pages_with_content(spark, sf, partition=True)
-    return with_quality(p, "page_id", "content", html_col="html", url_col="url", partitioned=True)
+    p = pages_with_content(spark, sf)
+    return with_quality(p, "content", html_col="html", url_col="url")
 
 
 def q_page_score(spark, sf):
@@ -195,12 +195,12 @@ def q_page_view(spark, sf):
 
 # ------------------------------------------------------------ documents ----
 
-def docs(spark, sf, columns=None, partition=False):
-    return read_table(spark, sf, "documents", columns, partition)
+def docs(spark, sf, columns=None):
+    return read_table(spark, sf, "documents", columns)
 
 
 def q_text_signals(spark, sf):
-    d = with_text_signals(docs(spark, sf, ["doc_id", "text"], partition=True), "doc_id", "text", out="t", partitioned=True)
+    d = with_text_signals(docs(spark, sf, ["doc_id", "text"]), "text", out="t")
     t = lambda f: F.col("t." + f)
     return d.select(
         "doc_id", _long(t("points")).alias("points"), _flags(t("flags")).alias("flags"),
@@ -215,8 +215,8 @@ def q_text_signals(spark, sf):
 
 
 def scored_docs(spark, sf):
-    d = docs(spark, sf, ["doc_id", "text", "source"], partition=True)
-    return with_quality(d, "doc_id", "text", out="quality", partitioned=True)
+    d = docs(spark, sf, ["doc_id", "text", "source"])
+    return with_quality(d, "text", out="quality")
 
 
 def q_document_score(spark, sf):
@@ -228,7 +228,7 @@ def q_document_score(spark, sf):
 def q_query_score(spark, sf):
     """Documents scored with a query (their first line), a rank list and an AI score; hosts, ranks
     and AI scores come from the ids."""
-    d = docs(spark, sf, ["doc_id", "text"], partition=True)
+    d = docs(spark, sf, ["doc_id", "text"])
     host = F.concat(F.lit("host"), (F.col("doc_id") % 40).cast("string"), F.lit(".com"))
     d = d.withColumns({"query": F.regexp_extract("text", r"^([^\n]*)", 1), "domain": host,
                        "url": F.concat(F.lit("https://"), host, F.lit("/"), F.col("doc_id").cast("string")),
@@ -239,8 +239,8 @@ def q_query_score(spark, sf):
     rel = lexical_relevance(d.select(ident("q").alias("query_key"), ident("t").alias("text_key")), texts, "tid", "text")
     ranks = d.groupBy("domain").agg(F.pow(F.lit(10), F.min("doc_id") % 7).cast("int").alias("rank"))
     d = d.drop("domain").join(rel.select(F.col("text_key.id").alias("doc_id"), "relevance"), "doc_id", "left")
-    q = with_quality(d, "doc_id", "text", url_col="url", query_col="query", relevance_col="relevance", ai_col="ai",
-                     ranks=ranks, partitioned=True)
+    q = with_quality(d, "text", url_col="url", query_col="query", relevance_col="relevance", ai_col="ai",
+                     ranks=ranks)
     return q.select("doc_id", _long(F.col("quality.score")).alias("score"), _flags(F.col("quality.flags")).alias("flags"),
                     F.col("quality.relevance").alias("relevance"), tier(F.col("quality.score")).alias("tier"))
 
@@ -324,7 +324,7 @@ def q_near_duplicates(spark, sf):
 
 
 def q_sample_affinity(spark, sf):
-    d = docs(spark, sf, ["doc_id", "text"], partition=True)
+    d = docs(spark, sf, ["doc_id", "text"])
     b = read_table(spark, sf, "benchmark", ["item_id", "text"])
     a = sample_affinity(d, "doc_id", "text", b)
     return a.select("doc_id", "grams", "covered", F.round("affinity", R).alias("affinity"), "ai_score")

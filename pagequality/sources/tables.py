@@ -1,9 +1,4 @@
-"""Readers for the input tables.
-
-A scan moves nothing by itself.  Jobs that group or join on the row key ask
-for ``partition=True``: the rows are then hash-partitioned by that key once,
-and the keyed steps downstream (text statistics, score joins) reuse it.
-"""
+"""Readers for the input tables; a scan moves nothing by itself."""
 
 from __future__ import annotations
 
@@ -14,15 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-ROW_KEYS = {
-    "documents": "doc_id",
-    "pages": "page_id",
-    "embeddings": "vec_id",
-    "benchmark": "item_id",
-    "labels": "doc_id",
-    "events": "event_id",
-}
-
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
@@ -40,15 +26,11 @@ class Views(str):
         return out
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None, partition: bool = False) -> DataFrame:
-    """Scan one table; ``columns`` prunes the scan; ``partition``
-    hash-partitions ``documents`` and ``pages`` by their row key."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> DataFrame:
+    """Scan one table; ``columns`` prunes the scan."""
     df = spark.read.parquet(table_path(sf_dir, name))
     if isinstance(sf_dir, Views) and name in sf_dir.views:
         df = sf_dir.views[name](df)
     if columns:
         df = df.select(*columns)
-    key = ROW_KEYS.get(name)
-    if partition and key and key in df.columns and name in ("documents", "pages"):
-        df = df.repartition(key)
     return df

@@ -37,7 +37,7 @@ def score_batch(batch: DataFrame, key: str, text_col: str, html_col: str | None
     if html_col:
         d = d.withColumn("content", extract_text(F.col(html_col)))
         text_col = "content"
-    q = with_quality(d, key, text_col, html_col=html_col, url_col=url_col, params=params)
+    q = with_quality(d, text_col, html_col=html_col, url_col=url_col, params=params)
     return q.select(key, F.col("quality.score").alias("score"), F.array_join("quality.flags", ",").alias("flags"),
                     F.col("quality.page_type").alias("page_type"))
 
