@@ -1,18 +1,17 @@
 """Line dedup: an exact set-similarity join of lines, and removal of later matches.
 
 A line is removed when an earlier line of the corpus, by (id, line number), has a word set of Jaccard 0.8 or more
-with its own.  Lines with fewer than min_words distinct words aren't compared; EVERY, which the query and the pipeline
-use, compares all lines that have a word.
+with its own.  All lines that have a word are compared.
 
 1. A count sketch of all words gives their order by rarity, ties by hash: an array of one byte a bucket,
    fixed in size whatever the corpus.
 2. Of equal word sets only the first place goes on (found by partial aggregation before the shuffle); all
    other places of it are removed.  A set goes by the number that its row got when it was written.
-3. Sets that begin or end with the same words are verified against the first of them.  This decides most of
-   a family of near copies at one pair a line.
-4. Prefix join: sets meet on the rarest words each may not miss.  A pair is a candidate if its sizes, the
-   positions of the shared word and a 64-bit parity map of the sets leave the bound on the overlap within
-   reach, and it isn't decided on both sides.
+3. Sets that begin or end with the same words, or share their least and greatest word hash, are verified against the
+   first of them.  This decides most of a family of near copies at one pair a line.
+4. Prefix join: lines that are not yet decided meet earlier ones on the rarest words that a pair may not miss.  A pair is
+   a candidate if its sizes, the positions of the shared word and a 128-bit parity map of the sets leave the bound on the
+   overlap within reach.  A line that is removed meets no more earlier lines, but later ones still meet it.
 5. Candidates are verified on the words themselves.
 
 Defined cases: null texts have no lines; rows with a null id neither lose lines nor remove any; of rows with
@@ -37,14 +36,11 @@ BLOCK = 1 << 14
 @dataclass(frozen=True)
 class LineParams:
     percent: int = 80
-    min_words: int = 5
     #: Words at either end of a line that near copies are first looked up by.
     ends: int = 6
 
 
 DEFAULT = LineParams()
-#: Every line with a word is compared: for the query and the pipeline.
-EVERY = LineParams(min_words=1)
 
 
 def _words(line):
@@ -55,44 +51,45 @@ def _words(line):
     return F.array_remove(F.split(line, " "), "")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """One byte for each hash bucket: how often its words occur in the corpus, on a log scale."""
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row with ``marks``: a byte for each of 2^BITS hash buckets, how often its words occur in the corpus, on a log scale.
+
+    Summed up and put together by Spark, fixed in size, and written: plans refer to it and don't hold it."""
     n = 1 << BITS
     bucket = F.pmod(F.xxhash64("w"), F.lit(n)).alias("b")
     counts = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
-    packed = F.col("b") * 128 + F.least(F.lit(90), F.floor(4 * F.log2(1 + F.col("n"))))
-    blocks = counts.groupBy(F.expr(f"b div {BLOCK}")).agg(F.collect_list(packed.cast("int")).alias("marks"))
-    marks = bytearray(b"!" * n)
-    for r in blocks.collect():  # n entries at most
-        for x in r["marks"]:
-            marks[x >> 7] += x & 127
-    return bytes(marks)
+    mark = F.least(F.lit(120), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("tinyint")
+    all_of = docs.sparkSession.range(n).select(F.col("id").alias("b")).join(counts, "b", "left").select("b", mark.alias("mark"))
+    block = all_of.groupBy(F.expr(f"b div {BLOCK}").alias("k")).agg(F.array_sort(F.collect_list(F.struct("b", "mark"))).getField("mark").alias("marks"))
+    return stash(block.agg(F.flatten(F.array_sort(F.collect_list(F.struct("k", "marks"))).getField("marks")).alias("marks")), "line-rarity")
 
 
 def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
-    """id, key, line, sid (of the word set), parity, size, prefix, begins, ends and a number of every line that is compared."""
+    """id, key, line, sid (of the word set), parities, size, prefix, begins, ends, most and a number of every line with a word."""
     # explode() of one array computes it once: filters on the result would else be pushed below, and its steps with them
-    marks = rarity(docs)
     d = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    d = d.select("id", "key", "line", F.explode(F.array(_words(F.col("s")))).alias("w")).where(F.size("w") > 0)
+    d = d.select("id", "key", "line", "w", F.explode(F.array(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))))).alias("h"))
     low = F.lit((1 << 56) - 1)
-    rank = lambda h: F.ascii(F.substring(F.lit(bytearray(marks)), F.pmod(h, F.lit(1 << BITS)).cast("int") + 1, 1).cast("string"))
-    r = F.transform(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))), lambda h: F.shiftleft(rank(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low)))
-    d = d.select("id", "key", "line", F.explode(F.array(_words(F.col("s")))).alias("w")).where(F.size("w") >= p.min_words)
-    d = d.select("id", "key", "line", "w", F.explode(F.array(F.sort_array(r))).alias("r")).where(F.size("r") >= p.min_words)
+    mark = lambda h: F.get(F.col("marks"), F.pmod(h, F.lit(1 << BITS)).cast("int")).cast("long")
+    r = F.transform("h", lambda h: F.shiftleft(mark(h), 56).bitwiseOR(h.bitwiseAND(low)))
+    d = d.withColumn("marks", rarity(docs).scalar()).select("id", "key", "line", "w", "h", F.explode(F.array(F.sort_array(r))).alias("r"))
     size = F.size("r")
     length = size - F.expr(f"cast(({p.percent} * size(r) + 99) div 100 as int)") + 1
     return d.select(
         "id", "key", "line", F.monotonically_increasing_id().alias("n"), F.xxhash64("r").alias("sid"), size.alias("size"),
-        F.expr("aggregate(r, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("parity"),
+        *[F.expr(f"aggregate(h, 0L, (a, x) -> a ^ shiftleft({bit}, cast(x & 63L as int)))").alias(c)
+          for c, bit in (("odd", "(x >> 6) & 1L"), ("even", "((x >> 6) & 1L) ^ 1L"))],
         F.transform(F.slice("r", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-        F.xxhash64(F.slice("w", 1, p.ends)).alias("begins"), F.xxhash64(F.reverse(F.slice(F.reverse("w"), 1, p.ends)), F.lit(1)).alias("ends"))
+        F.xxhash64(F.slice("w", 1, p.ends)).alias("begins"), F.xxhash64(F.reverse(F.slice(F.reverse("w"), 1, p.ends)), F.lit(1)).alias("ends"),
+        F.xxhash64(F.array_min("h"), F.array_max("h"), F.lit(2)).alias("most"))
 
 
-def _within(p: LineParams, a: str, b: str):
+def _within(p: LineParams):
     """Sizes and parity maps of sets a and b allow the threshold; the least overlap."""
-    x, y = F.col(f"size_{a}"), F.col(f"size_{b}")
-    least = F.expr(f"({p.percent} * (size_{a} + size_{b}) + {100 + p.percent - 1}) div {100 + p.percent}")
-    apart = F.bit_count(F.col(f"parity_{a}").bitwiseXOR(F.col(f"parity_{b}")))
+    x, y = F.col("size_a"), F.col("size_b")
+    least = F.expr(f"({p.percent} * (size_a + size_b) + {100 + p.percent - 1}) div {100 + p.percent}")
+    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("odd", "even"))
     return (100 * F.least(x, y) >= p.percent * F.greatest(x, y)) & (apart <= x + y - 2 * least), least
 
 
@@ -101,21 +98,20 @@ def _named(df: DataFrame, x: str, *keep: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, p: LineParams) -> DataFrame:
-    """The later line's number of each pair (n_a, n_b) that reaches the threshold, on the words; a number may come twice."""
-    wanted = sized_broadcast(pairs.select(F.explode(F.array("n_a", "n_b")).alias("n")).distinct(), 1_000_000)
-    wanted = lines.select("n", "id", "line", "key").join(wanted, "n")
+    """The number n_b of each line that reaches the threshold with an earlier one, n_a, on the words; it may come twice."""
+    wanted = stash(pairs.select(F.col("n_a").alias("n")).unionByName(pairs.select(F.col("n_b").alias("n"))).distinct(), "line-numbers")
+    wanted = lines.select("n", "id", "line", "key").join(sized_broadcast(wanted, 1_000_000), "n")
     wanted = stash(wanted.groupBy(F.col("id").alias("wid"), F.col("key").alias("wkey")).agg(
         F.collect_list(F.struct("n", "line")).alias("at")), "line-wanted")  # of one document
     held = docs.join(sized_broadcast(wanted, 300_000), (docs["id"] == wanted["wid"]) & (docs["key"] == wanted["wkey"]))
     text = held.withColumn("lines", F.split("text", "\n")).select("id", "key", F.explode("at").alias("x"), "lines").select(
         "x.n", F.struct("id", "x.line", "key").alias("place"), F.get("lines", F.col("x.line")).alias("s"))
     text = stash(text, "line-texts")  # equal rows give a line twice, to no effect
-    both = pairs.join(_named(text, "a"), "n_a").join(_named(text, "b"), "n_b")
+    both = pairs.join(_named(text, "a"), "n_a").join(_named(text, "b"), "n_b").where("place_a < place_b")
     for x in "ab":  # explode() of one array computes it once
         both = both.select("*", F.explode(F.array(F.array_distinct(_words(F.col(f"s_{x}"))))).alias(x)).drop(f"s_{x}")
     both = both.select("*", F.explode(F.array(F.size(F.array_intersect("a", "b")))).alias("o"))
-    return both.where(100 * F.col("o") >= p.percent * (F.size("a") + F.size("b") - F.col("o"))).select(
-        F.when(F.col("place_a") < F.col("place_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n"))
+    return both.where(100 * F.col("o") >= p.percent * (F.size("a") + F.size("b") - F.col("o"))).select(F.col("n_b").alias("n"))
 
 
 def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
@@ -127,21 +123,20 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     named = lines.join(sized_broadcast(copies, 1_000_000), "sid", "left").withColumn("root", F.coalesce("first_n", "n"))
     # sets too small to reach the threshold with any other set are done: with percent 80, below four words
     sets = named.where("n = root").where((100 - p.percent) * F.col("size") >= p.percent)
-    # 3. the first of those that begin or end alike; lines at the same place of rows that share an id are left to 4
-    at = sets.select("id", "line", "n", "size", "parity", F.explode(F.array("begins", "ends")).alias("k"))
-    first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "parity")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
-    may, _ = _within(p, "b", "a")
+    # 3. the first of those that look alike; lines at the same place of rows that share an id are left to 4
+    may, least = _within(p)
+    at = sets.select("id", "line", "n", "size", "odd", "even", F.explode(F.array("begins", "ends", "most")).alias("k"))
+    first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "odd", "even")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
     later = (F.col("id_b") > F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") > F.col("line_a")))
     family = _named(at, "b", "k").join(_named(first, "a", "k"), "k").where(later & may).select("n_a", "n_b").distinct()
     gone = stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-gone")
-    # 4. prefix join of the rest
+    # 4. prefix join of the rest with all earlier lines
     done = sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000)
-    post = sets.select("n", "size", "parity", "prefix").join(done, "n", "left").select(
-        "n", "size", "parity", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
-    may, least = _within(p, "a", "b")
+    post = sets.select("n", "id", "size", "odd", "even", "prefix").join(done, "n", "left").select(
+        "n", "id", "size", "odd", "even", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
     near = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
     pairs = _named(post, "a", "word").join(_named(post, "b", "word"), "word").where(
-        (F.col("n_a") < F.col("n_b")) & may & near & ~(F.col("done_a") & F.col("done_b"))).select("n_a", "n_b").distinct()
+        (F.col("n_a") != F.col("n_b")) & (F.col("id_a") <= F.col("id_b")) & may & near & ~F.col("done_b")).select("n_a", "n_b").distinct()
     gone = stash(gone.unionByName(verified(stash(pairs, "line-pairs"), lines, docs, p)).distinct(), "line-gone")
     gone = sized_broadcast(gone.select(F.col("n").alias("root"), F.lit(True).alias("gone")), 1_000_000)
     first = (F.col("id") == F.col("first_id")) & (F.col("line") == F.col("first_line")) & (F.col("key") == F.col("first_key"))

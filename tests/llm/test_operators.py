@@ -79,7 +79,7 @@ def test_line_dedup_is_the_sequential_rule(unique):
         keep = []
         for s in x.split("\n"):
             u = set(words(s.lower()))
-            if len(u) >= 5:
+            if u:
                 if any(100 * len(u & v) >= 80 * len(u | v) for v in seen):
                     seen.append(u)
                     continue
@@ -100,7 +100,7 @@ def test_line_dedup_of_every_line_with_a_word(spark, unique):
     rows = [(r.doc_id, r.text) for r in unique.collect()] + [
         (300, "a b c d\nq1 q2 q3"), (301, "d c b a e\n\nq3 q1 q2 q4"), (302, "a b c\n \t"), (303, "c  b A\n日本語の行\nla la la la la la"),
         (304, "日本語の行\nLa la\n\nq2 q1 Q3"), (305, "f g h i j\nf g h\nk"), (306, "i g h f\nK\nk l")]
-    got = by_id(line_dedup.line_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), line_dedup.EVERY))
+    got = by_id(line_dedup.line_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
     seen, removed = [], 0
     for i, x in sorted((i, x or "") for i, x in rows):
         keep = []
@@ -114,6 +114,39 @@ def test_line_dedup_of_every_line_with_a_word(spark, unique):
     assert [got[i][1] for i in (301, 303, 304, 306)] == [1, 1, 3, 2]
 
 
+def test_line_families_that_differ_at_both_ends(spark):
+    """Members with other beginnings, ends and orders than the first; chains whose ends are apart; hundreds of words a line."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    rows, k = [], 0
+    for size in (12, 40, 150, 320):
+        base = [word() for _ in range(size)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.randint(1, max(2, size // 6))):  # about the threshold
+                w[r.choice([0, 1, size // 2, size - 2, size - 1, r.randrange(size)])] = word()
+            if r.random() < 0.3:
+                r.shuffle(w)
+            rows.append((r.randrange(60), "", " ".join(w)))
+            k += 1
+    docs = defaultdict(list)
+    for i, _, s in rows:
+        docs[i].append(s)
+    texts = {i: "\n".join(x) for i, x in docs.items()}
+    got = by_id(line_dedup.line_digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)))
+    seen, removed = [], 0
+    for i in sorted(texts):
+        keep = []
+        for s in texts[i].split("\n"):
+            u = set(s.split(" "))
+            if not any(100 * len(u & v) >= 80 * len(u | v) for v in seen):
+                keep.append(s)
+            seen.append(u)
+        removed += len(docs[i]) - len(keep)
+        assert got[i][1:] == (len(docs[i]) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest())
+    assert 30 < removed < 95
+
+
 def test_line_query_and_pipeline_compare_every_line(spark, tmp_path):
     import corpus_pipeline
     from pagequality.llm.queries import QUERIES
