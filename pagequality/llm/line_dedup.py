@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import sized_broadcast
 from .common import fresh, stash, text_key
 
-BITS = 20
+BITS = 17
 BLOCK = 1 << 14
 
 
@@ -51,38 +51,41 @@ def _words(line):
     return F.array_remove(F.split(line, " "), "")
 
 
-def rarity(docs: DataFrame) -> DataFrame:
-    """One row with ``marks``: a byte for each of 2^BITS hash buckets, how often its words occur in the corpus, on a log scale.
+def rarity(docs: DataFrame) -> bytes:
+    """A byte for each of 2^BITS hash buckets: how often its words occur in the corpus, on a log scale.
 
-    Summed up and put together by Spark, fixed in size, and written: plans refer to it and don't hold it."""
+    Counted and put together by Spark; fixed in size, and small, as plans hold it (and their descriptions print it)."""
     n = 1 << BITS
     bucket = F.pmod(F.xxhash64("w"), F.lit(n)).alias("b")
     counts = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
-    mark = F.least(F.lit(120), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("tinyint")
-    all_of = docs.sparkSession.range(n).select(F.col("id").alias("b")).join(counts, "b", "left").select("b", mark.alias("mark"))
-    block = all_of.groupBy(F.expr(f"b div {BLOCK}").alias("k")).agg(F.array_sort(F.collect_list(F.struct("b", "mark"))).getField("mark").alias("marks"))
-    return stash(block.agg(F.flatten(F.array_sort(F.collect_list(F.struct("k", "marks"))).getField("marks")).alias("marks")), "line-rarity")
+    mark = F.least(F.lit(90), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int") + 33
+    all_of = docs.sparkSession.range(n).select(F.col("id").alias("b")).join(counts, "b", "left").select("b", F.chr(mark).alias("mark"))
+    block = all_of.groupBy(F.expr(f"b div {BLOCK}").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("b", "mark"))).getField("mark"), "").alias("marks"))
+    return "".join(r["marks"] for r in block.orderBy("k").collect()).encode()  # n bytes
 
 
 def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
     """id, key, line, sid (of the word set), parities, size, prefix, begins, ends, most and a number of every line with a word."""
     # explode() of one array computes it once: filters on the result would else be pushed below, and its steps with them
+    marks = F.lit(bytearray(rarity(docs)))
     d = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     d = d.select("id", "key", "line", F.explode(F.array(_words(F.col("s")))).alias("w")).where(F.size("w") > 0)
-    d = d.select("id", "key", "line", "w", F.explode(F.array(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))))).alias("h"))
-    low = F.lit((1 << 56) - 1)
-    mark = lambda h: F.get(F.col("marks"), F.pmod(h, F.lit(1 << BITS)).cast("int")).cast("long")
-    r = F.transform("h", lambda h: F.shiftleft(mark(h), 56).bitwiseOR(h.bitwiseAND(low)))
-    d = d.withColumn("marks", rarity(docs).scalar()).select("id", "key", "line", "w", "h", F.explode(F.array(F.sort_array(r))).alias("r"))
+    d = d.select(
+        "id", "key", "line", F.xxhash64(F.slice("w", 1, p.ends)).alias("begins"), F.xxhash64(F.reverse(F.slice(F.reverse("w"), 1, p.ends)), F.lit(1)).alias("ends"),
+        F.explode(F.array(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))))).alias("h"))
+    mark = lambda h: F.ascii(F.substring(marks, F.pmod(h, F.lit(1 << BITS)).cast("int") + 1, 1).cast("string")).cast("long")
+    r = F.transform("h", lambda h: F.shiftleft(mark(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    d = d.select(
+        "id", "key", "line", "begins", "ends", F.xxhash64(F.array_min("h"), F.array_max("h"), F.lit(2)).alias("most"),
+        *[F.expr(f"aggregate(h, 0L, (a, x) -> a ^ shiftleft({bit}, cast(x & 63L as int)))").alias(c)
+          for c, bit in (("odd", "(x >> 6) & 1L"), ("even", "((x >> 6) & 1L) ^ 1L"))],
+        F.explode(F.array(F.sort_array(r))).alias("r"))
     size = F.size("r")
     length = size - F.expr(f"cast(({p.percent} * size(r) + 99) div 100 as int)") + 1
     return d.select(
-        "id", "key", "line", F.monotonically_increasing_id().alias("n"), F.xxhash64("r").alias("sid"), size.alias("size"),
-        *[F.expr(f"aggregate(h, 0L, (a, x) -> a ^ shiftleft({bit}, cast(x & 63L as int)))").alias(c)
-          for c, bit in (("odd", "(x >> 6) & 1L"), ("even", "((x >> 6) & 1L) ^ 1L"))],
+        "id", "key", "line", F.monotonically_increasing_id().alias("n"), F.xxhash64("r").alias("sid"), size.alias("size"), "odd", "even",
         F.transform(F.slice("r", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-        F.xxhash64(F.slice("w", 1, p.ends)).alias("begins"), F.xxhash64(F.reverse(F.slice(F.reverse("w"), 1, p.ends)), F.lit(1)).alias("ends"),
-        F.xxhash64(F.array_min("h"), F.array_max("h"), F.lit(2)).alias("most"))
+        "begins", "ends", "most")
 
 
 def _within(p: LineParams):
