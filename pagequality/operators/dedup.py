@@ -105,12 +105,26 @@ def near_duplicate_status(members: DataFrame) -> DataFrame:
                           F.when(F.col("kept").isNull() & F.col("k_new").isNotNull(), F.lit(rnd))
                           .otherwise(F.col("round")).alias("round")))
         status = _persist_round(status)
-    return status.select("ord", "kept", "dup_of", "round")
+    return with_representative(members, status)
+
+
+def with_representative(members: DataFrame, status: DataFrame) -> DataFrame:
+    """``dup_of``: the kept row of the best priority that shares a bucket with a dropped one; null for kept rows.
+
+    The rounds may have dropped it for a later one.  Bucket minima over kept rows and row minima over buckets, both
+    combined before the shuffle; no pairs."""
+    kept = members.join(status.where("kept").select("ord"), "ord", "left_semi")
+    best = kept.groupBy("band", "bvals").agg(F.min("prio").alias("best"))
+    dropped = members.join(status.where(~F.col("kept")).select("ord"), "ord", "left_semi")
+    of = dropped.join(best, ["band", "bvals"]).groupBy("ord").agg(F.min("best").alias("best"))
+    of = of.select("ord", (F.col("best") % F.lit(1 << ORD_BITS)).alias("dup_of"))
+    return status.drop("dup_of").join(of, "ord", "left").select("ord", "kept", "dup_of", "round")
 
 
 def dedup_status(df: DataFrame, ord_col: str, content_col: str, score_col: str | None = None,
-                 params: Params = DEFAULT) -> DataFrame:
-    """``(ord_col, near_duplicate, dup_of)`` for every row of ``df``.
+                 params: Params = DEFAULT, scope_col: str | None = None) -> DataFrame:
+    """``(ord_col, near_duplicate, dup_of)`` for every row of ``df``; with ``scope_col``, rows
+    are compared with rows of the same scope only (``ord_col`` is unique over all).
 
     One pass over the input computes a narrow table -- priority, length,
     exact-text hash and (for indexed rows) the MinHash signature -- which is
@@ -122,18 +136,22 @@ def dedup_status(df: DataFrame, ord_col: str, content_col: str, score_col: str |
     """
     length = F.coalesce(F.length(F.col(content_col)), F.lit(0))
     indexed = length >= params.min_content_length
+    scope = F.concat(F.coalesce(F.col(scope_col).cast("string"), F.lit("")), F.lit("\n")) if scope_col else F.lit("")
     narrow = df.select(
         F.col(ord_col).cast("long").alias("ord"), priority(score_col, ord_col).alias("prio"),
         indexed.alias("indexed"),
-        F.when(indexed, F.sha2(shingle_text(F.col(content_col)), 256)).alias("text_hash"),
+        F.when(indexed, F.sha2(F.concat(scope, shingle_text(F.col(content_col))), 256)).alias("text_hash"), scope.alias("scope"),
         F.when(indexed, minhash_signature(F.col(content_col), params)).alias("sig"))
     narrow = _persist_round(narrow)
     idx = narrow.where(F.col("indexed"))
     best = idx.groupBy("text_hash").agg(F.min("prio").alias("best_prio"))
     idx = idx.join(best, "text_hash").withColumn("exact_keep", F.col("prio") == F.col("best_prio"))
     reps = idx.where(F.col("exact_keep"))
-    members = reps.select("ord", "prio", F.explode(lsh_bands(F.col("sig"), params)).alias("b")) \
-        .select("ord", "prio", F.col("b.band").alias("band"), F.col("b.bvals").alias("bvals"))
+    members = reps.select("ord", "prio", "scope", F.explode(lsh_bands(F.col("sig"), params)).alias("b")) \
+        .select("ord", "prio", F.struct("scope", "b.band").alias("band"), F.col("b.bvals").alias("bvals"))
+    # a bucket with one member decides nothing; rows that share none are kept without a round
+    shared = members.groupBy("band", "bvals").agg(F.count("*").alias("n")).where("n > 1").select("band", "bvals")
+    members = members.join(shared, ["band", "bvals"], "left_semi")
     status = near_duplicate_status(members)
     rep_status = (reps.join(status, "ord", "left")
                   .select("text_hash", F.col("ord").alias("rep"),

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
+from ..sources.ordered_text import write_ordered
 from .positions import with_position
+from .ranking import with_rank
 from .score import tier
 
 
@@ -35,6 +37,15 @@ def usable_for_digest(content: Column, score: Column, params: Params = DEFAULT)
             & (F.coalesce(score, F.lit(50)) >= params.min_score))
 
 
+def digest_rank(entries: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """``session, ord, sort_key, rank`` of the usable entries: best first, equal keys in list order.
+
+    Only the narrow columns are sorted, over all tasks, so a session of any size is ranked without a window over it."""
+    d = entries.where(usable_for_digest(F.col("content"), F.col("score"), params))
+    d = d.select("session", "ord", digest_sort_key(F.col("score"), F.col("relevance")).alias("sort_key"))
+    return with_rank(d, ["session"], [F.desc("sort_key"), F.asc_nulls_last("ord")])
+
+
 def digest_entries(entries: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Usable entries with their sort key and rendered part texts (K1+K2)."""
     d = entries.where(usable_for_digest(F.col("content"), F.col("score"), params))
@@ -59,7 +70,7 @@ def digest_parts(entries: DataFrame, sessions: DataFrame, params: Params = DEFAU
     """
     de = digest_entries(entries, params)
     usable = de.groupBy("session").agg(F.count("*").alias("usable"))
-    hdr = sessions.join(usable, "session", "left").withColumn("usable", F.coalesce("usable", F.lit(0)))
+    hdr = sessions.join(usable.withColumnRenamed("session", "_pq_s"), F.col("session").eqNullSafe(F.col("_pq_s")), "left").drop("_pq_s").withColumn("usable", F.coalesce("usable", F.lit(0)))
     filtered = F.col("total") - F.col("usable")
     meta = F.concat_ws(", ",
                        F.concat(F.col("usable").cast("string"), F.lit(" sources")),
@@ -83,6 +94,13 @@ def digest_parts(entries: DataFrame, sessions: DataFrame, params: Params = DEFAU
     return head.unionByName(body)
 
 
+def write_digests(entries: DataFrame, sessions: DataFrame, path: str, params: Params = DEFAULT) -> None:
+    """Every session's digest as numbered text files below ``path/name=<session>``; their texts in name order are the digest."""
+    parts = digest_parts(entries, sessions, params)
+    order = [F.asc("block"), F.desc("sort_key"), F.asc_nulls_last("ord"), F.asc("part_no")]
+    write_ordered(parts, path, "session", order, "part", separator="\n\n")
+
+
 def order_digest_parts(parts: DataFrame) -> DataFrame:
     """Global sort into output order (range-partitioned, so a large session
     is spread over many tasks)."""
@@ -133,7 +151,7 @@ def run_summary(entries: DataFrame, logs: DataFrame | None = None, params: Param
 
 def session_listing(entries: DataFrame, sessions: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per session: pages with content longer than 50, query cut to 80,
-    chars and tokens of those pages; newest first via ``mtime``."""
+    chars and tokens of those pages.  Where ``sessions`` has ``mtime``, ``place`` numbers them newest first (ties by name)."""
     n = F.coalesce(F.length("content"), F.lit(0))
     agg = entries.groupBy("session").agg(
         F.count_if(n > params.min_text).cast("long").alias("pages"),
@@ -141,7 +159,11 @@ def session_listing(entries: DataFrame, sessions: DataFrame, params: Params = DE
         F.sum(F.when(n > params.min_text, n).otherwise(0)).cast("long").alias("chars"),
     )
     out = sessions.drop("total").join(agg, "session", "left")
-    return out.select("session", F.substring("query", 1, 80).alias("query_80"), "pages", "total",
+    place = []
+    if "mtime" in sessions.columns:
+        out = with_rank(out, [], [F.desc_nulls_last("mtime"), F.asc("session")], "place")
+        place = ["place"]
+    return out.select(*place, "session", F.substring("query", 1, 80).alias("query_80"), "pages", "total",
                       F.floor(F.col("chars") / params.tokens_per_char).cast("long").alias("tokens"),
                       F.concat(F.col("session"), F.lit("  |  "), F.col("pages").cast("string"),
                                F.lit(" pages  |  "), F.substring("query", 1, 80)).alias("line"))

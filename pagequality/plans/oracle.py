@@ -680,10 +680,14 @@ greedy(step, kept_bks, doc_id, dropped) AS (
   UNION ALL
   SELECT o.step, CASE WHEN list_has_any(g.kept_bks, o.bks) THEN g.kept_bks ELSE list_concat(g.kept_bks, o.bks) END,
          o.doc_id, list_has_any(g.kept_bks, o.bks)
-  FROM greedy g JOIN ordered o ON o.step = g.step + 1)
-SELECT doc_id, dropped AS near_duplicate FROM greedy WHERE step > 0
+  FROM greedy g JOIN ordered o ON o.step = g.step + 1),
+status AS (SELECT o.doc_id, o.step, g.dropped, unnest(o.bks) AS bk FROM greedy g JOIN ordered o ON o.step = g.step),
+best AS (SELECT bk, min(step) AS step FROM status WHERE NOT dropped GROUP BY bk),
+tag AS (SELECT s.doc_id, min(b.step) AS step FROM status s JOIN best b USING (bk) WHERE s.dropped GROUP BY s.doc_id)
+SELECT g.doc_id, g.dropped AS near_duplicate, k.doc_id AS dup_of
+FROM greedy g LEFT JOIN tag ON tag.doc_id = g.doc_id LEFT JOIN ordered k ON k.step = tag.step WHERE g.step > 0
 UNION ALL
-SELECT doc_id, false FROM documents WHERE coalesce(length(text), 0) < {P.min_content_length}""")
+SELECT doc_id, false, NULL FROM documents WHERE coalesce(length(text), 0) < {P.min_content_length}""")
 
 
 ORACLE_SQL["near_duplicates"] = _near_dup_sql()
@@ -711,7 +715,7 @@ varied_documents AS (SELECT * REPLACE (CASE doc_id % 5 {text} ELSE text END AS t
 
 
 def _over_varied(sql: str) -> str:
-    head, body = re.match(r"\s*(WITH )(.*)", sql, re.S).groups()
+    head, body = re.match(r"\s*(WITH (?:RECURSIVE )?)(.*)", sql, re.S).groups()
     return head + _varied_ctes() + re.sub(r"\b(FROM|JOIN) (pages|documents)\b", r"\1 varied_\2", body)
 
 

@@ -320,7 +320,7 @@ def q_minhash_signature(spark, sf):
 def q_near_duplicates(spark, sf):
     q = scored_docs(spark, sf).select("doc_id", "text", F.col("quality.score").alias("score"))
     r = dedup_status(q, "doc_id", "text", "score")
-    return r.select("doc_id", "near_duplicate")
+    return r.select("doc_id", "near_duplicate", "dup_of")
 
 
 def q_sample_affinity(spark, sf):

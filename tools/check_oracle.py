@@ -18,8 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
-from pagequality.plans.oracle import ORACLE_SQL  # noqa: E402
-from pagequality.plans.queries import QUERIES  # noqa: E402
+from pagequality.plans import ORACLE_SQL, QUERIES  # noqa: E402
 from pagequality.session import local_session  # noqa: E402
 from pagequality.sources.tables import TABLES  # noqa: E402
 
