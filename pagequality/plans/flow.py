@@ -6,16 +6,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import html as fh
+from ..functions import urls as fu
 from ..operators import digest as dg
 from ..operators.alignment import refused, until_refused, zip_counts, zip_rows
+from ..operators.bloom import blocked_hosts_by_filter
 from ..operators.dedup import dedup_status
 from ..operators.first_seen import search_results
 from ..operators.interim import scratch_path, written
 from ..operators.outcome import run_log, with_outcome
 from ..operators.ranking import with_rank
 from ..operators.score import with_quality
+from ..operators.suffixes import with_domains
+from ..operators.transcripts import transcript_pieces
 from ..params import DEFAULT
+from ..sources.blocklists import custom_blocked
 from ..sources.ordered_text import read_lines
 from ..sources.sessions import read_session_entries, write_session_documents
 from ..sources.tables import read_table
@@ -112,7 +116,54 @@ def q_session_files(spark, sf):
                        F.array_join("entry.quality.flags", ",").alias("flags"), F.col("entry.quality.details.text.word_count").cast("long").alias("word_count"))
 
 
+def _hosts(spark, sf) -> DataFrame:
+    return read_table(spark, varied(sf), "pages", ["page_id", "url"]).select("page_id", fu.url_host(fu.canonical_url(F.col("url"))).alias("host"))
+
+
+def host_rules(hosts: DataFrame) -> DataFrame:
+    """Suffix rules that the hosts give: their last labels, two of them with wildcards, and exceptions from one of these."""
+    two = F.expr("array_join(slice(split(host, '[.]'), -2, 2), '.')")
+    h = hosts.where("size(split(host, '[.]')) >= 2").select(two.alias("two"), F.substring_index("host", ".", -1).alias("last")).distinct()
+    plain = h.select(F.col("last").alias("rule"))
+    wild = h.where("last IN ('org', 'uk')").select(F.concat(F.lit("*."), "last"))
+    but = h.where("last = 'org' AND length(two) >= 11").select(F.concat(F.lit("!"), "two"))
+    return plain.union(wild).union(but).distinct()
+
+
+def q_suffix_domains(spark, sf):
+    h = _hosts(spark, sf)
+    return with_domains(h, host_rules(h)).select("page_id", "host", "domain", "name", "suffix")
+
+
+def long_blocklist(spark, sf) -> DataFrame:
+    """The custom list, a made-up shop of every customer, and some of the pages' own hosts."""
+    shops = read_table(spark, sf, "customer", ["c_custkey"]).select(F.concat(F.lit("shop"), F.col("c_custkey").cast("string"), F.lit(".com")).alias("domain"))
+    own = _hosts(spark, sf).where("length(host) % 3 = 0 AND host != ''").select("host").distinct()
+    return custom_blocked(spark).select("domain").union(shops).union(own).distinct()
+
+
+def q_blocked_hosts(spark, sf):
+    h = _hosts(spark, sf)
+    found = blocked_hosts_by_filter(h, long_blocklist(spark, sf)).withColumn("is_blocked", F.lit(True))
+    return h.select("host").distinct().join(found, "host", "left").select("host", F.coalesce("is_blocked", F.lit(False)).alias("is_blocked"))
+
+
+def providers(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two providers of transcripts: by conversation, captions are blank, or the fallback has nothing."""
+    c = read_table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    blank = F.col("conv_id") % 3 == 1
+    return c.withColumn("text", F.when(~blank, F.col("text"))), c.where(F.col("conv_id") % 7 != 0).withColumn("text", F.concat(F.lit("  "), "text", F.lit("\n")))
+
+
+def q_transcript_pieces(spark, sf):
+    return transcript_pieces(*providers(spark, sf), size=300).select(
+        "conv_id", "source", F.col("piece_no").cast("long").alias("piece_no"), F.col("offset").cast("long").alias("offset"), "text")
+
+
 QUERIES = {
+    "suffix_domains": q_suffix_domains,
+    "blocked_hosts": q_blocked_hosts,
+    "transcript_pieces": q_transcript_pieces,
     "positional_join": q_positional_join,
     "fetch_counts": q_fetch_counts,
     "flow_log": q_flow_log,

@@ -74,3 +74,33 @@ SELECT d.source AS session, 'search' AS mode, d.source AS queries, ds.total, row
 FROM documents d JOIN x_ts x ON x.k = d.doc_id JOIN de ON de.ord = d.doc_id JOIN ds ON ds.session = d.source"""
 
 ORACLE_SQL["flow_log"] = _log_sql()
+
+_HOSTS = "WITH h AS (SELECT page_id, " + o.url_host(o.canonical("url")) + """ AS host FROM pages)"""
+
+ORACLE_SQL["suffix_domains"] = o._over_varied(_HOSTS + """,
+l AS (SELECT DISTINCT host, string_split(host, '.') AS labels, len(string_split(host, '.')) AS n FROM h),
+t AS (SELECT DISTINCT labels[n - 1] || '.' || labels[n] AS two, labels[n] AS last FROM l WHERE n >= 2),
+rules AS (SELECT last AS base, 'plain' AS kind FROM t UNION SELECT last, 'wild' FROM t WHERE last IN ('org', 'uk')
+          UNION SELECT two, 'but' FROM t WHERE last = 'org' AND length(two) >= 11),
+fit AS (SELECT l.host, CASE kind WHEN 'plain' THEN 0 WHEN 'wild' THEN 1 ELSE 1000 - 1 END + len(string_split(base, '.')) AS k, n FROM l, rules
+        WHERE (l.host = base OR ends_with(l.host, '.' || base)) AND NOT regexp_matches(l.host, '^[0-9]+(\\.[0-9]+){3}\\z')),
+b AS (SELECT host, max(k) % 1000 AS k FROM fit WHERE k % 1000 <= n GROUP BY host),
+d AS (SELECT l.host, CASE WHEN k > 0 THEN array_to_string(labels[n - k + 1:n], '.') ELSE '' END AS suffix, CASE WHEN k > 0 AND n > k THEN labels[n - k] ELSE '' END AS name
+      FROM l LEFT JOIN b USING (host))
+SELECT page_id, h.host, CASE WHEN name <> '' THEN name || '.' || suffix ELSE '' END AS domain, name, suffix FROM h JOIN d USING (host)""")
+
+ORACLE_SQL["blocked_hosts"] = o._over_varied(_HOSTS + f""",
+x AS (SELECT DISTINCT host FROM h),
+bl AS (SELECT unnest({o.lst([d.lower() for d in P.custom_blocked])}) AS domain UNION SELECT 'shop' || c_custkey::VARCHAR || '.com' FROM customer
+       UNION SELECT host FROM x WHERE length(host) % 3 = 0 AND host <> '')
+SELECT host, host <> '' AND EXISTS (SELECT 1 FROM bl WHERE x.host = bl.domain OR ends_with(x.host, '.' || bl.domain)) AS is_blocked FROM x""")
+
+ORACLE_SQL["transcript_pieces"] = f"""
+WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 <> 1 THEN text END AS text FROM conversations),
+f AS (SELECT conv_id, turn, {o.strip("'  ' || text || chr(10)")} AS text FROM conversations WHERE conv_id % 7 <> 0),
+s AS (SELECT conv_id, CASE WHEN max(length(c.text)) > 0 THEN 'captions' ELSE (SELECT CASE WHEN count(*) > 0 THEN 'fallback' END FROM f WHERE f.conv_id = c.conv_id) END AS source FROM c GROUP BY conv_id),
+r AS (SELECT conv_id, turn, coalesce(c.text, '') AS text, source FROM c JOIN s USING (conv_id) WHERE source = 'captions'
+      UNION ALL SELECT conv_id, turn, coalesce(f.text, ''), source FROM f JOIN s USING (conv_id) WHERE source = 'fallback'),
+p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM r),
+g AS (SELECT conv_id, source, at // 300 AS part, min(at) AS "offset", string_agg(text, ' ' ORDER BY at, turn, text) AS text FROM p GROUP BY ALL)
+SELECT conv_id, source, row_number() OVER (PARTITION BY conv_id ORDER BY part) AS piece_no, "offset", text FROM g"""

@@ -2,9 +2,9 @@
 
 * ``score_stream``: each micro-batch is scored with the batch operator
   (the keyed text statistics need joins and aggregates, which
-  ``foreachBatch`` runs on the micro-batch as a static frame) and appended to
-  a parquet sink; the checkpoint location makes the sink exactly-once across
-  restarts.
+  ``foreachBatch`` runs on the micro-batch as a static frame) and written to
+  the sink's folder of its epoch, replacing what a failed attempt of the same epoch
+  left there: a replayed batch leaves no second row.
 * ``first_seen_stream``: first sighting of each key, with state bounded by a
   watermark (``dropDuplicatesWithinWatermark``).
 """
@@ -42,11 +42,17 @@ def score_batch(batch: DataFrame, key: str, text_col: str, html_col: str | None
                     F.col("quality.page_type").alias("page_type"))
 
 
+def replace_epoch(scored: DataFrame, out_path: str, epoch: int) -> None:
+    """Writes the rows of one epoch to ``out_path/epoch=<n>``, in place of earlier ones of that epoch; other epochs stay.
+    Rows that a job has not committed are in no partition folder."""
+    scored.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/epoch={epoch}")
+
+
 def score_stream(stream: DataFrame, key: str, text_col: str, out_path: str, checkpoint: str,
                  html_col: str | None = None, url_col: str | None = None, params: Params = DEFAULT,
                  trigger_once: bool = False) -> StreamingQuery:
-    def _write(batch: DataFrame, _epoch: int) -> None:
-        score_batch(batch, key, text_col, html_col, url_col, params).write.mode("append").parquet(out_path)
+    def _write(batch: DataFrame, epoch: int) -> None:
+        replace_epoch(score_batch(batch, key, text_col, html_col, url_col, params), out_path, epoch)
 
     w = stream.writeStream.foreachBatch(_write).option("checkpointLocation", checkpoint)
     if trigger_once:

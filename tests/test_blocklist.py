@@ -5,9 +5,10 @@ from pagequality.sources.blocklists import (blocklist_counts, parse_blocklist_li
                                             read_word_list)
 
 LINES = [
-    ("*://*.spam.com/*", "spam.com"), ("*://junk.xyz/*", "junk.xyz"), ("plainbad.net", "plainbad.net"),
-    ("# comment", None), ("!title line", None), ("", None), ("*://*.x.com/*", None), ("x.com", None),
-    ("*://a.b.co.uk/p/*", None), ("*://*.UP.Com/*", "up.com"), ("@*://ok.com/*", None),
+    ("*://*.hoarder.info/*", "hoarder.info"), ("*://pixel-farm.biz/*", "pixel-farm.biz"), ("copycat.example.org", "copycat.example.org"),
+    ("#*://*.off.net/*", None), ("!heading", None), ("   ", None), ("*://*.t.co/*", None), ("t.co", None),
+    ("*://news.host.org/sports/*", None), ("*://*.MixedCase.Dev/*", "mixedcase.dev"), ("@*://*.allowed.net/*", None), ("/ads[0-9]+/", None),
+    ("  *://feeds.host.org/*  ", "feeds.host.org"),
 ]
 
 
@@ -18,35 +19,34 @@ def test_line_grammar(spark):
 
 
 def test_blocked_hosts(spark):
-    blocked = spark.createDataFrame([("blocked.com",)], "domain string")
-    urls = ["https://blocked.com/page", "https://sub.blocked.com/page", "https://www.blocked.com/page",
-            "https://example.com/page", "not-a-url", "https://blocked.com:8080/x"]
-    df = with_url_columns(spark.createDataFrame([(u,) for u in urls], "url string"))
-    got = {r.url: r.is_blocked for r in with_blocked_flag(df, blocked).collect()}
-    assert got == {urls[0]: True, urls[1]: True, urls[2]: True, urls[3]: False, urls[4]: False, urls[5]: False}
+    blocked = spark.createDataFrame([("spamfarm.org",)], "domain string")
+    want = {"http://spamfarm.org": True, "https://deep.er.spamfarm.org/a?b": True, "https://WWW.SpamFarm.org/": True,
+            "https://notspamfarm.org/": False, "spamfarm.org/no-scheme": False, "http://spamfarm.org:8443/": False, "https://spamfarm.org.net/": False}
+    df = with_url_columns(spark.createDataFrame([(u,) for u in want], "url string"))
+    assert {r.url: r.is_blocked for r in with_blocked_flag(df, blocked).collect()} == want
 
 
 def test_read_blocklists_and_counts(spark, tmp_path):
-    f = tmp_path / "list.txt"
-    f.write_text("*://*.spam.com/*\n*://junk.xyz/*\n# comment\n!title line\nplainbad.net\n")
-    lists = read_blocklists(spark, [str(f), str(tmp_path / "missing.txt")])
-    from_file = {r.domain for r in lists.where(F.col("list") == "list").collect()}
-    assert from_file == {"spam.com", "junk.xyz", "plainbad.net"}
+    f = tmp_path / "mine.txt"
+    f.write_text("! mine\ncopycat.example.org\n*://*.hoarder.info/*\n\n*://pixel-farm.biz/*\ncopycat.example.org\n*://a.example.com/x/*\n")
+    lists = read_blocklists(spark, [str(f), str(tmp_path / "none.txt")])
+    from_file = {r.domain for r in lists.where(F.col("list") == "mine").collect()}
+    assert from_file == {"copycat.example.org", "hoarder.info", "pixel-farm.biz"}
     assert lists.where(F.col("domain") == "x.com").count() == 1  # custom list bypasses the parser
     counts = {r.list: r.domains for r in blocklist_counts(lists).collect()}
-    assert counts["list"] == 3 and counts["custom"] == 20 and counts[None] == 23
+    assert counts["mine"] == 3 and counts["custom"] == 20 and counts[None] == 23
 
 
 def test_word_list(spark, tmp_path):
-    f = tmp_path / "things.txt"
-    f.write_text("one\ntwo\n# skip\nthree\n  foo\n  # indented\n\n")
+    f = tmp_path / "greek.txt"
+    f.write_text("alpha\n#beta\n gamma\n\n\t\ndelta epsilon \n  # zeta\n")
     got = [r.value for r in read_word_list(spark, str(f)).orderBy("ord").collect()]
-    assert got == ["one", "two", "three", "foo", "# indented"]
+    assert got == ["alpha", "gamma", "delta epsilon", "# zeta"]
 
 
 def test_filter_order_ext_before_blocked(spark):
-    blocked = spark.createDataFrame([("blocked.com",)], "domain string")
-    df = spark.createDataFrame([("https://blocked.com/a.pdf",), ("https://blocked.com/a",), ("https://ok.com/a.zip?x",),
+    blocked = spark.createDataFrame([("refused.net",)], "domain string")
+    df = spark.createDataFrame([("https://refused.net/a.pdf",), ("https://refused.net/a",), ("https://ok.com/a.zip?x",),
                                 ("https://ok.com/a",)], "url string")
     got = [r.drop_reason for r in classify_results(df, blocked).orderBy("url").collect()]
     assert got == ["blocked", "ext", None, "ext"]
