@@ -7,10 +7,9 @@ with its own.  All lines that have a word are compared.
    fixed in size whatever the corpus.
 2. Of equal word sets only the first place goes on (found by partial aggregation before the shuffle); all
    other places of it are removed.  A set goes by the number that its row got when it was written.
-3. Sets that begin or end with the same words, or share their least and greatest word hash, are verified against the
-   first of them.  This decides most of a family of near copies at one pair a line.
+3. Sets that begin or end with the same words are verified against the first of them.  This decides most of a family of near copies at one pair a line.
 4. Prefix join: lines that are not yet decided meet earlier ones on the rarest words that a pair may not miss.  A pair is
-   a candidate if its sizes, the positions of the shared word and a 128-bit parity map of the sets leave the bound on the
+   a candidate if its sizes, the positions of the shared word and parity maps of the sets (64 bits, 128 for larger sets) leave the bound on the
    overlap within reach.  A line that is removed meets no more earlier lines, but later ones still meet it.
 5. Candidates are verified on the words themselves.
 
@@ -30,6 +29,8 @@ from ..operators.joins import sized_broadcast
 from .common import fresh, stash, text_key
 
 BITS = 17
+#: Words of a set that 64 parity bits are enough for.
+SMALL = 48
 BLOCK = 1 << 14
 
 
@@ -65,7 +66,7 @@ def rarity(docs: DataFrame) -> bytes:
 
 
 def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
-    """id, key, line, sid (of the word set), parities, size, prefix, begins, ends, most and a number of every line with a word."""
+    """id, key, line, sid (of the word set), parities, size, prefix, begins, ends and a number of every line with a word."""
     # explode() of one array computes it once: filters on the result would else be pushed below, and its steps with them
     marks = F.lit(bytearray(rarity(docs)))
     d = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
@@ -76,23 +77,26 @@ def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
     mark = lambda h: F.ascii(F.substring(marks, F.pmod(h, F.lit(1 << BITS)).cast("int") + 1, 1).cast("string")).cast("long")
     r = F.transform("h", lambda h: F.shiftleft(mark(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
     d = d.select(
-        "id", "key", "line", "begins", "ends", F.xxhash64(F.array_min("h"), F.array_max("h"), F.lit(2)).alias("most"),
-        *[F.expr(f"aggregate(h, 0L, (a, x) -> a ^ shiftleft({bit}, cast(x & 63L as int)))").alias(c)
-          for c, bit in (("odd", "(x >> 6) & 1L"), ("even", "((x >> 6) & 1L) ^ 1L"))],
+        "id", "key", "line", "begins", "ends",
+        F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("all"),
+        # 64 bits tell small sets apart; of larger ones, those of every other hash by themselves too
+        F.when(F.size("h") > SMALL, F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft((x >> 6) & 1L, cast(x & 63L as int)))")).otherwise(F.lit(0).cast("long")).alias("odd"),
         F.explode(F.array(F.sort_array(r))).alias("r"))
     size = F.size("r")
     length = size - F.expr(f"cast(({p.percent} * size(r) + 99) div 100 as int)") + 1
     return d.select(
-        "id", "key", "line", F.monotonically_increasing_id().alias("n"), F.xxhash64("r").alias("sid"), size.alias("size"), "odd", "even",
+        "id", "key", "line", F.monotonically_increasing_id().alias("n"), F.xxhash64("r").alias("sid"), size.alias("size"), "all", "odd",
         F.transform(F.slice("r", F.lit(1), length), lambda x: x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"),
-        "begins", "ends", "most")
+        "begins", "ends")
 
 
 def _within(p: LineParams):
     """Sizes and parity maps of sets a and b allow the threshold; the least overlap."""
     x, y = F.col("size_a"), F.col("size_b")
     least = F.expr(f"({p.percent} * (size_a + size_b) + {100 + p.percent - 1}) div {100 + p.percent}")
-    apart = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in ("odd", "even"))
+    every, odd = (F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in ("all", "odd"))
+    split = F.bit_count(odd) + F.bit_count(every.bitwiseXOR(odd))
+    apart = F.when((x > SMALL) & (y > SMALL), split).otherwise(F.bit_count(every))
     return (100 * F.least(x, y) >= p.percent * F.greatest(x, y)) & (apart <= x + y - 2 * least), least
 
 
@@ -128,15 +132,15 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     sets = named.where("n = root").where((100 - p.percent) * F.col("size") >= p.percent)
     # 3. the first of those that look alike; lines at the same place of rows that share an id are left to 4
     may, least = _within(p)
-    at = sets.select("id", "line", "n", "size", "odd", "even", F.explode(F.array("begins", "ends", "most")).alias("k"))
-    first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "odd", "even")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
+    at = sets.select("id", "line", "n", "size", "all", "odd", F.explode(F.array("begins", "ends")).alias("k"))
+    first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "all", "odd")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
     later = (F.col("id_b") > F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") > F.col("line_a")))
     family = _named(at, "b", "k").join(_named(first, "a", "k"), "k").where(later & may).select("n_a", "n_b").distinct()
     gone = stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-gone")
     # 4. prefix join of the rest with all earlier lines
     done = sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000)
-    post = sets.select("n", "id", "size", "odd", "even", "prefix").join(done, "n", "left").select(
-        "n", "id", "size", "odd", "even", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
+    post = sets.select("n", "id", "size", "all", "odd", "prefix").join(done, "n", "left").select(
+        "n", "id", "size", "all", "odd", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
     near = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
     pairs = _named(post, "a", "word").join(_named(post, "b", "word"), "word").where(
         (F.col("n_a") != F.col("n_b")) & (F.col("id_a") <= F.col("id_b")) & may & near & ~F.col("done_b")).select("n_a", "n_b").distinct()
