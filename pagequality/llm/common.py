@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..operators.interim import written
 
 #: ASCII white space; words are maximal runs of anything else.
 WS = r"[\x20\x09-\x0D]+"
@@ -18,12 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the shared checkpoint folder and read back.
+    """``df`` written as Parquet under the shared checkpoint folder and read back; the folder goes when the application ends.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the jobs before them."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def words(text: Column) -> Column:

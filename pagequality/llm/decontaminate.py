@@ -23,6 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import text_key, without
 
@@ -127,26 +128,28 @@ class Matcher:
 def matches(docs: DataFrame, items: DataFrame, params: MatchParams = DEFAULT, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id") -> DataFrame:
     """id, key, item, distance, end of every test item in every row of ``docs``."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    known = items.select(F.col(item_col).cast("long").alias("item"), F.col("text")).where("item is not null and text is not null")
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
+    known = items.select(F.col(item_col).alias("item"), F.col("text")).where("text is not null").distinct()
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // params.block_bytes) or 1
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("key", text_key(F.col("text")))
     out = None
     for block in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()  # of bounded size
-        held = [tuple(r) for r in sorted(part)]
+        # by id and text, so items that share an id, or have none, spread over the blocks too
+        part = known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()  # of bounded size
+        part = sorted(part, key=lambda r: (r["item"] is not None, r["item"] if r["item"] is not None else 0, r["text"]))
+        held, names = [(k, r["text"]) for k, r in enumerate(part)], [r["item"] for r in part]
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held, names=names) -> Iterator[pa.RecordBatch]:
             m = Matcher(held, params)
             for b in batches:
                 rows = [(n, *hit) for n, t in enumerate(b.column("text").to_pylist()) for hit in m.find(t)]
                 at = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.record_batch([b.column("id").take(at), b.column("key").take(at), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3))],
-                                      ["id", "key", "item", "distance", "end"])
+                yield pa.record_batch([b.column("id").take(at), b.column("key").take(at), pa.array([names[r[1]] for r in rows], to_arrow_type(item_type)),
+                                       *(pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3))], ["id", "key", "item", "distance", "end"])
 
-        found = d.mapInArrow(run, f"id {kind}, key long, item long, distance long, end long")
+        found = d.mapInArrow(run, f"id {kind}, key long, item {item_type.simpleString()}, distance long, end long")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -16,6 +16,7 @@ max_rounds, with the last marginal met.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,8 @@ class MixParams:
     #: Tokens to draw, as a share of all.
     budget: float = 0.5
     tolerance: float = 1e-6
-    max_rounds: int = 30
+    #: Targets that contradict one another are never met; raking then ends here, with a warning that names the residual.
+    max_rounds: int = 200
     seed: str = "mix"
 
 
@@ -68,7 +70,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: MixParams = DEFAULT
         moved = now.agg(worst).first()[0] or 0.0
         cells = now.drop(*off)
         if moved < p.tolerance:
-            break
+            return cells
+    warnings.warn(f"raking ended after {p.max_rounds} rounds; a marginal is still off by a factor of {1 + moved:.6g}", stacklevel=2)
     return cells
 
 

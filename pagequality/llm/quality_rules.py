@@ -15,6 +15,7 @@ rows that share an id are judged each by its own text; an empty table gives an e
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,8 @@ class RuleParams:
     max_repeat_pct: int = 50
     #: Keep at this posterior probability of being good, or more.
     min_posterior: float = 0.5
-    max_iterations: int = 25
+    #: Estimation ends here at the latest, with a warning that names the residual.
+    max_iterations: int = 500
     tolerance: float = 1e-4
     #: Start of the estimates, also the mean of their prior.
     prior_good: float = 0.85
@@ -156,7 +158,9 @@ def estimate(patterns: DataFrame, p: RuleParams = DEFAULT) -> dict:
         moved = max([abs(good - est["good"])] + [abs(u - v) for x in signs for u, v in zip(new[x], est["rates"][x], strict=True)])
         est = {"good": good, "rates": new}
         if moved < p.tolerance:
-            break
+            return est
+    else:
+        warnings.warn(f"estimates still move by {moved:.3g} after {p.max_iterations} iterations", stacklevel=2)
     return est
 
 

@@ -42,14 +42,11 @@ for _i, _c in enumerate(ALPHABET, 1):
 
 @dataclass(frozen=True)
 class SecretParams:
-    min_length: int = 20
     #: Log-likelihood ratio, in nats: in total and for each character, at least.
     min_total: float = 20.0
     min_each: float = 0.5
     #: Pseudo-counts for each row of transitions.
     prior: float = 50.0
-    #: A candidate has at least so many characters that are digits or marks, or of the rarer letter case.
-    min_mixed: int = 3
 
 
 DEFAULT = SecretParams()
@@ -128,21 +125,22 @@ def ratios(plain: np.ndarray, random: np.ndarray, p: SecretParams = DEFAULT) ->
 
 
 def markov_spans(text: str, taken, table: np.ndarray, p: SecretParams = DEFAULT) -> list[tuple[int, int, int]]:
-    """Tokens outside ``taken`` whose characters look drawn at random."""
-    out = []
-    for m in re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % p.min_length).finditer(text):
-        s, e = m.span()
-        if any(s < y and x < e for x, _, y in taken):
-            continue
-        word = m.group()
-        low, up, digits = sum(map(str.islower, word)), sum(map(str.isupper, word)), sum(map(str.isdigit, word))
-        if min(low + digits, up + digits, low + up) < p.min_mixed or not digits:
-            continue
-        c = CLASS_OF[np.frombuffer(word.encode(), np.uint8)]
-        llr = float(table[c[:-1], c[1:]].sum())
-        if llr >= p.min_total and llr >= p.min_each * len(word):
-            out.append((s, 3, e))
-    return out
+    """Tokens, or what is left of them outside ``taken``, whose characters look drawn at random: the ratio alone decides."""
+    data = text.encode()
+    place = (lambda k: k) if len(data) == len(text) else (lambda k: len(text[:k].encode()))
+    c = CLASS_OF[np.frombuffer(b" " + data + b" ", np.uint8)].astype(np.intp)
+    for s, _, e in taken:
+        c[place(s) + 1: place(e) + 1] = 0
+    inside = c > 0
+    score = np.where(inside[:-1] & inside[1:], table[c[:-1], c[1:]], 0.0)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return []
+    total = np.add.reduceat(score, np.stack([starts, ends], axis=1).ravel())[::2]  # the step into a token scores 0
+    hits = np.flatnonzero((total >= p.min_total) & (total >= p.min_each * (ends - starts)))
+    back = (lambda k: k) if len(data) == len(text) else (lambda k: len(data[:k].decode()))
+    return [(back(int(starts[i])), 3, back(int(ends[i]))) for i in hits]
 
 
 def show(spans) -> str:
