@@ -117,7 +117,8 @@ def q_session_files(spark, sf):
 
 
 def _hosts(spark, sf) -> DataFrame:
-    return read_table(spark, varied(sf), "pages", ["page_id", "url"]).select("page_id", fu.url_host(fu.canonical_url(F.col("url"))).alias("host"))
+    h = read_table(spark, varied(sf), "pages", ["page_id", "url"]).select("page_id", fu.url_host(fu.canonical_url(F.col("url"))).alias("host"))
+    return written(h, "hosts")  # narrow, and read several times
 
 
 def host_rules(hosts: DataFrame) -> DataFrame:
@@ -135,16 +136,16 @@ def q_suffix_domains(spark, sf):
     return with_domains(h, host_rules(h)).select("page_id", "host", "domain", "name", "suffix")
 
 
-def long_blocklist(spark, sf) -> DataFrame:
+def long_blocklist(spark, sf, hosts: DataFrame) -> DataFrame:
     """The custom list, a made-up shop of every customer, and some of the pages' own hosts."""
     shops = read_table(spark, sf, "customer", ["c_custkey"]).select(F.concat(F.lit("shop"), F.col("c_custkey").cast("string"), F.lit(".com")).alias("domain"))
-    own = _hosts(spark, sf).where("length(host) % 3 = 0 AND host != ''").select("host").distinct()
+    own = hosts.where("length(host) % 3 = 0 AND host != ''").select("host").distinct()
     return custom_blocked(spark).select("domain").union(shops).union(own).distinct()
 
 
 def q_blocked_hosts(spark, sf):
     h = _hosts(spark, sf)
-    found = blocked_hosts_by_filter(h, long_blocklist(spark, sf)).withColumn("is_blocked", F.lit(True))
+    found = blocked_hosts_by_filter(h, long_blocklist(spark, sf, h)).withColumn("is_blocked", F.lit(True))
     return h.select("host").distinct().join(found, "host", "left").select("host", F.coalesce("is_blocked", F.lit(False)).alias("is_blocked"))
 
 

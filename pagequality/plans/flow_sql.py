@@ -101,6 +101,6 @@ f AS (SELECT conv_id, turn, {o.strip("'  ' || text || chr(10)")} AS text FROM co
 s AS (SELECT conv_id, CASE WHEN max(length(c.text)) > 0 THEN 'captions' ELSE (SELECT CASE WHEN count(*) > 0 THEN 'fallback' END FROM f WHERE f.conv_id = c.conv_id) END AS source FROM c GROUP BY conv_id),
 r AS (SELECT conv_id, turn, coalesce(c.text, '') AS text, source FROM c JOIN s USING (conv_id) WHERE source = 'captions'
       UNION ALL SELECT conv_id, turn, coalesce(f.text, ''), source FROM f JOIN s USING (conv_id) WHERE source = 'fallback'),
-p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM r),
-g AS (SELECT conv_id, source, at // 300 AS part, min(at) AS "offset", string_agg(text, ' ' ORDER BY at, turn, text) AS text FROM p GROUP BY ALL)
+p AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM r),
+g AS (SELECT conv_id, source, start // 300 AS part, min(start) AS "offset", string_agg(text, ' ' ORDER BY start, turn, text) AS text FROM p GROUP BY ALL)
 SELECT conv_id, source, row_number() OVER (PARTITION BY conv_id ORDER BY part) AS piece_no, "offset", text FROM g"""
