@@ -44,6 +44,23 @@ SELECT page_id, n AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('{_BASE32}', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, true AS complete
 FROM f""",
+    "op8_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+b AS MATERIALIZED (SELECT doc_id, n, pos, substr(h, 2 * pos + 1, 1122) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 512)) AS pos FROM d WHERE n >= 50)),
+a AS MATERIALIZED (SELECT doc_id, pos + i AS i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, pos, h, unnest(range(0, least(512, n - 49 - pos))) AS i FROM b)),
+m AS (SELECT hash(s) AS k FROM a GROUP BY k HAVING min(doc_id) < max(doc_id)),
+w AS MATERIALIZED (SELECT a.* FROM a JOIN m ON hash(a.s) = m.k),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+x AS (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE w.doc_id > f.first),
+g AS (SELECT doc_id, i, CASE WHEN i > coalesce(max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM x),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+r AS (SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM k GROUP BY ALL),
+p AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM r),
+q AS (SELECT p.doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept
+      FROM p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL AND last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id)""",
     "op11_spelling_variants": r"""
 WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_concat([i], range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),

@@ -835,3 +835,43 @@ def test_suffix_template_in_a_third_of_the_documents(spark):
         gone = {b for k in range(len(raw) - 49) if raw[k: k + 50] in seen for b in range(k, k + 50)}
         seen |= wins
         assert got[i][1] == len(gone)
+
+
+# ---- pipeline ----
+
+def test_pipeline_stages_by_brute_force(spark, unique, tmp_path):
+    """Line dedup, near duplicates and decontamination, each on what the one before kept, against plain Python."""
+    import corpus_pipeline
+
+    seen, kept = [], {}
+    for i, x in sorted((r.doc_id, r.text) for r in unique.collect()):
+        lines, cut = [], False
+        for s in (x or "").split("\n"):
+            u = set(words(s.lower()))
+            if u and any(100 * len(u & v) >= 80 * len(u | v) for v in seen):
+                cut = True
+            else:
+                lines.append(s)
+            seen += [u] if u else []
+        text = "\n".join(lines) if cut else x
+        if not cut or words(text):
+            kept[i] = text
+    out = corpus_pipeline.lines(spark, unique, str(tmp_path))
+    assert {r.doc_id: r.text for r in out.collect()} == kept and out.columns == unique.columns and any(kept[i] != r for i, r in [(r.doc_id, r.text) for r in unique.collect()] if i in kept)
+    groups = {i: root for i, (_, root) in brute_components(kept, 5, 80).items()}
+    out = corpus_pipeline.near_duplicates(spark, out, str(tmp_path))
+    left = {i: x for i, x in kept.items() if groups[i] == i}
+    assert {r.doc_id: r.text for r in out.collect()} == left
+    item = next(x for i, x in sorted(left.items()) if x and len(words(x)) > 40)
+    passage = " ".join(words(item)[5:35])
+    spark.createDataFrame([(1, passage), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.benchmarks(spark, out, str(tmp_path))
+    assert {r.doc_id for r in out.collect()} == {i for i, x in left.items() if passage not in " ".join(words(x))}
+
+
+def test_pipeline_of_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
