@@ -1,4 +1,4 @@
-"""Result filters: skip-extension, blocklist, and the content-length rules.
+"""Result filters: skip-extension and blocklist.
 
 The blocklist test depends only on the host, so it runs over the distinct
 hosts (a map-side-combined aggregate far smaller than the rows), explodes the
@@ -64,33 +64,3 @@ def filter_counts(classified: DataFrame, group_cols=("query",)) -> DataFrame:
         F.count_if(F.col("drop_reason") == "blocked").alias("skipped_blocked"),
         F.count_if(F.col("drop_reason").isNull()).alias("kept"),
     )
-
-
-# -- content-length rules (four distinct ones, kept apart on purpose) --------
-
-def digest_usable(content):
-    """Digest: length >= min_length (200)."""
-    return F.coalesce(F.length(content), F.lit(0)) >= DEFAULT.min_length
-
-
-def stats_long(content, params: Params = DEFAULT):
-    """Stats: non-empty and length > min_length."""
-    return F.coalesce(F.length(content), F.lit(0)) > params.min_length
-
-
-def summary_present(content, params: Params = DEFAULT):
-    """Run summary / session listing: length > min_text (50)."""
-    return F.coalesce(F.length(content), F.lit(0)) > params.min_text
-
-
-def listing_present(content, params: Params = DEFAULT):
-    """Page listing: length >= 50."""
-    return F.coalesce(F.length(content), F.lit(0)) >= params.min_text
-
-
-def min_score_ok(score, params: Params = DEFAULT):
-    return F.coalesce(score, F.lit(50)) >= params.min_score
-
-
-def analyzable(content, params: Params = DEFAULT):
-    return F.coalesce(F.length(content), F.lit(0)) > params.min_text

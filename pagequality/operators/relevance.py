@@ -10,25 +10,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..params import DEFAULT, Params
 from .joins import sized_broadcast
 from .text_stats import token_array
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Clamped cosine of two vectors in one pass (dot and both squared norms
-    accumulated together); 0 when either vector is missing or zero."""
-    z = F.arrays_zip(a.cast("array<double>").alias("x"), b.cast("array<double>").alias("y"))
-    init = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-    acc = F.aggregate(z, init, lambda s, e: F.struct(
-        (s["d"] + e["x"] * e["y"]).alias("d"), (s["p"] + e["x"] * e["x"]).alias("p"),
-        (s["q"] + e["y"] * e["y"]).alias("q")))
-    na, nb = F.sqrt(acc["p"]), F.sqrt(acc["q"])
-    return F.when(a.isNull() | b.isNull() | (na == 0) | (nb == 0), F.lit(0.0)).otherwise(
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["d"] / (na * nb))))
+    """Clamped cosine of two vectors, in double; 0 when either vector is missing or zero, has a null or NaN, or their lengths differ."""
+
+    @F.arrow_udf("double")
+    def cosines(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = np.zeros(len(x))
+        both = np.flatnonzero(pc.and_(x.is_valid(), y.is_valid()).to_numpy(zero_copy_only=False))
+        sizes = [np.diff(v.offsets.to_numpy()) for v in (x, y)]
+        both = both[sizes[0][both] == sizes[1][both]]
+        for n in np.unique(sizes[0][both]):  # rows of one length at a time, all at once
+            at = both[sizes[0][both] == n]
+            u, v = (w.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n) for w in (x, y))
+            length = np.sqrt((u * u).sum(1) * (v * v).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[at] = np.nan_to_num(np.clip((u * v).sum(1) / length, 0.0, 1.0), nan=0.0)
+        return pa.array(out)
+
+    return cosines(a, b)
 
 
 def cosine_relevance(df: DataFrame, vec_col: str, queries: DataFrame, query_key: str,
@@ -43,7 +52,9 @@ def cosine_relevance(df: DataFrame, vec_col: str, queries: DataFrame, query_key:
 def label_query_vectors(emb: DataFrame, key: str = "vec_id", label: str = "label",
                         vec: str = "embedding") -> DataFrame:
     """A query vector per label: the vector of the label's lowest id."""
-    return emb.groupBy(label).agg(F.min_by(vec, key).alias("query_vec"), F.min(key).alias("query_id"))
+    first = sized_broadcast(emb.groupBy(label).agg(F.min(key).alias("query_id")).withColumnRenamed(label, "_pq_l"), 100_000)
+    found = emb.join(first, (F.col(label) == F.col("_pq_l")) & (F.col(key) == F.col("query_id")))
+    return found.select(label, F.col(vec).alias("query_vec"), "query_id").dropDuplicates([label])
 
 
 def term_weights(texts: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -74,9 +85,3 @@ def lexical_relevance(pairs: DataFrame, texts: DataFrame, key: str, text_col: st
                  F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("dot", F.lit(0.0)) / (F.col("nl") * F.col("nr"))))
                  ).otherwise(F.lit(0.0))
     return out.withColumn("relevance", rel).drop("dot", "nl", "nr")
-
-
-def relevance_points(rel: Column, words: Column, has_query: Column, params: Params = DEFAULT) -> Column:
-    """Points of the relevance rule (the off-topic exit is applied by the score)."""
-    return (F.when(~has_query, 0).when(rel >= params.high_relevance, 15).when(rel >= params.moderate_relevance, 8)
-            .when((rel < params.low_relevance) & (words > 200), -15).otherwise(0))
