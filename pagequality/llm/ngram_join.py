@@ -278,7 +278,9 @@ def rest(live: DataFrame, classes: DataFrame, labels: DataFrame, p: JaccardParam
 
 
 def jaccard_components(docs: DataFrame, params: JaccardParams = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_grams, cid, component (least id that links reach) and n_links_kept of every row of ``docs``."""
+    """id, n_grams, cid and component (least id that links reach) of every row of ``docs``.
+
+    The links verified span the components: of a group of near copies each class is verified against one partner, not all."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = stash(rows_of(d, params), "jaccard-documents")
     classes = stash(rows.where("id is not null and cid is not null").groupBy("cid").agg(
