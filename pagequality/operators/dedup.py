@@ -114,10 +114,9 @@ def with_representative(members: DataFrame, status: DataFrame) -> DataFrame:
     The rounds may have dropped it for a later one.  Bucket minima over kept rows and row minima over buckets, both
     combined before the shuffle; no pairs."""
     kept = members.join(status.where("kept").select("ord"), "ord", "left_semi")
-    best = kept.groupBy("band", "bvals").agg(F.min("prio").alias("best"))
+    best = kept.groupBy("band", "bvals").agg(F.min("prio").alias("best"), F.min_by("ord", "prio").alias("best_ord"))
     dropped = members.join(status.where(~F.col("kept")).select("ord"), "ord", "left_semi")
-    of = dropped.join(best, ["band", "bvals"]).groupBy("ord").agg(F.min("best").alias("best"))
-    of = of.select("ord", (F.col("best") % F.lit(1 << ORD_BITS)).alias("dup_of"))
+    of = dropped.join(best, ["band", "bvals"]).groupBy("ord").agg(F.min_by("best_ord", "best").alias("dup_of"))
     return status.drop("dup_of").join(of, "ord", "left").select("ord", "kept", "dup_of", "round")
 
 

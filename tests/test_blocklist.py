@@ -49,7 +49,7 @@ def test_filter_order_ext_before_blocked(spark):
     df = spark.createDataFrame([("https://refused.net/a.pdf",), ("https://refused.net/a",), ("https://ok.com/a.zip?x",),
                                 ("https://ok.com/a",)], "url string")
     got = [r.drop_reason for r in classify_results(df, blocked).orderBy("url").collect()]
-    assert got == ["blocked", "ext", None, "ext"]
+    assert got == [None, "ext", "blocked", "ext"]
 
 
 def test_unicode_hosts_and_tabs(spark, tmp_path):
