@@ -19,8 +19,14 @@ WS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 
 
+#: The same characters, singly.
+_ONE = [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000]
+WS_CHARS = "".join(map(chr, _ONE))
+
+
 def py_strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    """``text.strip()``; looks at the ends only."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def tokens(text: Column) -> Column:
