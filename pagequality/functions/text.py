@@ -22,6 +22,8 @@ WS = (r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 #: The same characters, singly.
 _ONE = [*range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000]
 WS_CHARS = "".join(map(chr, _ONE))
+#: The same class for Java: a bit set up to U+00FF, and one range that nearly all other characters miss before the rest is tried.
+_WS_FAST = "[" + "".join(rf"\x{{{c:x}}}" for c in _ONE if c < 256) + r"[\x{1680}-\x{3000}&&[" + "".join(rf"\x{{{c:x}}}" for c in _ONE if c > 255) + "]]]"
 
 
 def py_strip(text: Column) -> Column:
@@ -31,10 +33,9 @@ def py_strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """``text.split()`` without a lambda: split the stripped text on
-    whitespace runs; an all-blank text has no tokens."""
-    stripped = py_strip(text)
-    return F.when(F.coalesce(F.length(stripped), F.lit(0)) == 0, F.array().cast("array<string>")) \
-        .otherwise(F.split(stripped, WS + "+"))
+    whitespace runs; an all-blank text has no tokens.  Who needs the array more than
+    once selects it first, so that it is computed once."""
+    return F.array_remove(F.split(F.coalesce(py_strip(text), F.lit("")), _WS_FAST + "+"), "")
 
 
 def count_contained(lower_text: Column, phrases) -> Column:

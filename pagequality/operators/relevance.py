@@ -3,9 +3,9 @@
 * ``cosine_relevance``: vectors are input columns (any embedding job can fill
   them); the score is the clamped cosine, 0 when a vector is missing.
 * ``lexical_relevance``: TF-IDF cosine computed as Spark joins and
-  aggregates over exploded terms -- term frequencies per text, document
-  frequencies per term (combined aggregates, so a stop word present in every
-  text is pre-aggregated before its shuffle), and a dot product per pair.
+  aggregates over exploded terms -- term frequencies per text, counted where the
+  text lies, document frequencies per term (combined aggregates, so a stop word
+  present in every text is pre-aggregated before its shuffle), and a dot product per pair.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .interim import written
 from .joins import sized_broadcast
 from .text_stats import token_array
 
@@ -57,27 +58,54 @@ def label_query_vectors(emb: DataFrame, key: str = "vec_id", label: str = "label
     return found.select(label, F.col(vec).alias("query_vec"), "query_id").dropDuplicates([label])
 
 
-def term_weights(texts: DataFrame, key: str, text_col: str) -> DataFrame:
-    """``(key, term, w)`` TF-IDF weights with idf = ln((N+1)/(df+1)) + 1."""
-    terms = texts.select(key, F.explode(token_array(F.lower(F.col(text_col)))).alias("term"))
-    tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n_docs = texts.select(key).distinct().count()  # one scalar to the driver
+def _parts(df: DataFrame) -> int:
+    """A stated number of tasks, as many as a shuffle has: texts are small beside the terms in them, and would be dealt to few tasks."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def term_counts(texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """``(key, term, tf)`` of lower-cased terms; texts of one key count as one text.
+
+    The texts are dealt out by key, a row each, so that their terms are counted where they lie."""
+    t = texts.select(F.col(key).alias("_pq_k"), F.col(text_col).alias("_pq_t")).repartition(_parts(texts), "_pq_k")
+    terms = t.select("_pq_k", F.explode(token_array(F.lower("_pq_t"))).alias("term"))
+    return terms.groupBy("_pq_k", "term").agg(F.count("*").alias("tf")).select(F.col("_pq_k").alias(key), "term", "tf")
+
+
+def inverse_frequencies(tf: DataFrame, n_texts: int) -> DataFrame:
+    """``(term, idf)`` with idf = ln((N+1)/(df+1)) + 1, written; broadcast where it is small."""
     dfreq = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = dfreq.select("term", (F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)) + 1).alias("idf"))
-    return tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf = dfreq.select("term", (F.log(F.lit(float(n_texts + 1)) / (F.col("df") + 1)) + 1).alias("idf"))
+    return sized_broadcast(written(idf, "idf"), 1_000_000)
+
+
+def shared_terms(pairs: DataFrame, texts: DataFrame, key: str, text_col: str, left: str, right: str) -> DataFrame:
+    """``(left, right, term, product)`` for the terms that both texts of a pair have: the product of their counts, times the pair's rows.
+
+    The texts go to their pairs whole, a row each, and are taken apart there; so only terms that are shared leave a task."""
+    t = texts.select(F.col(key).alias("_pq_k"), F.col(text_col).alias("_pq_t")).repartition(_parts(texts), "_pq_k")
+    p = pairs.groupBy(F.col(left).alias("_pq_l"), F.col(right).alias("_pq_r")).agg(F.count("*").alias("_pq_m"))
+    sides = [p.join(t, F.col(side) == F.col("_pq_k")).select("_pq_l", "_pq_r", "_pq_m", F.lit(side == "_pq_l").alias("_pq_q"), "_pq_t")
+             for side in ("_pq_l", "_pq_r")]
+    both = sides[0].unionByName(sides[1]).repartition(_parts(texts), "_pq_l", "_pq_r")
+    terms = both.select("_pq_l", "_pq_r", "_pq_m", "_pq_q", F.explode(token_array(F.lower("_pq_t"))).alias("term"))
+    n = terms.groupBy("_pq_l", "_pq_r", "_pq_m", "term").agg(F.count_if("_pq_q").alias("a"), F.count_if(~F.col("_pq_q")).alias("b"))
+    return n.where("a > 0 AND b > 0").select(F.col("_pq_l").alias(left), F.col("_pq_r").alias(right), "term",
+                                            (F.col("a") * F.col("b") * F.col("_pq_m")).alias("product"))
 
 
 def lexical_relevance(pairs: DataFrame, texts: DataFrame, key: str, text_col: str,
                       left: str = "query_key", right: str = "text_key") -> DataFrame:
-    """TF-IDF cosine for ``pairs(left, right)`` of text ids in ``texts``."""
-    w = term_weights(texts, key, text_col)
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    wl = w.select(F.col(key).alias(left), "term", F.col("w").alias("wl"))
-    wr = w.select(F.col(key).alias(right), "term", F.col("w").alias("wr"))
-    # join the query side's terms to the pair first, then to the text side's terms
-    dots = (pairs.select(left, right).join(wl, left)
-            .join(wr, [right, "term"])
-            .groupBy(left, right).agg(F.sum(F.col("wl") * F.col("wr")).alias("dot")))
+    """TF-IDF cosine for ``pairs(left, right)`` of text ids in ``texts``.
+
+    Texts are moved, not terms: a term's weight is looked up where its text was counted."""
+    tf = written(term_counts(texts, key, text_col), "terms")
+    n_texts = texts.select(key).distinct().count()  # one scalar to the driver
+    idf = inverse_frequencies(tf, n_texts)
+    w = F.col("tf") * F.col("idf")
+    norms = written(tf.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
+    dots = (shared_terms(pairs, texts, key, text_col, left, right).join(idf, "term")
+            .groupBy(left, right).agg(F.sum(F.col("product") * F.col("idf") * F.col("idf")).alias("dot")))
     nl = norms.select(F.col(key).alias(left), F.col("norm").alias("nl"))
     nr = norms.select(F.col(key).alias(right), F.col("norm").alias("nr"))
     out = (pairs.join(dots, [left, right], "left").join(nl, left, "left").join(nr, right, "left"))

@@ -1,8 +1,21 @@
 """What a query does once, it does once: plans and times of steps that cost most on large tables."""
 
+import math
+import random
+import sys
+import time
+from collections import Counter
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagequality.functions.text import WS_CHARS, py_strip
+from pagequality.operators import minhash as mh
+from pagequality.operators import relevance, text_stats
+from pagequality.operators.affinity import sample_affinity, word_trigrams
+from pagequality.plans import flow
+from sf_paths import SF001
 
 
 def plan(df) -> str:
@@ -14,3 +27,32 @@ def test_strip_looks_at_the_ends_only(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").select("id", py_strip(F.col("t")).alias("s"))
     assert {r.id: r.s for r in df.collect()} == {i: None if t is None else t.strip() for i, t in enumerate(texts)}
     assert "regexp" not in plan(df).lower()
+
+
+def brute_relevance(pairs, texts):
+    tf = {}
+    for k, t in texts:
+        tf.setdefault(k, Counter()).update((t or "").lower().split())
+    df = Counter(w for c in tf.values() for w in c)
+    idf = {w: math.log((len(tf) + 1) / (n + 1)) + 1 for w, n in df.items()}
+    norm = {k: math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items())) for k, c in tf.items()}
+    rows = Counter(pairs)
+    out = []
+    for p in pairs:
+        x, y = (tf.get(k, Counter()) if k is not None else Counter() for k in p)
+        dot = rows[p] * sum(x[w] * y[w] * idf[w] ** 2 for w in x if w in y)
+        n = norm.get(p[0], 0) * norm.get(p[1], 0) if None not in p else 0
+        out.append((p[0] or 0, p[1] or 0, round(min(1.0, dot / n) if n else 0.0, 9)))
+    return sorted(out)
+
+
+def test_relevance_moves_texts(spark):
+    rnd = random.Random(5)
+    texts = [(i % 37 or None, " ".join(rnd.choice("Ab ab c d e f g h i j k l".split()) for _ in range(rnd.randint(0, 9))) or None) for i in range(80)]
+    pairs = [(rnd.choice([None, *range(40)]), rnd.choice([None, *range(40)])) for _ in range(120)]
+    t = spark.createDataFrame(texts, "tid long, text string")
+    got = relevance.lexical_relevance(spark.createDataFrame(pairs, "query_key long, text_key long"), t, "tid", "text")
+    assert sorted((r.query_key or 0, r.text_key or 0, round(r.relevance, 9)) for r in got.collect()) == brute_relevance(pairs, texts)
+    # the one exchange carries texts; terms are counted behind it
+    p = relevance.term_counts(t, "tid", "text")._jdf.queryExecution().executedPlan().toString()
+    assert p.count("Exchange") == 1 and p.index("Generate") < p.index("Exchange")
