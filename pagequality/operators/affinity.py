@@ -17,10 +17,11 @@ from .text_stats import token_array
 
 def word_trigrams(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """``(key, gram)`` for every word trigram of the lower-cased text."""
-    w = token_array(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    words = df.select(F.col(key).alias("_k"), token_array(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    w = F.col("w")  # a column of its own: each use of the expression would split the text anew
     n = F.size(w)
     z = F.arrays_zip(w, F.slice(w, 2, F.greatest(n - 1, F.lit(0))), F.slice(w, 3, F.greatest(n - 2, F.lit(0))))
-    d = df.select(F.col(key).alias("_k"), F.explode(z).alias("z"))
+    d = words.select("_k", F.explode(z).alias("z"))
     f = d.schema["z"].dataType.fieldNames()
     d = d.where(F.col("z")[f[2]].isNotNull())
     return d.select(F.col("_k").alias(key),

@@ -56,3 +56,13 @@ def test_relevance_moves_texts(spark):
     # the one exchange carries texts; terms are counted behind it
     p = relevance.term_counts(t, "tid", "text")._jdf.queryExecution().executedPlan().toString()
     assert p.count("Exchange") == 1 and p.index("Generate") < p.index("Exchange")
+
+
+def test_trigrams_split_a_text_once(spark):
+    df = spark.createDataFrame([(1, "a b c d"), (1, "x y\u2003z"), (2, "a b"), (3, None)], "id long, text string")
+    grams = word_trigrams(df, "id", "text")
+    assert sorted((r.id, r.gram) for r in grams.collect()) == [(1, "a b c"), (1, "b c d"), (1, "x y z")]
+    assert plan(grams).count("split(") == 1
+    sample = spark.createDataFrame([("B c D",)], "text string")
+    got = sorted((r.id, r.grams, r.covered) for r in sample_affinity(df, "id", "text", sample).collect())
+    assert got == [(1, 3, 1), (1, 3, 1), (2, 0, 0), (3, 0, 0)]
