@@ -24,7 +24,10 @@ from ..params import DEFAULT, Params
 
 PRIME = 2147483647
 BASE = 1000003
+_PRIME = np.uint32(PRIME)
 CHUNK = 4096
+#: Permutations computed at a time.
+BLOCK = 8
 
 
 def perm_coefficients(n: int) -> tuple[list[int], list[int]]:
@@ -71,29 +74,41 @@ def shingle_count(content: Column, params: Params = DEFAULT) -> Column:
 
 
 def _signature_of(text: str, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The minima of ``(a_i*h + b_i) mod p`` over the text's shingle hashes ``h``.
+
+    The coefficients grow by one step from permutation to permutation, so ``BLOCK`` permutations at a time follow from those
+    before by adding a multiple of the hash that is the same for all of them: sums of 32 bits instead of products and remainders.
+    A sum is below twice the prime; of it and itself less the prime (which wraps around, if negative) the smaller is the remainder."""
     cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     n = len(cps)
-    if n < k:
-        h = np.zeros(1, dtype=np.int64)
-        for c in cps:
-            h = (h * BASE + c) % PRIME
-    else:
-        m = n - k + 1
-        h = np.zeros(m, dtype=np.int64)
-        for j in range(k):
-            h = (h * BASE + cps[j:j + m]) % PRIME
-        h = np.unique(h)
-    best = np.full(len(a), PRIME, dtype=np.int64)
+    m = max(n - k + 1, 1)
+    h = np.zeros(m, dtype=np.int64)
+    for j in range(min(k, n)):
+        h = (h * BASE + cps[j:j + m]) % PRIME
+    h = np.sort(h.astype(np.uint32))
+    h = h[np.append(True, h[1:] != h[:-1])].astype(np.int64)
+    best = np.full((-(-len(a) // BLOCK), BLOCK), PRIME, dtype=np.uint32)
     for s in range(0, len(h), CHUNK):
-        blk = h[s:s + CHUNK, None]
-        np.minimum(best, ((blk * a[None, :] + b[None, :]) % PRIME).min(axis=0), out=best)
-    return best
+        part = h[s:s + CHUNK]
+        now = np.full((BLOCK, len(part)), PRIME, dtype=np.uint32)
+        first = a[:BLOCK, None]
+        now[:len(first)] = (first * part + b[:BLOCK, None]) % PRIME
+        step = ((a[BLOCK] - a[0]) * part + (b[BLOCK] - b[0])) % PRIME if len(a) > BLOCK else part
+        step, spare = step.astype(np.uint32), np.empty_like(now)
+        for row in best:
+            np.minimum(row, now.min(axis=1), out=row)
+            np.add(now, step, out=now)
+            np.subtract(now, _PRIME, out=spare)
+            np.minimum(now, spare, out=now)
+    return best.ravel()[:len(a)].astype(np.int64)
 
 
 def minhash_udf(num_slots: int, k: int):
     a_list, b_list = perm_coefficients(num_slots)
     a = np.array(a_list, dtype=np.int64)
     b = np.array(b_list, dtype=np.int64)
+    if any(len(np.unique(np.diff(c) % PRIME)) > 1 for c in (a, b)):
+        raise ValueError("the coefficients of the permutations must grow by equal steps")
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def _minhash(texts: pd.Series) -> pd.Series:

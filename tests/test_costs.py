@@ -66,3 +66,37 @@ def test_trigrams_split_a_text_once(spark):
     sample = spark.createDataFrame([("B c D",)], "text string")
     got = sorted((r.id, r.grams, r.covered) for r in sample_affinity(df, "id", "text", sample).collect())
     assert got == [(1, 3, 1), (1, 3, 1), (2, 0, 0), (3, 0, 0)]
+
+
+def plain_signature(text, k, a, b):
+    cps = [ord(c) for c in text]
+    windows = [cps[i:i + k] for i in range(max(len(cps) - k + 1, 1))]
+    hashes = set()
+    for w in windows:
+        h = 0
+        for c in w:
+            h = (h * mh.BASE + c) % mh.PRIME
+        hashes.add(h)
+    h = np.array(sorted(hashes), dtype=np.int64)[:, None]
+    return ((h * a + b) % mh.PRIME).min(axis=0)
+
+
+def test_signature_by_steps():
+    a, b = (np.array(c, dtype=np.int64) for c in mh.perm_coefficients(126))
+    rnd = random.Random(3)
+    texts = ["", "a", "abcd", "abcde", "\U0010ffff" * 9] + ["".join(rnd.choice("ab cdé\U0001f600") for _ in range(n)) for n in (6, 99, 4100)]
+    for t in texts:
+        for n in (1, 7, 8, 9, 126):
+            assert (mh._signature_of(t, 5, a[:n], b[:n]) == plain_signature(t, 5, a[:n], b[:n])).all()
+    h = np.arange(60_000, dtype=np.int64)
+    text = "".join(map(chr, h + 0x20000))
+
+    def seconds(f):
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            f()
+            best = min(best, time.perf_counter() - start)
+        return best
+    products = seconds(lambda: [((x[:, None] * a + b) % mh.PRIME).min(axis=0) for x in np.split(h, 15)])
+    assert seconds(lambda: mh._signature_of(text, 5, a, b)) < products / 2  # a product and a remainder for each slot and shingle
