@@ -24,7 +24,7 @@ FIELDS = (("word_count", "int"), ("n_long", "int"), ("top_word", "string"), ("to
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
 _LETTER, _VOWELS, _SILENT, _STOP = re.compile("[a-z]"), re.compile("[aeiouy]+"), re.compile("[^l]e$"), re.compile("[.!?]+")
 #: Words whose syllables a task remembers.
-KNOWN = 200_000
+KNOWN = 20_000
 
 
 def syllables(word: str) -> int:
@@ -68,8 +68,8 @@ def text_stats(text: Column, params: Params = DEFAULT) -> Column:
     def stats(texts: pa.Array) -> pa.Array:
         known: dict[str, tuple] = {}
         rows = []
-        for t in texts.to_pylist():
-            rows.append(count_text(t or "", params, known))
+        for t in texts:  # one text at a time: a batch is held as Arrow has it, not as Python strings too
+            rows.append(count_text(t.as_py() or "", params, known))
             if len(known) > KNOWN:
                 known.clear()
         columns = list(zip(*rows, strict=True)) or [()] * len(FIELDS)

@@ -100,3 +100,10 @@ def test_signature_by_steps():
         return best
     products = seconds(lambda: [((x[:, None] * a + b) % mh.PRIME).min(axis=0) for x in np.split(h, 15)])
     assert seconds(lambda: mh._signature_of(text, 5, a, b)) < products / 2  # a product and a remainder for each slot and shingle
+
+
+def test_known_words_stay_small():
+    known = {}
+    for i in range(text_stats.KNOWN):
+        text_stats.count_text(f"Wordform{i}", known=known)
+    assert sum(sys.getsizeof(x) for w, v in known.items() for x in (w, v, v[0])) + sys.getsizeof(known) < 8 << 20
