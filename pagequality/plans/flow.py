@@ -95,7 +95,9 @@ def q_digest_rank(spark, sf):
 def q_digest_files(spark, sf):
     """Digests written as numbered files and read back, line by line."""
     path = scratch_path(spark, "digests")
-    dg.write_digests(Q.doc_entries(spark, sf), Q.doc_sessions(spark, sf), path)
+    e = Q.doc_entries(spark, sf).select("session", "ord", "title", "content", "score", "relevance", "page_type")
+    # scored once: the digest counts and renders the entries, and ranges are sampled before they are sorted
+    dg.write_digests(written(e, "digest-entries"), Q.doc_sessions(spark, sf), path)
     return read_lines(spark, path, separator="\n\n").select(F.col("name").alias("session"), "line_no", "line")
 
 
@@ -108,7 +110,8 @@ def q_session_files(spark, sf):
                  F.col("text").alias("content"), F.struct("quality.*", F.struct(F.struct(
                      F.col("quality_details.text.word_count").alias("word_count"), F.col("quality_details.text.slop_phrase_count").alias("slop_phrase_count")).alias("text")).alias("details")).alias("quality"))
     s = Q.doc_sessions(spark, sf).select("session", "queries", F.lit("search").alias("mode"), F.struct(F.col("total").cast("int").alias("total"), F.lit(0).alias("dedup_removed")).alias("log"))
-    write_session_documents(e, s, path)
+    # scored once: sessions are listed, and ranges are sampled before they are sorted
+    write_session_documents(written(e, "session-entries"), s, path)
     back = read_session_entries(spark, path)
     return back.select(F.col("name").alias("session"), F.col("header.mode").alias("mode"), F.array_join("header.queries", "|").alias("queries"),
                        F.col("header.log.total").cast("long").alias("total"), F.col("ord").cast("long").alias("ord"), "entry.title", "entry.url",

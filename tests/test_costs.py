@@ -107,3 +107,16 @@ def test_known_words_stay_small():
     for i in range(text_stats.KNOWN):
         text_stats.count_text(f"Wordform{i}", known=known)
     assert sum(sys.getsizeof(x) for w, v in known.items() for x in (w, v, v[0])) + sys.getsizeof(known) < 8 << 20
+
+
+@pytest.mark.parametrize(("query", "module", "writer"), [("digest_files", flow.dg, "write_digests"), ("session_files", flow, "write_session_documents")])
+def test_entries_are_scored_once(spark, monkeypatch, query, module, writer):
+    seen = []
+
+    def write(entries, *rest):
+        seen.append(plan(entries))
+        raise InterruptedError
+    monkeypatch.setattr(module, writer, write)
+    with pytest.raises(InterruptedError):
+        flow.QUERIES[query](spark, SF001)
+    assert "EvalPython" not in seen[0]
