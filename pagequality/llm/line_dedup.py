@@ -25,6 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.interim import passing
 from ..operators.joins import sized_broadcast
 from .common import fresh, stash, text_key
 
@@ -136,7 +137,8 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "all", "odd")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
     later = (F.col("id_b") > F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") > F.col("line_a")))
     family = _named(at, "b", "k").join(_named(first, "a", "k"), "k").where(later & may).select("n_a", "n_b").distinct()
-    gone = stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-gone")
+    with passing() as keep:
+        gone = keep(stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-gone"))
     # 4. prefix join of the rest with all earlier lines
     done = sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000)
     post = sets.select("n", "id", "size", "all", "odd", "prefix").join(done, "n", "left").select(
@@ -144,7 +146,8 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     near = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
     pairs = _named(post, "a", "word").join(_named(post, "b", "word"), "word").where(
         (F.col("n_a") != F.col("n_b")) & (F.col("id_a") <= F.col("id_b")) & may & near & ~F.col("done_b")).select("n_a", "n_b").distinct()
-    gone = stash(gone.unionByName(verified(stash(pairs, "line-pairs"), lines, docs, p)).distinct(), "line-gone")
+    with passing() as keep:
+        gone = keep(stash(gone.unionByName(verified(stash(pairs, "line-pairs"), lines, docs, p)).distinct(), "line-gone"))
     gone = sized_broadcast(gone.select(F.col("n").alias("root"), F.lit(True).alias("gone")), 1_000_000)
     first = (F.col("id") == F.col("first_id")) & (F.col("line") == F.col("first_line")) & (F.col("key") == F.col("first_key"))
     named = named.select("id", "key", "line", "root", "first_id", "first_line", "first_key")
@@ -153,18 +156,23 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
 
 def dedup(docs: DataFrame, params: LineParams = DEFAULT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the text that is left and counts of lines and of removed lines, under names that don't clash."""
-    names = dict(zip(("n_lines", "n_removed", "gone"), fresh(docs, "line_n", "line_removed", "line_gone"), strict=True))
+    names = dict(zip(("n_lines", "n_removed", "gone", "lines", "left"), fresh(docs, "line_n", "line_removed", "line_gone", "line_all", "line_left"), strict=True))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
-    gone = stash(removed_lines(d, params).groupBy("id", "key").agg(F.sort_array(F.collect_list("line")).alias("lines")), "line-removed")  # of one document
+    with passing() as keep:
+        gone = removed_lines(d, params).groupBy("id", "key").agg(F.sort_array(F.collect_list("line")).alias("lines"))  # of one document
+        gone = keep(stash(gone, "line-removed"))
     i, k = fresh(docs, "__line_id", "__line_key")
     gone = sized_broadcast(gone.select(F.col("id").alias(i), F.col("key").alias(k), F.col("lines").alias(names["gone"])), 300_000)
     out = docs.join(gone, (docs[id_col] == gone[i]) & (text_key(docs[text_col]) == gone[k]), "left").drop(i, k)
-    lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(names["gone"]))
-    left = F.array_join(F.transform(stay, lambda j: F.get(lines, j)), "\n")
-    out = out.withColumns({names["n_lines"]: F.coalesce(F.size(lines), F.lit(0)), names["n_removed"]: F.coalesce(F.size(names["gone"]), F.lit(0)),
-                           text_col: F.when(F.col(names["gone"]).isNull(), F.col(text_col)).otherwise(left)})
-    return out.drop(names["gone"]), names
+    # a column of its own: as part of the lambda the text would be split again for each line
+    out = out.withColumn(names["lines"], F.split(F.col(text_col), "\n"))
+    out = out.withColumns({names["n_lines"]: F.coalesce(F.size(names["lines"]), F.lit(0)), names["n_removed"]: F.coalesce(F.size(names["gone"]), F.lit(0))})
+    stay = F.array_except(F.sequence(F.lit(0), F.size(names["lines"]) - 1), F.col(names["gone"]))
+    left = F.array_join(F.transform(stay, lambda j: F.get(F.col(names["lines"]), j)), "\n")
+    # explode() of one array computes it once, for filters on the text too
+    out = out.select("*", F.explode(F.array(F.when(F.col(names["gone"]).isNull(), F.col(text_col)).otherwise(left))).alias(names["left"]))
+    text = [F.col(names["left"]).alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*text, names["n_lines"], names["n_removed"]), names
 
 
 def filter_documents(docs: DataFrame, params: LineParams = DEFAULT) -> DataFrame:
