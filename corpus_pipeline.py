@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagequality.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 from pagequality.llm.common import stash, table
+from pagequality.operators.interim import passing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +43,15 @@ STAGES = [("quality rules", quality), ("line dedup", lines), ("near duplicates",
 ORACLE_SQL = None
 
 
+def _after(spark: SparkSession, sf_dir: str, stages: list) -> DataFrame:
+    """What the last of ``stages`` keeps, written; what it was made of goes."""
+    if not stages:
+        return table(spark, sf_dir, "documents")
+    name, stage = stages[-1]
+    with passing() as keep:
+        docs = stage(spark, _after(spark, sf_dir, stages[:-1]), sf_dir)
+        return keep(stash(docs, f"pipeline-{name.replace(' ', '-')}"))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES):
-            docs = stash(docs, f"pipeline-{name.replace(' ', '-')}")
-    return docs
+    return STAGES[-1][1](spark, _after(spark, sf_dir, STAGES[:-1]), sf_dir)

@@ -5,7 +5,7 @@ one piece in the text unchanged.  An Aho-Corasick automaton over the pieces of a
 hits; the stretch around each hit (hits of one item whose stretches overlap count as one) is verified with
 Myers' bit-parallel distance.  Texts and items are compared in lower case, each run of white space as one blank.
 
-Texts are scanned whole, in the task that reads them; nothing is shuffled.  Items are used in blocks of
+Texts are scanned whole, in the task that reads them; nothing is shuffled but, of items in several blocks, the keys of rows found.  Items are used in blocks of
 bounded size, each block against all rows, so the items may outgrow any one task.
 
 Defined cases: null and empty texts match nothing; items without a letter or digit match nothing; of items
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import text_key, without
+from .common import stash, text_key, without
 
 
 @dataclass(frozen=True)
@@ -125,13 +125,18 @@ class Matcher:
         return sorted(out)
 
 
+def known_items(items: DataFrame, params: MatchParams = DEFAULT, item_col: str = "item_id") -> tuple[DataFrame, int]:
+    """(item, text) of the test items, and the number of blocks that they are used in."""
+    known = items.select(F.col(item_col).alias("item"), F.col("text")).where("text is not null").distinct()
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return known, -(-size // params.block_bytes) or 1
+
+
 def matches(docs: DataFrame, items: DataFrame, params: MatchParams = DEFAULT, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id") -> DataFrame:
     """id, key, item, distance, end of every test item in every row of ``docs``."""
     kind, item_type = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
-    known = items.select(F.col(item_col).alias("item"), F.col("text")).where("text is not null").distinct()
-    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // params.block_bytes) or 1
+    known, blocks = known_items(items, params, item_col)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("key", text_key(F.col("text")))
     out = None
@@ -155,8 +160,22 @@ def matches(docs: DataFrame, items: DataFrame, params: MatchParams = DEFAULT, id
 
 
 def filter_documents(docs: DataFrame, items: DataFrame, params: MatchParams = DEFAULT) -> DataFrame:
-    """``docs`` without the rows that hold a test item; columns as they are."""
-    return without(docs, matches(docs, items, params).select("id", "key").distinct())
+    """``docs`` without the rows that hold a test item; columns as they are.
+
+    Items of one block are looked for by the task that reads a row, which then goes or stays at once; of several blocks
+    the rows found are gathered by id and text."""
+    known, blocks = known_items(items, params)
+    if blocks > 1:
+        return without(docs, stash(matches(docs, items, params).select("id", "key").distinct(), "benchmark-found"))
+    held = sorted((k, r["text"]) for k, r in enumerate(known.select("text").distinct().collect()))  # of bounded size
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matcher(held, params)
+        for b in batches:
+            yield b.filter(pa.array([not m.find(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, params: MatchParams = DEFAULT) -> DataFrame:

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.interim import passing
 from ..operators.joins import sized_broadcast
 from .common import fresh, stash, text_key, words
 
@@ -57,11 +58,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: MixParams = DEFAULT
     """``cells`` (dims, weight) with weights scaled until each marginal has its target (dim, target); targets share a total.
 
     A value without target, or whose weight is 0, gets none."""
+    for dim, target in targets.items():  # the targets stay, so a round only joins the sums
+        cells = cells.join(target.select(dim, F.col("target").alias(f"t_{dim}")), dim, "left")
     cells = stash(cells, "mix-cells")
     for _ in range(p.max_rounds):
         now, off = cells, []
-        for dim, target in targets.items():
-            factor = now.groupBy(dim).agg(F.sum("weight").alias("sum")).join(target, dim).select(
+        for dim in targets:
+            now = now.where(F.col(f"t_{dim}").isNotNull())
+            factor = now.groupBy(dim).agg(F.sum("weight").alias("sum"), F.first(f"t_{dim}").alias("target")).select(
                 dim, F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias(f"f_{dim}"))
             now = now.join(factor, dim).withColumn("weight", F.col("weight") * F.col(f"f_{dim}"))
             off.append(f"f_{dim}")
@@ -70,9 +74,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], p: MixParams = DEFAULT
         moved = now.agg(worst).first()[0] or 0.0
         cells = now.drop(*off)
         if moved < p.tolerance:
-            return cells
-    warnings.warn(f"raking ended after {p.max_rounds} rounds; a marginal is still off by a factor of {1 + moved:.6g}", stacklevel=2)
-    return cells
+            break
+    else:
+        warnings.warn(f"raking ended after {p.max_rounds} rounds; a marginal is still off by a factor of {1 + moved:.6g}", stacklevel=2)
+    return cells.drop(*[f"t_{dim}" for dim in targets])
 
 
 def power_targets(cells: DataFrame, dim: str, power: float, total: float) -> DataFrame:
@@ -90,12 +95,14 @@ def mix(docs: DataFrame, params: MixParams = DEFAULT, id_col: str = "doc_id", te
     d = docs.withColumn(names["tokens"], F.size(words(F.col(text_col))).cast("long"))
     d = d.withColumns({names["source"]: F.coalesce(F.col(source_col), F.lit(NONE)), names["lang"]: F.coalesce(F.col(lang_col), F.lit(NONE)),
                        names["topic"]: topic(text, F.col(names["tokens"]))})
-    cells = stash(d.groupBy(*[F.col(names[x]).alias(x) for x in DIMS]).agg(F.sum(names["tokens"]).alias("n")).withColumn("weight", F.col("n").cast("double")), "mix-cells")
-    total = (cells.agg(F.sum("weight")).first()[0] or 0.0) * params.budget
-    powers = {"source": params.source_power, "lang": params.lang_power, "topic": params.topic_power}
-    raked = rake(cells, {x: power_targets(cells, x, powers[x], total) for x in DIMS}, params)
-    rate = raked.select(*[F.col(x).alias(f"r_{x}") for x in DIMS], F.when(F.col("n") > 0, F.col("weight") / F.col("n")).otherwise(params.budget).alias(names["probability"]))
-    rate = sized_broadcast(stash(rate, "mix-rates"), 200_000)
+    with passing() as keep:
+        cells = stash(d.groupBy(*[F.col(names[x]).alias(x) for x in DIMS]).agg(F.sum(names["tokens"]).alias("n")).withColumn("weight", F.col("n").cast("double")), "mix-cells")
+        total = (cells.agg(F.sum("weight")).first()[0] or 0.0) * params.budget
+        powers = {"source": params.source_power, "lang": params.lang_power, "topic": params.topic_power}
+        raked = rake(cells, {x: power_targets(cells, x, powers[x], total) for x in DIMS}, params)
+        rate = raked.select(*[F.col(x).alias(f"r_{x}") for x in DIMS], F.when(F.col("n") > 0, F.col("weight") / F.col("n")).otherwise(params.budget).alias(names["probability"]))
+        rate = keep(stash(rate, "mix-rates"))
+    rate = sized_broadcast(rate, 200_000)
     on = [d[names[x]] == rate[f"r_{x}"] for x in DIMS]
     d = d.join(rate, on[0] & on[1] & on[2], "left").drop(*[f"r_{x}" for x in DIMS])
     # a cell whose values have no tokens at all isn't raked

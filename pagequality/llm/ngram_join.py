@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.interim import passing
 from ..operators.joins import sized_broadcast
 from .common import fresh, stash, text_key, without
 from .components import components
@@ -288,10 +289,13 @@ def jaccard_components(docs: DataFrame, params: JaccardParams = DEFAULT, id_col:
     columns = classes.select("cid", "rep", "n_grams", F.posexplode("prefix").alias("pos", "gram"))
     shared = columns.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     live = stash(columns.join(shared, "gram"), "jaccard-columns")
-    links = stash(verified(stash(first_links(live, classes, params), "jaccard-first"), classes, d, params), "jaccard-links")
+    with passing() as keep:
+        links = keep(stash(verified(stash(first_links(live, classes, params), "jaccard-first"), classes, d, params), "jaccard-links"))
     labels = components(links)
-    more = stash(rest(live, classes, labels, params), "jaccard-rest")
-    links = links.unionByName(verified(more, classes, d, params))
+    with passing() as keep:
+        more = keep(stash(rest(live, classes, labels, params), "jaccard-rest"))
+    with passing() as keep:
+        links = keep(stash(links.unionByName(verified(more, classes, d, params)), "jaccard-links"))
     labels = components(links)
     least = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
     of = labels.join(least, "component").select(F.col("node").alias("cid"), "least")
@@ -326,5 +330,7 @@ def keep_one(docs: DataFrame, params: JaccardParams = NEAR) -> DataFrame:
 
     Rows go by id and text, so rows that only share an id keep apart; of rows that share both one stays."""
     docs = one_each(docs)
-    c = jaccard_components(docs.select(F.struct(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key")).alias("doc_id"), "text"), params)
-    return without(docs, c.where(F.col("component") < F.col("id")).select("id.id", "id.key"))
+    with passing() as keep:
+        c = jaccard_components(docs.select(F.struct(F.col("doc_id").alias("id"), text_key(F.col("text")).alias("key")).alias("doc_id"), "text"), params)
+        gone = keep(stash(c.where(F.col("component") < F.col("id")).select("id.id", "id.key"), "jaccard-gone"))
+    return without(docs, gone)

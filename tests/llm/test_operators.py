@@ -875,3 +875,72 @@ def test_pipeline_of_empty_tables(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# ---- what the stages move and leave behind ----
+
+def left_behind(spark):
+    """Names of the tables in the shared folder."""
+    from pagequality.session import checkpoint_dir
+
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in fs.listStatus(folder)}
+
+
+def kinds(names):
+    return sorted(x.rpartition("-")[0] for x in names)
+
+
+def test_tables_go_once_nothing_reads_them(spark, unique, tmp_path):
+    import corpus_pipeline
+
+    before = left_behind(spark)
+    out = line_dedup.filter_documents(unique)
+    assert kinds(left_behind(spark) - before) == ["line-removed"]
+    rows = {r.doc_id: r.text for r in out.collect()}
+    mid = left_behind(spark)
+    near = ngram_join.keep_one(unique)
+    assert set(kinds(left_behind(spark) - mid)) == {"jaccard-several", "jaccard-gone"}
+    assert 0 < near.count() < len(rows) + 30
+    mid = left_behind(spark)
+    assert mixing.sample(unique).count() > 0
+    assert kinds(left_behind(spark) - mid) == ["mix-rates"]
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    unique.write.parquet(str(tmp_path / "documents.parquet"))
+    mid = left_behind(spark)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert kinds(left_behind(spark) - mid) == ["mix-rates", "pipeline-benchmark-decontamination"]
+
+
+def test_filters_of_few_rows_move_no_text(spark, unique, tmp_path):
+    items = spark.createDataFrame([(1, corpus()[0][1][:60]), (2, None)], "item_id long, text string")
+    unique.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (quality_rules.filter_documents(docs), decontaminate.filter_documents(docs, items), ngram_join.keep_one(docs)):
+            assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString() and 0 < out.count() < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("block", [4_000_000, 40])
+def test_decontaminated_rows_whatever_the_blocks(spark, docs, block):
+    """Null ids, rows that share an id or a text: a row goes if its own text holds an item."""
+    items = spark.createDataFrame([(1, corpus()[0][1][:60]), (1, corpus()[5][1][:50]), (2, None), (None, corpus()[7][1][-45:])], "item_id long, text string")
+    p = decontaminate.MatchParams(block_bytes=block)
+    m = decontaminate.Matcher(list(enumerate(r.text for r in items.collect() if r.text)), p)
+    out = decontaminate.filter_documents(docs, items, p)
+    want = [tuple(r) for r in docs.collect() if not m.find(r.text)]
+    assert Counter(map(tuple, out.collect())) == Counter(want) and out.schema == docs.schema and len(want) < docs.count()
+
+
+def test_a_text_is_split_once_not_for_each_line(spark):
+    rows = [(1, "\n".join(f"w{i} x{i} y{i} z{i}" for i in range(30000)) + "\nw7 x7 y7 z7"), (2, "w8 x8 y8 z8\nanother line"), (None, "w8 x8 y8 z8"), (3, None)]
+    docs = spark.createDataFrame(rows, "Doc_ID long, TEXT string")
+    out = line_dedup.filter_documents(docs)
+    assert "lambdafunction(get(split" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} == {(1, rows[0][1].rpartition("\n")[0]), (2, "another line"), *rows[2:]}
