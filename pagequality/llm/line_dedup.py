@@ -3,11 +3,13 @@
 A line is removed when an earlier line of the corpus, by (id, line number), has a word set of Jaccard 0.8 or more
 with its own.  All lines that have a word are compared.
 
-1. A count sketch of all words gives their order by rarity, ties by hash: an array of one byte a bucket,
-   fixed in size whatever the corpus.
+1. Texts are split into words once; what follows works on the words' hashes.  A count sketch of them gives their order
+   by rarity, ties by hash: one byte a bucket, fixed in size whatever the corpus.
 2. Of equal word sets only the first place goes on (found by partial aggregation before the shuffle); all
    other places of it are removed.  A set goes by the number that its row got when it was written.
 3. Sets that begin or end with the same words are verified against the first of them.  This decides most of a family of near copies at one pair a line.
+   Of words that many of the lines found alike have, some of the first lines then meet what isn't decided, so that it needn't
+   meet every member of a large family in 4.
 4. Prefix join: lines that are not yet decided meet earlier ones on the rarest words that a pair may not miss.  A pair is
    a candidate if its sizes, the positions of the shared word and parity maps of the sets (64 bits, 128 for larger sets) leave the bound on the
    overlap within reach.  A line that is removed meets no more earlier lines, but later ones still meet it.
@@ -29,7 +31,7 @@ from ..operators.interim import passing
 from ..operators.joins import sized_broadcast
 from .common import fresh, stash, text_key
 
-BITS = 17
+BITS = 16
 #: Words of a set that 64 parity bits are enough for.
 SMALL = 48
 BLOCK = 1 << 14
@@ -40,6 +42,9 @@ class LineParams:
     percent: int = 80
     #: Words at either end of a line that near copies are first looked up by.
     ends: int = 6
+    #: First lines of a word that stand for a large family, each for so many of its lines at least.
+    heads: int = 8
+    many: int = 4
 
 
 DEFAULT = LineParams()
@@ -53,31 +58,38 @@ def _words(line):
     return F.array_remove(F.split(line, " "), "")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """A byte for each of 2^BITS hash buckets: how often its words occur in the corpus, on a log scale.
+def rarity(lines: DataFrame) -> bytes:
+    """A byte for each of 2^BITS hash buckets: in how many lines its words occur, on a log scale.  ``lines`` has hashes ``h``.
 
     Counted and put together by Spark; fixed in size, and small, as plans hold it (and their descriptions print it)."""
     n = 1 << BITS
-    bucket = F.pmod(F.xxhash64("w"), F.lit(n)).alias("b")
-    counts = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(bucket).agg(F.count("*").alias("n"))
+    counts = lines.select(F.explode("h").alias("x")).groupBy(_bucket(F.col("x")).alias("b")).agg(F.count("*").alias("n"))
     mark = F.least(F.lit(90), F.floor(4 * F.log2(1 + F.coalesce("n", F.lit(0))))).cast("int") + 33
-    all_of = docs.sparkSession.range(n).select(F.col("id").alias("b")).join(counts, "b", "left").select("b", F.chr(mark).alias("mark"))
+    all_of = lines.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").select("b", F.chr(mark).alias("mark"))
     block = all_of.groupBy(F.expr(f"b div {BLOCK}").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("b", "mark"))).getField("mark"), "").alias("marks"))
     return "".join(r["marks"] for r in block.orderBy("k").collect()).encode()  # n bytes
 
 
-def lines_of(docs: DataFrame, p: LineParams) -> DataFrame:
-    """id, key, line, sid (of the word set), parities, size, prefix, begins, ends and a number of every line with a word."""
+def _bucket(h):
+    return h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+
+def words_of(docs: DataFrame, p: LineParams) -> DataFrame:
+    """id, key, line, begins, ends and the distinct words' hashes h of every line with a word."""
     # explode() of one array computes it once: filters on the result would else be pushed below, and its steps with them
-    marks = F.lit(bytearray(rarity(docs)))
     d = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("line", "s"))
     d = d.select("id", "key", "line", F.explode(F.array(_words(F.col("s")))).alias("w")).where(F.size("w") > 0)
-    d = d.select(
-        "id", "key", "line", F.xxhash64(F.slice("w", 1, p.ends)).alias("begins"), F.xxhash64(F.reverse(F.slice(F.reverse("w"), 1, p.ends)), F.lit(1)).alias("ends"),
-        F.explode(F.array(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))))).alias("h"))
-    mark = lambda h: F.ascii(F.substring(marks, F.pmod(h, F.lit(1 << BITS)).cast("int") + 1, 1).cast("string")).cast("long")
-    r = F.transform("h", lambda h: F.shiftleft(mark(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
-    d = d.select(
+    last = F.greatest(F.size("w") - F.lit(p.ends - 1), F.lit(1))
+    return d.select(
+        "id", "key", "line", F.xxhash64(F.slice("w", 1, p.ends)).alias("begins"), F.xxhash64(F.slice("w", last, p.ends), F.lit(1)).alias("ends"),
+        F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
+
+
+def lines_of(words: DataFrame, p: LineParams) -> DataFrame:
+    """id, key, line, sid (of the word set), parities, size, prefix, begins, ends and a number of every line; ``words`` is written."""
+    marks = F.split(F.lit(",".join(str(x - 33) for x in rarity(words))), ",").cast("array<bigint>")  # folded before it runs
+    r = F.transform("h", lambda h: F.shiftleft(F.get(marks, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    d = words.select(
         "id", "key", "line", "begins", "ends",
         F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("all"),
         # 64 bits tell small sets apart; of larger ones, those of every other hash by themselves too
@@ -106,7 +118,7 @@ def _named(df: DataFrame, x: str, *keep: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, p: LineParams) -> DataFrame:
-    """The number n_b of each line that reaches the threshold with an earlier one, n_a, on the words; it may come twice."""
+    """The pairs whose line n_b reaches the threshold with an earlier one, n_a, on the words; they may come twice."""
     wanted = stash(pairs.select(F.col("n_a").alias("n")).unionByName(pairs.select(F.col("n_b").alias("n"))).distinct(), "line-numbers")
     wanted = lines.select("n", "id", "line", "key").join(sized_broadcast(wanted, 1_000_000), "n")
     wanted = stash(wanted.groupBy(F.col("id").alias("wid"), F.col("key").alias("wkey")).agg(
@@ -119,12 +131,40 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, p: LineParams)
     for x in "ab":  # explode() of one array computes it once
         both = both.select("*", F.explode(F.array(F.array_distinct(_words(F.col(f"s_{x}"))))).alias(x)).drop(f"s_{x}")
     both = both.select("*", F.explode(F.array(F.size(F.array_intersect("a", "b")))).alias("o"))
-    return both.where(100 * F.col("o") >= p.percent * (F.size("a") + F.size("b") - F.col("o"))).select(F.col("n_b").alias("n"))
+    return both.where(100 * F.col("o") >= p.percent * (F.size("a") + F.size("b") - F.col("o"))).select("n_a", "n_b")
+
+
+def _posts(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """A row for each prefix word of each set; done where the line is in ``gone``."""
+    done = sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000)
+    return sets.select("n", "id", "size", "all", "odd", "prefix").join(done, "n", "left").select(
+        "n", "id", "size", "all", "odd", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
+
+
+def _candidates(a: DataFrame, b: DataFrame, p: LineParams) -> DataFrame:
+    """Pairs n_a, n_b of posts on a word that may reach the threshold, n_b not done."""
+    may, least = _within(p)
+    near = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
+    return _named(a, "a", "word").join(_named(b, "b", "word"), "word").where(
+        (F.col("n_a") != F.col("n_b")) & (F.col("id_a") <= F.col("id_b")) & may & near & ~F.col("done_b")).select("n_a", "n_b").distinct()
+
+
+def _heads(alike: DataFrame, sets: DataFrame, gone: DataFrame, p: LineParams) -> DataFrame:
+    """Posts of the first of the lines in ``alike`` that share a word, for words that many of them have."""
+    members = alike.select(F.col("n_a").alias("n")).unionByName(alike.select(F.col("n_b").alias("n"))).distinct()
+    post = _posts(sets.join(sized_broadcast(members, 1_000_000), "n"), gone)
+    first = F.min(F.struct("id", "n", "size", "all", "odd", "done", "pos")).alias("a")
+    return post.groupBy("word", F.pmod("n", F.lit(p.heads)).alias("part")).agg(first, F.count("*").alias("m")).where(F.col("m") >= p.many).select("word", "a.*")
+
+
+def _more(gone: DataFrame, pairs: DataFrame) -> DataFrame:
+    return stash(gone.unionByName(pairs.select(F.col("n_b").alias("n"))).distinct(), "line-gone")
 
 
 def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     """(id, key, line) of the lines to remove.  ``docs`` has id, key, text."""
-    lines = stash(lines_of(docs, p), "line-sets")
+    with passing() as keep:
+        lines = keep(stash(lines_of(stash(words_of(docs, p), "line-words"), p), "line-sets"))
     # 2. the first places of sets that have several
     copies = lines.groupBy("sid").agg(F.min(F.struct("id", "line", "key", "n")).alias("first"), F.count("*").alias("places")).where("places > 1")
     copies = stash(copies.select("sid", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "line", "key", "n")]), "line-copies")
@@ -132,22 +172,23 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     # sets too small to reach the threshold with any other set are done: with percent 80, below four words
     sets = named.where("n = root").where((100 - p.percent) * F.col("size") >= p.percent)
     # 3. the first of those that look alike; lines at the same place of rows that share an id are left to 4
-    may, least = _within(p)
+    may, _ = _within(p)
     at = sets.select("id", "line", "n", "size", "all", "odd", F.explode(F.array("begins", "ends")).alias("k"))
     first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "all", "odd")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
     later = (F.col("id_b") > F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") > F.col("line_a")))
     family = _named(at, "b", "k").join(_named(first, "a", "k"), "k").where(later & may).select("n_a", "n_b").distinct()
     with passing() as keep:
-        gone = keep(stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-gone"))
+        alike = stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-alike")
+        gone = keep(stash(alike.select(F.col("n_b").alias("n")).distinct(), "line-gone"))
+        heads = keep(stash(_heads(alike, sets, gone, p), "line-heads"))
+    if not heads.isEmpty():
+        with passing() as keep:
+            pairs = _candidates(sized_broadcast(heads, 1_000_000), _posts(sets, gone), p)
+            gone = keep(_more(gone, verified(stash(pairs, "line-pairs"), lines, docs, p)))
     # 4. prefix join of the rest with all earlier lines
-    done = sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000)
-    post = sets.select("n", "id", "size", "all", "odd", "prefix").join(done, "n", "left").select(
-        "n", "id", "size", "all", "odd", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
-    near = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
-    pairs = _named(post, "a", "word").join(_named(post, "b", "word"), "word").where(
-        (F.col("n_a") != F.col("n_b")) & (F.col("id_a") <= F.col("id_b")) & may & near & ~F.col("done_b")).select("n_a", "n_b").distinct()
+    post = _posts(sets, gone)
     with passing() as keep:
-        gone = keep(stash(gone.unionByName(verified(stash(pairs, "line-pairs"), lines, docs, p)).distinct(), "line-gone"))
+        gone = keep(_more(gone, verified(stash(_candidates(post, post, p), "line-pairs"), lines, docs, p)))
     gone = sized_broadcast(gone.select(F.col("n").alias("root"), F.lit(True).alias("gone")), 1_000_000)
     first = (F.col("id") == F.col("first_id")) & (F.col("line") == F.col("first_line")) & (F.col("key") == F.col("first_key"))
     named = named.select("id", "key", "line", "root", "first_id", "first_line", "first_key")

@@ -147,6 +147,31 @@ def test_line_families_that_differ_at_both_ends(spark):
     assert 30 < removed < 95
 
 
+def test_lines_of_a_large_family_meet_few_of_its_members(spark, monkeypatch):
+    """Lines with changes at both ends miss the first of their family; they must not meet each of the others instead."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(50)], {}
+    for i in range(300):
+        w = list(base)
+        for j in [r.randrange(50) for _ in range(2)] + ([r.randrange(6), 49 - r.randrange(6)] if i % 4 == 3 else []):
+            w[j] = word()
+        texts[i] = " ".join(w)
+    rows, real = {}, line_dedup.stash
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stash", counted)
+    got = by_id(line_dedup.line_digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)))
+    sets = [set(texts[i].split(" ")) for i in range(300)]
+    late = [i for i in range(300) if any(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(i))]
+    assert [i for i in range(300) if got[i][1]] == late and len(late) > 290
+    assert rows["line-pairs"] < 40 * 75
+
+
 def test_line_query_and_pipeline_compare_every_line(spark, tmp_path):
     import corpus_pipeline
     from pagequality.llm.queries import QUERIES
