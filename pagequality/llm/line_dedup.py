@@ -3,14 +3,15 @@
 A line is removed when an earlier line of the corpus, by (id, line number), has a word set of Jaccard 0.8 or more
 with its own.  All lines that have a word are compared.
 
-1. Texts are split into words once; what follows works on the words' hashes.  A count sketch of them gives their order
+1. Texts are split into words once; what follows works on the words' hashes, kept on disk until the sets are written.  A count sketch of them gives their order
    by rarity, ties by hash: one byte a bucket, fixed in size whatever the corpus.
 2. Of equal word sets only the first place goes on (found by partial aggregation before the shuffle); all
    other places of it are removed.  A set goes by the number that its row got when it was written.
 3. Sets that begin or end with the same words are verified against the first of them.  This decides most of a family of near copies at one pair a line.
    Of words that many of the lines found alike have, some of the first lines then meet what isn't decided, so that it needn't
    meet every member of a large family in 4.
-4. Prefix join: lines that are not yet decided meet earlier ones on the rarest words that a pair may not miss.  A pair is
+4. Prefix join: lines that are not yet decided meet earlier ones on the rarest words that a pair may not miss, of which the smaller
+   line of a pair needs about half as many.  A pair is
    a candidate if its sizes, the positions of the shared word and parity maps of the sets (64 bits, 128 for larger sets) leave the bound on the
    overlap within reach.  A line that is removed meets no more earlier lines, but later ones still meet it.
 5. Candidates are verified on the words themselves.
@@ -23,7 +24,9 @@ an empty table gives an empty result.  Texts stay whole but for the lines remove
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +48,24 @@ class LineParams:
     #: First lines of a word that stand for a large family, each for so many of its lines at least.
     heads: int = 8
     many: int = 4
+    #: Lines found to go that share one of their first words, from which on they no longer meet each other on it.
+    crowd: int = 64
 
 
 DEFAULT = LineParams()
 
 
+#: ASCII white space within a line, but for the blank.
+SPACES = "\t\x0b\f\r"
+
+
 def _words(line):
-    """Lower-cased words between ASCII white space; a split at one plain character needs no regular expression."""
-    line = F.lower(line)
-    for space in "\t\n\x0b\f\r":
-        line = F.replace(line, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+    """Lower-cased words between ASCII white space; a split at one plain character needs no regular expression.
+
+    Few lines have other white space than blanks: replacing reads a line once for each character, looking for them is much cheaper."""
+    blanks = reduce(lambda x, space: F.replace(x, F.lit(space), F.lit(" ")), SPACES, line)
+    odd = reduce(lambda x, y: x | y, [F.contains(line, F.lit(space)) for space in SPACES])
+    return F.array_remove(F.split(F.lower(F.when(odd, blanks).otherwise(line)), " "), "")
 
 
 def rarity(lines: DataFrame) -> bytes:
@@ -86,15 +96,17 @@ def words_of(docs: DataFrame, p: LineParams) -> DataFrame:
 
 
 def lines_of(words: DataFrame, p: LineParams) -> DataFrame:
-    """id, key, line, sid (of the word set), parities, size, prefix, begins, ends and a number of every line; ``words`` is written."""
+    """id, key, line, sid (of the word set), parities, size, prefix, begins, ends and a number of every line."""
     marks = F.split(F.lit(",".join(str(x - 33) for x in rarity(words))), ",").cast("array<bigint>")  # folded before it runs
-    r = F.transform("h", lambda h: F.shiftleft(F.get(marks, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))))
+    # lambdas in steps of their own: what reads their result is compiled, and arrays without nulls are sorted as plain longs
+    r = F.transform("h", lambda h: F.coalesce(F.shiftleft(F.get(marks, _bucket(h)), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))), F.lit(0).cast("long")))
     d = words.select(
         "id", "key", "line", "begins", "ends",
         F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63L as int)))").alias("all"),
         # 64 bits tell small sets apart; of larger ones, those of every other hash by themselves too
         F.when(F.size("h") > SMALL, F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft((x >> 6) & 1L, cast(x & 63L as int)))")).otherwise(F.lit(0).cast("long")).alias("odd"),
-        F.explode(F.array(F.sort_array(r))).alias("r"))
+        r.alias("r"))
+    d = d.select("id", "key", "line", "begins", "ends", "all", "odd", F.sort_array("r").alias("r"))
     size = F.size("r")
     length = size - F.expr(f"cast(({p.percent} * size(r) + 99) div 100 as int)") + 1
     return d.select(
@@ -134,11 +146,16 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame, p: LineParams)
     return both.where(100 * F.col("o") >= p.percent * (F.size("a") + F.size("b") - F.col("o"))).select("n_a", "n_b")
 
 
-def _posts(sets: DataFrame, gone: DataFrame) -> DataFrame:
-    """A row for each prefix word of each set; done where the line is in ``gone``."""
+def _marked(sets: DataFrame, gone: DataFrame) -> DataFrame:
+    """``sets``, done where the line is in ``gone``."""
     done = sized_broadcast(gone.withColumn("done", F.lit(True)), 1_000_000)
-    return sets.select("n", "id", "size", "all", "odd", "prefix").join(done, "n", "left").select(
-        "n", "id", "size", "all", "odd", F.coalesce("done", F.lit(False)).alias("done"), F.posexplode("prefix").alias("pos", "word"))
+    sets = sets.select("n", "id", "size", "all", "odd", "prefix").join(done, "n", "left")
+    return sets.withColumn("done", F.coalesce("done", F.lit(False)))
+
+
+def _spread(sets: DataFrame, prefix) -> DataFrame:
+    """A row for each word of ``prefix``."""
+    return sets.select("n", "id", "size", "all", "odd", "done", F.posexplode(prefix).alias("pos", "word"))
 
 
 def _candidates(a: DataFrame, b: DataFrame, p: LineParams) -> DataFrame:
@@ -149,10 +166,40 @@ def _candidates(a: DataFrame, b: DataFrame, p: LineParams) -> DataFrame:
         (F.col("n_a") != F.col("n_b")) & (F.col("id_a") <= F.col("id_b")) & may & near & ~F.col("done_b")).select("n_a", "n_b").distinct()
 
 
+def _remaining(sets: DataFrame, gone: DataFrame, p: LineParams) -> DataFrame:
+    """Pairs n_a, n_b of an earlier and a later line, the later one not in ``gone``, that may reach the threshold.
+
+    A pair meets on a prefix word of the larger line that is among the first words of the smaller: its overlap is 2t / (1 + t) of the
+    smaller size at least, so that needs fewer of them.  On words of ``crowd`` smaller lines that are done, these meet under a name of
+    its own (the complement) only lines that aren't: a large family would else meet itself."""
+    few = F.expr(f"size - cast(({2 * p.percent} * size + {99 + p.percent}) div {100 + p.percent} as int) + 1")
+    sets = _marked(sets, gone)
+    small, large = (_spread(sets, x) for x in (F.slice("prefix", F.lit(1), few), F.col("prefix")))
+    crowds = stash(small.where("done").groupBy("word").agg(F.count("*").alias("m")).where(F.col("m") >= p.crowd).select("word", F.lit(True).alias("crowd")), "line-crowds")
+    crowds, other = sized_broadcast(crowds, 1_000_000), F.bitwise_not("word")
+    small = small.join(crowds, "word", "left").withColumn("word", F.when(F.col("crowd") & F.col("done"), other).otherwise(F.col("word")))
+    names = F.when(F.col("crowd") & ~F.col("done"), F.array("word", other)).otherwise(F.array("word"))
+    large = large.join(crowds, "word", "left").select(*[c for c in large.columns if c != "word"], F.explode(names).alias("word"))
+    return _meet(small.drop("crowd"), large, p)
+
+
+def _meet(small: DataFrame, large: DataFrame, p: LineParams) -> DataFrame:
+    """Pairs n_a, n_b of ``small`` and ``large`` posts on a word that may reach the threshold, the later line not done."""
+    may, least = _within(p)
+    near = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= least
+    smaller = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("n_a") != F.col("n_b")))
+    both = _named(small, "a", "word").join(_named(large, "b", "word"), "word").where(smaller & near & may)
+    earlier = (F.col("id_a") <= F.col("id_b")) & ~F.col("done_b")
+    later = (F.col("id_b") <= F.col("id_a")) & ~F.col("done_a")
+    a, b = F.col("n_a"), F.col("n_b")
+    ways = F.array(F.when(earlier, F.struct(a.alias("n_a"), b.alias("n_b"))), F.when(later, F.struct(b.alias("n_a"), a.alias("n_b"))))
+    return both.where(earlier | later).select("n_a", "n_b", F.explode(ways).alias("way")).where("way is not null").select("way.n_a", "way.n_b").distinct()
+
+
 def _heads(alike: DataFrame, sets: DataFrame, gone: DataFrame, p: LineParams) -> DataFrame:
     """Posts of the first of the lines in ``alike`` that share a word, for words that many of them have."""
     members = alike.select(F.col("n_a").alias("n")).unionByName(alike.select(F.col("n_b").alias("n"))).distinct()
-    post = _posts(sets.join(sized_broadcast(members, 1_000_000), "n"), gone)
+    post = _spread(_marked(sets.join(sized_broadcast(members, 1_000_000), "n"), gone), "prefix")
     first = F.min(F.struct("id", "n", "size", "all", "odd", "done", "pos")).alias("a")
     return post.groupBy("word", F.pmod("n", F.lit(p.heads)).alias("part")).agg(first, F.count("*").alias("m")).where(F.col("m") >= p.many).select("word", "a.*")
 
@@ -163,8 +210,11 @@ def _more(gone: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     """(id, key, line) of the lines to remove.  ``docs`` has id, key, text."""
-    with passing() as keep:
-        lines = keep(stash(lines_of(stash(words_of(docs, p), "line-words"), p), "line-sets"))
+    words = words_of(docs, p).persist(StorageLevel.DISK_ONLY)  # arrays are kept as they are, Parquet would take them apart
+    try:
+        lines = stash(lines_of(words, p), "line-sets")
+    finally:
+        words.unpersist(True)
     # 2. the first places of sets that have several
     copies = lines.groupBy("sid").agg(F.min(F.struct("id", "line", "key", "n")).alias("first"), F.count("*").alias("places")).where("places > 1")
     copies = stash(copies.select("sid", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "line", "key", "n")]), "line-copies")
@@ -176,19 +226,19 @@ def removed_lines(docs: DataFrame, p: LineParams = DEFAULT) -> DataFrame:
     at = sets.select("id", "line", "n", "size", "all", "odd", F.explode(F.array("begins", "ends")).alias("k"))
     first = at.groupBy("k").agg(F.min(F.struct("id", "line", "n", "size", "all", "odd")).alias("a"), F.count("*").alias("m")).where("m > 1").select("k", "a.*")
     later = (F.col("id_b") > F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") > F.col("line_a")))
-    family = _named(at, "b", "k").join(_named(first, "a", "k"), "k").where(later & may).select("n_a", "n_b").distinct()
     with passing() as keep:
+        first = sized_broadcast(stash(first, "line-firsts"), 300_000)
+        family = _named(at, "b", "k").join(_named(first, "a", "k"), "k").where(later & may).select("n_a", "n_b").distinct()
         alike = stash(verified(stash(family, "line-family"), lines, docs, p).distinct(), "line-alike")
         gone = keep(stash(alike.select(F.col("n_b").alias("n")).distinct(), "line-gone"))
         heads = keep(stash(_heads(alike, sets, gone, p), "line-heads"))
     if not heads.isEmpty():
         with passing() as keep:
-            pairs = _candidates(sized_broadcast(heads, 1_000_000), _posts(sets, gone), p)
+            pairs = _candidates(sized_broadcast(heads, 1_000_000), _spread(_marked(sets, gone), "prefix"), p)
             gone = keep(_more(gone, verified(stash(pairs, "line-pairs"), lines, docs, p)))
     # 4. prefix join of the rest with all earlier lines
-    post = _posts(sets, gone)
     with passing() as keep:
-        gone = keep(_more(gone, verified(stash(_candidates(post, post, p), "line-pairs"), lines, docs, p)))
+        gone = keep(_more(gone, verified(stash(_remaining(sets, gone, p), "line-pairs"), lines, docs, p)))
     gone = sized_broadcast(gone.select(F.col("n").alias("root"), F.lit(True).alias("gone")), 1_000_000)
     first = (F.col("id") == F.col("first_id")) & (F.col("line") == F.col("first_line")) & (F.col("key") == F.col("first_key"))
     named = named.select("id", "key", "line", "root", "first_id", "first_line", "first_key")

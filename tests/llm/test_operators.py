@@ -172,6 +172,39 @@ def test_lines_of_a_large_family_meet_few_of_its_members(spark, monkeypatch):
     assert rows["line-pairs"] < 40 * 75
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 64])
+def test_smaller_lines_meet_larger_ones_on_fewer_words(spark, monkeypatch, crowd):
+    """Families of many sizes in any order, of which many members are found first; rows that share an id; other white space than blanks."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for size in (5, 9, 20, 45, 50, 90):
+        base = [word() for _ in range(size)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, size // 7))):
+                j = r.randrange(len(w))
+                w[j : j + 1] = r.choice([[], [word()], [w[j], word()]])
+            rows.append((r.randrange(40), r.choice([" ", "\t", "  ", " \r", "\x0b"]).join(w)))
+    docs = defaultdict(list)
+    for i, s in rows:
+        docs[i].append(s)
+    texts, used, real = {i: "\n".join(x) for i, x in docs.items()}, [], line_dedup.stash
+    monkeypatch.setattr(line_dedup, "stash", lambda df, name: used.append(name) or real(df, name))
+    got = by_id(line_dedup.line_digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), line_dedup.LineParams(crowd=crowd)))
+    seen, removed = [], 0
+    for i in sorted(texts):
+        keep = []
+        for s in texts[i].split("\n"):
+            u = set(words(s))
+            if not any(100 * len(u & v) >= 80 * len(u | v) for v in seen):
+                keep.append(s)
+            seen.append(u)
+        removed += len(docs[i]) - len(keep)
+        assert got[i][1:] == (len(docs[i]) - len(keep), hashlib.sha256("\n".join(keep).encode()).hexdigest()), i
+    assert removed > 90 and "line-crowds" in used and "line-words" not in used
+
+
 def test_line_query_and_pipeline_compare_every_line(spark, tmp_path):
     import corpus_pipeline
     from pagequality.llm.queries import QUERIES
