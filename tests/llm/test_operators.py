@@ -662,6 +662,41 @@ def test_hard_negatives_are_those_of_brute_force(spark, row_block, anchor_block,
     assert got == plain_negatives(rows, lambda a: a % 50 == 0, lambda i, x: (x + 1) % 10 if i % 7 == 0 else x)
 
 
+def moved(df) -> int:
+    """Bytes that the exchanges and broadcasts of a frame that has run got, before compression."""
+    def below(node):
+        kids = [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(i) for i in range(node.children().size())]
+        own = node.metrics().apply("dataSize").value() if node.nodeName() in ("Exchange", "BroadcastExchange") else 0
+        return own + sum(map(below, kids))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return below(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+
+
+def test_hard_negatives_move_each_block_to_few_tiles(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    v = r.normal(size=(1500, 16)).astype(np.float32)
+    v[100:400] = v[99]  # ties over many blocks, more than are kept in a list
+    rows = [(i, [float(x) for x in v[i]], int(r.integers(0, 3))) for i in range(1500)]
+    df = spark.createDataFrame([(*x, 1, "x") for x in rows], VECTORS).repartition(5)
+    p = hard_negatives.MiningParams(row_block=8, anchor_block=2)
+    expected = plain_negatives(rows, lambda a: a % 10 == 0)
+    mined = hard_negatives.mine(df, F.col("id") % 10 == 0, p)
+    assert sorted(map(tuple, mined.collect())) == expected
+    # 188 blocks of rows and 75 of anchors: a copy of its two blocks for each pair would be 188 * 75 * 10 vectors in either pass
+    assert moved(mined) < 188 * 75 * 10 * 16 * 8 / 2
+    for panel_bytes in (1, 12_000):  # a block of anchors a tile, and several
+        monkeypatch.setattr(hard_negatives, "PANEL_BYTES", panel_bytes)
+        monkeypatch.setattr(hard_negatives, "PANEL_BLOCKS", 5)
+        assert sorted(map(tuple, hard_negatives.mine(df, F.col("id") % 10 == 0, hard_negatives.MiningParams(row_block=64, anchor_block=16)).collect())) == expected
+
+
+def test_hard_negatives_of_doubles(spark):
+    rows = [(0, [1 - 1e-12], 1), (1, [1 - 1e-12], 1), (2, [0.8], 2)]  # as floats the first would be 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert [tuple(x) for x in hard_negatives.mine(df, F.col("id") == 0).collect()] == plain_negatives(rows, lambda a: a == 0) == [(0, 1, 1, 2, 255 * 255, 204 * 255)]
+
+
 def test_residue_products_are_exact():
     r = np.random.default_rng(1)
     for top in (3, 200, 60_000, 10_000_000):
